@@ -35,8 +35,8 @@ def kmo_embeddings(spark, d):
 def kmo_lineitem(spark, d):
     li = table(spark, d, "lineitem").select(
         "l_quantity",
-        (F.col("l_quantity") * 100 + F.col("l_extendedprice") / 10).alias("a"),
-        (F.col("l_quantity") * 200 - F.col("l_extendedprice") / 10).alias("b"),
+        (F.col("l_quantity") * 1000 + F.col("l_extendedprice")).alias("a"),
+        (F.col("l_quantity") * 1000 + F.col("l_discount") * 100000).alias("b"),
         F.lit(1.0).alias("one"),
     )
     return stats.kmo_bartlett(li).drop("constant_columns", "bartlett_p_value")
@@ -170,7 +170,7 @@ ORACLES = {
     ),
     "kmo_embeddings": _kmo_sql(f"SELECT {_D} FROM embeddings", "d0", "d1", "d2"),
     "kmo_lineitem": _kmo_sql(
-        """SELECT l_quantity, l_quantity * 100 + l_extendedprice / 10 AS a, l_quantity * 200 - l_extendedprice / 10 AS b
+        """SELECT l_quantity, l_quantity * 1000 + l_extendedprice AS a, l_quantity * 1000 + l_discount * 100000 AS b
            FROM lineitem""",
         "l_quantity",
         "a",
