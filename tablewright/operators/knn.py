@@ -135,27 +135,23 @@ def nearest_neighbours(
             return pd.DataFrame({c: [] for c in columns})
         ref, ask = _matrix(reference["x"]), _matrix(asked["x"])
         keys, labels = reference["key"].to_numpy(), reference["label"].to_numpy()
-        out = []
+        by_key = np.unique(keys, return_inverse=True)[1]
+        asked_keys = asked["key"].to_numpy()
+        m = min(k, len(ref))
+        parts = []
         for i in range(0, len(ask), 256):
-            d = _distances(ask[i : i + 256], ref)
-            m = min(k, len(ref))
+            batch = ask[i : i + 256]
+            d = _distances(batch, ref)
             cut = np.partition(d, m - 1, axis=1)[:, m - 1]
-            for j, row in enumerate(d):
-                # Everything as near as the k-th, so that ties are settled by key in the merge.
-                idx = np.flatnonzero(row <= cut[j] + slack)
-                exact = np.sqrt(((ref[idx] - ask[i + j]) ** 2).sum(axis=1))
-                order = np.lexsort((keys[idx], np.floor(exact * 10.0**DISTANCE_PLACES + 0.5)))[:k]
-                out.append(
-                    pd.DataFrame(
-                        {
-                            "query": asked["key"].iloc[i + j],
-                            "neighbour": keys[idx][order],
-                            "label": labels[idx][order],
-                            "distance": exact[order],
-                        }
-                    )
-                )
-        return pd.concat(out, ignore_index=True)[columns]
+            # Everything as near as the k-th, so that ties are settled by key, here and in the merge.
+            q_at, r_at = np.nonzero(d <= cut[:, None] + slack)
+            exact = np.sqrt(((ref[r_at] - batch[q_at]) ** 2).sum(axis=1))
+            order = np.lexsort((by_key[r_at], np.floor(exact * 10.0**DISTANCE_PLACES + 0.5), q_at))
+            q_at, r_at, exact = q_at[order], r_at[order], exact[order]
+            first = np.searchsorted(q_at, q_at)
+            kept = np.arange(len(q_at)) - first < k
+            parts.append((asked_keys[i + q_at[kept]], keys[r_at[kept]], labels[r_at[kept]], exact[kept]))
+        return pd.DataFrame({c: np.concatenate([p[j] for p in parts]) for j, c in enumerate(columns)})
 
     groups = ["cell", "block", "chunk"]
     found = left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInPandas(
