@@ -122,12 +122,9 @@ def score_clusters(df: DataFrame, features: Sequence[str], label: str, exact_poi
 
 def silhouette_squared(df: DataFrame, features: Sequence[str], label: str) -> float:
     """Silhouette on squared distances: linear in the rows, exact for that distance."""
-    coded = VectorAssembler(inputCols=list(features), outputCol="__v").transform(
-        df.withColumn("__label", ident(label).cast("double"))
-    )
-    return ClusteringEvaluator(featuresCol="__v", predictionCol="__label", metricName="silhouette").evaluate(
-        coded.select("__v", "__label")
-    )
+    rows = df.select(*[ident(c) for c in features], ident(label).cast("double").alias("__label"))
+    coded = VectorAssembler(inputCols=list(features), outputCol="__point").transform(rows).select("__point", "__label")
+    return ClusteringEvaluator(featuresCol="__point", predictionCol="__label", metricName="silhouette").evaluate(coded)
 
 
 def _silhouette_exact(df: DataFrame, features: Sequence[str], label: str) -> float:
