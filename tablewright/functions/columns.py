@@ -68,6 +68,11 @@ def round_half_up(c: Column, places: int) -> Column:
     return F.when(~F.isnan(c), F.floor(c * F.lit(k) + F.lit(0.5)) / F.lit(k))
 
 
+def distinct_sketch(c: Column, lg_k: int) -> Column:
+    """Approximate distinct count from one compact sketch per task; nulls are not counted."""
+    return F.hll_sketch_estimate(F.hll_sketch_agg(c.cast("string"), F.lit(lg_k)))
+
+
 def py_round_half_up(x: float | None, places: int) -> float | None:
     import math
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.columns import ident, py_round_half_up, require_columns
 from tablewright.operators.features import Standardiser, fit_features, fit_standardiser
+from tablewright.session import persisted
 
 MICRO_CLUSTERS = 200
 EXACT_POINTS = 5_000
@@ -264,7 +265,7 @@ def clustering_tournament(
     """
     prepared, names, standardiser = clustering_features(df, keep)
     scaled = standardiser.transform(prepared)
-    vectors = VectorAssembler(inputCols=names, outputCol="__v").transform(scaled).persist()
+    vectors = persisted(VectorAssembler(inputCols=names, outputCol="__v").transform(scaled))
     try:
         n = vectors.count()
         found: list[dict] = []

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.functions.columns import ident, is_calendar, is_number, is_text, normalise, require_columns
+from tablewright.functions.columns import distinct_sketch, ident, is_calendar, is_number, is_text, require_columns
 from tablewright.functions.counts import is_present, value_columns, value_counts
 from tablewright.functions.ranks import exact_medians
 
@@ -33,8 +33,8 @@ CALENDAR_PARTS = ("year", "month", "day", "dayofweek")
 BIAS = "constant_bias"
 # A column with more categories is encoded as one sparse vector instead of one column per category.
 MAX_INDICATORS = 1000
-# Relative error asked of the distinct sketch, and the band around a limit that is recounted exactly.
-SKETCH_RSD, RECOUNT_BAND = 0.01, 0.08
+# Size of the distinct sketch (about 0.8 % error), and the band around a limit that is recounted exactly.
+SKETCH_LG_K, RECOUNT_BAND = 14, 0.08
 
 
 def _parts(c: Column) -> list[Column]:
@@ -99,6 +99,12 @@ class FeatureModel:
         return df.select(*[ident(k) for k in keep], *out)
 
 
+def _gapless(df: DataFrame, name: str) -> Column:
+    """The column with NaN as null."""
+    c = ident(name)
+    return F.when(~F.isnan(c), c) if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)) else c
+
+
 def _scalar_columns(
     df: DataFrame, sources: Sequence[str], date_texts: Sequence[str], formats: Sequence[str], missing: Sequence[int]
 ) -> dict[str, Column]:
@@ -114,10 +120,8 @@ def _scalar_columns(
         elif is_calendar(dtype):
             for label, p in zip(CALENDAR_PARTS, _parts(c)):
                 parts[f"{name}_{label}"] = p
-        elif isinstance(dtype, (T.FloatType, T.DoubleType)):
-            out[name] = F.when(~F.isnan(c), c)
         elif is_number(dtype):
-            out[name] = c
+            out[name] = _gapless(df, name)
     return out | parts
 
 
@@ -135,7 +139,8 @@ def fit_features(
     first = df.agg(
         F.count(F.lit(1)).alias("rows"),
         *[F.count(parse_date(ident(c), formats)).alias(f"p{i}") for i, c in enumerate(named)],
-        *[F.approx_count_distinct(ident(c), SKETCH_RSD).alias(f"u{i}") for i, c in enumerate(texts)],
+        *[F.coalesce(distinct_sketch(ident(c), SKETCH_LG_K), F.lit(0)).alias(f"u{i}") for i, c in enumerate(texts)],
+        *[F.count(_gapless(df, c)).alias(f"k{i}") for i, c in enumerate(sources)],
     ).first()
     n = first["rows"]
     base = {"sources": tuple(sources), "formats": tuple(formats), "missing_parts": tuple(missing_parts)}
@@ -152,26 +157,17 @@ def fit_features(
     narrow = [c for c in categoricals if distinct[c] <= max_indicators]
     wide = [c for c in categoricals if distinct[c] > max_indicators]
 
-    features = df.select(*[c.alias(f"c{i}") for i, c in enumerate(scalars.values())], *[
-        ident(c).alias(f"b{i}") for i, c in enumerate(booleans)
-    ])
-    names = list(scalars)
-    present: dict[str, int] = {}
-    if names or booleans:
-        row = features.agg(
-            *[F.count(f"c{i}").alias(f"c{i}") for i in range(len(names))],
-            *[F.count(f"b{i}").alias(f"b{i}") for i in range(len(booleans))],
-        ).first()
-        present = {c: row[f"c{i}"] for i, c in enumerate(names)} | {c: row[f"b{i}"] for i, c in enumerate(booleans)}
-    gaps = [c for c in names if 0 < present[c] < n]
-    medians = exact_medians(
-        features.select(*[ident(f"c{names.index(c)}").alias(c) for c in gaps]), gaps
-    )
+    # Calendar parts are missing where their source is; parts of parsed texts are always filled.
+    origin = {f"{c}_{label}": c for c in sources if c not in date_texts for label in CALENDAR_PARTS}
+    filled = {c: first[f"k{i}"] for i, c in enumerate(sources)}
+    present = {c: filled.get(origin.get(c, c), n) for c in scalars}
+    gaps = [c for c in scalars if 0 < present[c] < n]
+    medians = exact_medians(df.select(*[scalars[c].alias(c) for c in gaps]), gaps)
     return FeatureModel(
         **base,
         date_texts=tuple(date_texts),
-        numeric=tuple(c for c in names if present[c] > 0),
-        booleans=tuple(c for c in booleans if present[c] > 0),
+        numeric=tuple(c for c in scalars if present[c] > 0),
+        booleans=tuple(c for c in booleans if filled[c] > 0),
         categories=tuple((c, v) for c, v in _categories(df, narrow) if v),
         wide=tuple(_index(df, c) for c in wide),
         medians={c: float(m) for c, m in medians.items()},

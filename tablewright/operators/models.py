@@ -32,6 +32,7 @@ from tablewright.operators.features import MAX_INDICATORS, fit_features, fit_sta
 from tablewright.operators.knn import nearest_neighbours
 from tablewright.operators.metrics import class_metrics, regression_metrics
 from tablewright.operators.split import dense_row_index, split_70_15_15
+from tablewright.session import persisted
 
 KEY, LABEL, SPLIT, VEC, ARR = "__key", "__label", "split", "__features", "__x"
 
@@ -110,11 +111,10 @@ def prepare(
     else:
         label = ident(target).cast("double")
     inputs = [*model.columns, *model.vectors]
-    data = (
+    data = persisted(
         VectorAssembler(inputCols=inputs, outputCol=VEC)
         .transform(encoded)
         .select(ident(key).alias(KEY), label.alias(LABEL), F.col(VEC), vector_to_array(VEC).alias(ARR), F.col(SPLIT))
-        .persist()
     )
     train = data.where(F.col(SPLIT) == "train").agg(F.count(F.lit(1)).alias("n"), F.stddev_samp(LABEL).alias("s")).first()
     return Prepared(data, tuple(model.columns), classes, train["n"], train["s"] or 0.0)

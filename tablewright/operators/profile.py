@@ -8,7 +8,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.functions.columns import columns_where, ident, is_numeric_or_bool, normalise, round_half_up
+from tablewright.functions.columns import (
+    columns_where,
+    distinct_sketch,
+    ident,
+    is_numeric_or_bool,
+    normalise,
+    round_half_up,
+)
 from tablewright.functions.counts import is_present, value_columns, value_counts
 
 PROFILE_SCHEMA = (
@@ -77,7 +84,7 @@ def profile(df: DataFrame, samples: int = 3) -> DataFrame:
     )
 
 
-def profile_approx(df: DataFrame, rsd: float = 0.02) -> DataFrame:
+def profile_approx(df: DataFrame, lg_k: int = 12) -> DataFrame:
     """The profile from a single aggregate without any shuffle of values.
 
     Distinct counts are sketches and there are no samples; everything else is exact.
@@ -91,7 +98,7 @@ def profile_approx(df: DataFrame, rsd: float = 0.02) -> DataFrame:
         number = c.cast("double") if is_numeric_or_bool(f.dataType) else F.lit(None).cast("double")
         aggs += [
             F.count_if(c.isNull()).alias(f"z{i}"),
-            F.approx_count_distinct(probe, rsd).alias(f"u{i}"),
+            F.coalesce(distinct_sketch(probe, lg_k), F.lit(0)).alias(f"u{i}"),
             F.min(number).alias(f"a{i}"),
             F.max(number).alias(f"b{i}"),
         ]

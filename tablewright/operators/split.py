@@ -39,10 +39,10 @@ def row_hash(df: DataFrame, key: str | Sequence[str] | None, seed: int = 42) ->
 
 
 def _cuts(hashed: DataFrame) -> DataFrame:
-    """(c, cut, upto, at, h): for each class and cut the hash of the last row before it.
+    """(c, cut, upto, at, m, h): for each class and cut the hash of the last row before it.
 
     ``hashed`` is (c, h). ``cut`` 1 ends train, ``cut`` 2 ends val. ``upto`` is the wanted number of
-    rows, ``at`` the number up to and including the hash, larger when copies share it.
+    rows, ``at`` the number up to and including the ``m`` rows with that hash.
     """
     binned = hashed.withColumn("p", F.substring("h", 1, DIGITS))
     hist = binned.groupBy("c", "p").agg(F.count(F.lit(1)).alias("n"))
@@ -72,7 +72,6 @@ def _cuts(hashed: DataFrame) -> DataFrame:
         .join(bins.alias("w"), (F.col("r.c").eqNullSafe(F.col("w.c"))) & (F.col("r.p") == F.col("w.p")))
         .select("r.c", "cut", "upto", (F.col("before") + F.col("run")).alias("at"), "m", "h")
         .where((F.col("at") >= F.col("upto")) & (F.col("at") - F.col("m") < F.col("upto")))
-        .drop("m")
     )
 
 
@@ -117,9 +116,7 @@ def split_70_15_15(
         df = checkpointed(df)
         for r in ties:
             same = (h == F.lit(r["h"])) & cls.eqNullSafe(F.lit(r["c"]))
-            copies = df.where(same).count()
-            k = r["upto"] - (r["at"] - copies)
-            kept[(r["c"], r["cut"])] = _first_copies(df, same, k)
+            kept[(r["c"], r["cut"])] = _first_copies(df, same, r["upto"] - (r["at"] - r["m"]))
         row_id = F.monotonically_increasing_id()
     bounds: dict[object, list] = {}
     for r in local:

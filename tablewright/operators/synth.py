@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.functions.columns import columns_where, ident, is_number, normalise, round_half_up
+from tablewright.functions.columns import columns_where, distinct_sketch, ident, is_number, normalise, round_half_up
 from tablewright.session import checkpointed
 
 # When a table is sparse, how far it grows, and the noise relative to the deviation.
@@ -77,7 +77,7 @@ def synthesise(
         *[F.avg(ident(c).cast("double")).alias(f"m{i}") for i, c in enumerate(numbers)],
         *[F.stddev_samp(ident(c).cast("double")).alias(f"s{i}") for i, c in enumerate(numbers)],
         *[F.count(ident(c)).alias(f"k{i}") for i, c in enumerate(others)],
-        *[F.approx_count_distinct(_text(df, c), 0.05).alias(f"u{i}") for i, c in enumerate(others)],
+        *[F.coalesce(distinct_sketch(_text(df, c), 10), F.lit(0)).alias(f"u{i}") for i, c in enumerate(others)],
     ).first()
     n = first["n"]
     if n >= min_rows or n == 0 or target_rows <= n:

@@ -17,13 +17,14 @@ PARAGRAPH_SEPARATOR, PARAGRAPH_LENGTH = "\n\n", 20
 WINDOW_SIZE, WINDOW_SPAN, WINDOW_LENGTH = 350, 3500, 15
 CHUNK_CAP, BATCH_CAP = 30, 100
 
-_EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# The characters that count as white space in Unicode text.
+_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _WORD_BREAK = r"[^\p{L}\p{N}]+"
 
 
 def strip(c: Column) -> Column:
     """Text without white space at either end, Unicode spaces included."""
-    return F.regexp_replace(c, _EDGE_SPACE, "")
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def paragraphs(text: Column, separator: str = PARAGRAPH_SEPARATOR, longer_than: int = PARAGRAPH_LENGTH) -> Column:

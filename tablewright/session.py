@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -29,6 +30,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def persisted(df: DataFrame) -> DataFrame:
+    """The table in memory and on disk, filled, for steps that read it many times.
+
+    A table with fewer partitions than the cluster has cores is small; it is spread over all of them.
+    """
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df.count()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:  # of the filled cache, so nothing is computed here
+        return df
+    spread = df.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
+    spread.count()
+    df.unpersist()
+    return spread
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder: fixed partitions that survive lost executors."""
     shared_dir(df.sparkSession)
