@@ -116,7 +116,7 @@ def prepare(
         .transform(encoded)
         .select(ident(key).alias(KEY), label.alias(LABEL), F.col(VEC), vector_to_array(VEC).alias(ARR), F.col(SPLIT))
     )
-    train = data.where(F.col(SPLIT) == "train").agg(F.count(F.lit(1)).alias("n"), F.stddev_samp(LABEL).alias("s")).first()
+    train = data.where(F.col(SPLIT) == "train").agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(LABEL).alias("s")).first()
     return Prepared(data, tuple(model.columns), classes, train["n"], train["s"] or 0.0)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.columns import ident, require_columns, round_half_up
-from tablewright.session import checkpointed
+from tablewright.session import materialised, numbered
 
 DIGITS = 4  # 65,536 bins: 15 million rows per bin at 10^12 rows
 MAX_LOCAL_CUTS = 100_000
@@ -76,8 +76,8 @@ def _cuts(hashed: DataFrame) -> DataFrame:
 
 
 def _first_copies(df: DataFrame, same: Column, k: int) -> int:
-    """Row id (in a checkpointed table) of the k-th row for which ``same`` holds."""
-    ids = df.select(same.alias("same"), F.monotonically_increasing_id().alias("id")).where("same")
+    """Row id of the k-th row for which ``same`` holds."""
+    ids = df.where(same).select(F.col("__id").alias("id"))
     part = F.shiftright(F.col("id"), 33)
     counts = sorted((r["p"], r["n"]) for r in ids.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
     for p, n in counts:  # one entry per partition
@@ -97,7 +97,7 @@ def split_70_15_15(
     """The table with a column ``split``: exactly ceil(30 %) held out, half of it (rounded up) for test.
 
     With ``stratify`` the sizes hold per class. Rows that share a hash at a cut point (copies) are
-    told apart by their place in a checkpoint of the table, so the sizes stay exact.
+    told apart by their place in a written copy of the table, so the sizes stay exact.
     """
     if stratify is not None:
         require_columns(df, stratify)
@@ -109,21 +109,22 @@ def split_70_15_15(
     ties = [] if many else [r for r in local if r["at"] > r["upto"]]
     if many:
         # More classes than the driver should hold: the cut points stay a table.
-        return _split_by_join(df, cls, h, checkpointed(cuts), name)
-    row_id = F.lit(0).cast("bigint")
+        return _split_by_join(df, cls, h, materialised(cuts), name)
+    columns = df.columns
     kept: dict[tuple, int] = {}
     if ties:
-        df = checkpointed(df)
+        df = numbered(df)
         for r in ties:
             same = (h == F.lit(r["h"])) & cls.eqNullSafe(F.lit(r["c"]))
             kept[(r["c"], r["cut"])] = _first_copies(df, same, r["upto"] - (r["at"] - r["m"]))
-        row_id = F.monotonically_increasing_id()
     bounds: dict[object, list] = {}
     for r in local:
         b = bounds.setdefault(r["c"], [None, None, None, None])
         b[r["cut"] - 1] = r["h"]
         b[r["cut"] + 1] = kept.get((r["c"], r["cut"]))
 
+    row_id = F.col("__id") if ties else F.lit(0).cast("bigint")
+
     def before(hash_: Column, bound: Column, last_id: Column) -> Column:
         return F.coalesce(
             (hash_ < bound) | ((hash_ == bound) & (last_id.isNull() | (row_id <= last_id))), F.lit(False)
@@ -132,15 +133,12 @@ def split_70_15_15(
     def part(b1: Column, b2: Column, i1: Column, i2: Column) -> Column:
         return F.when(before(h, b1, i1), F.lit("train")).when(before(h, b2, i2), F.lit("val")).otherwise(F.lit("test"))
 
-    # The row id is its own projection: inside a branch it would count only the rows that reach it.
-    numbered = df.withColumn("__id", row_id)
-    row_id = F.col("__id")
     if stratify is None:
         b = bounds.get(0, [None] * 4)
         bound = part(
             F.lit(b[0]).cast("string"), F.lit(b[1]).cast("string"), F.lit(b[2]).cast("bigint"), F.lit(b[3]).cast("bigint")
         )
-        return numbered.select(*[ident(c) for c in df.columns], bound.alias(name))
+        return df.select(*[ident(c) for c in columns], bound.alias(name))
     table = df.sparkSession.createDataFrame(
         [(c, *b) for c, b in bounds.items()],
         T.StructType(
@@ -154,9 +152,9 @@ def split_70_15_15(
         ),
     )
     # A local table of checked size: Spark broadcasts it under its own threshold.
-    placed = numbered.join(table, cls.eqNullSafe(F.col("__c")), "left")
+    placed = df.join(table, cls.eqNullSafe(F.col("__c")), "left")
     out = placed.withColumn(name, part(F.col("__h1"), F.col("__h2"), F.col("__i1"), F.col("__i2")))
-    return out.select(*[ident(c) for c in df.columns], name)
+    return out.select(*[ident(c) for c in columns], name)
 
 
 def _split_by_join(df: DataFrame, cls: Column, h: Column, cuts: DataFrame, name: str) -> DataFrame:
@@ -184,8 +182,8 @@ def split_counts(df: DataFrame, name: str = "split") -> DataFrame:
 
 
 def dense_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
-    """0..n-1 without a gap. The table is checkpointed, so the numbers survive a lost executor."""
-    fixed = checkpointed(df).withColumn("__id", F.monotonically_increasing_id())
+    """0..n-1 without a gap. A copy of the table is written, so the numbers survive a lost executor."""
+    fixed = numbered(df)
     part = F.shiftright(F.col("__id"), 33)
     counts = sorted((r["p"], r["n"]) for r in fixed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
     offsets, seen = [], 0

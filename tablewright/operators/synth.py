@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.columns import columns_where, distinct_sketch, ident, is_number, normalise, round_half_up
-from tablewright.session import checkpointed
+from tablewright.session import numbered
 
 # When a table is sparse, how far it grows, and the noise relative to the deviation.
 MIN_ROWS, TARGET_ROWS, NOISE = 30, 100, 0.08
@@ -38,7 +38,7 @@ def _draw(name: str, seed: int, size: int) -> Column:
 
 
 def _numbered(fixed: DataFrame, keep: Column | None, columns: list[str], index: str) -> tuple[DataFrame, int]:
-    """Dense numbers for the rows of a checkpointed table for which ``keep`` holds."""
+    """Dense numbers for the rows of a numbered table for which ``keep`` holds."""
     rows = fixed if keep is None else fixed.where(keep)
     part = F.shiftright(F.col("__id"), 33)
     counts = sorted((r["p"], r["n"]) for r in rows.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
@@ -85,7 +85,7 @@ def synthesise(
     needed = target_rows - n
     # Numbers turn into doubles on both sides, since noise is fractional.
     original = df.select(*[ident(c).cast("double").alias(c) if c in numbers else ident(c) for c in columns])
-    fixed = checkpointed(original).withColumn("__id", F.monotonically_increasing_id())
+    fixed = numbered(original)
     draws = df.sparkSession.range(needed).withColumnRenamed("id", "__n")
 
     base, _ = _numbered(fixed, None, columns, "__base")

@@ -8,6 +8,7 @@ import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,7 +47,20 @@ def persisted(df: DataFrame) -> DataFrame:
     return spread
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder: fixed partitions that survive lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialised(df: DataFrame) -> DataFrame:
+    """The table written once to the shared folder and read back.
+
+    Cuts the lineage, survives lost executors and gives later scans column pruning and known sizes.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    names = df.columns
+    df.toDF(*[f"c{i}" for i in range(len(names))]).write.parquet(path)
+    return df.sparkSession.read.parquet(path).toDF(*names)
+
+
+def numbered(df: DataFrame, name: str = "__id") -> DataFrame:
+    """A materialised copy with a unique row number: partition number times 2^33 plus place in it.
+
+    The numbers are stored with the rows, so every later read sees the same ones.
+    """
+    return materialised(df.withColumn(name, F.monotonically_increasing_id()))

@@ -88,8 +88,10 @@ def read_json_lines(
 
 def read_text(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
     """(path, text) per file, or per line; undecodable bytes are dropped."""
-    df = spark.read.option("wholetext", whole).text(path)
-    return df.select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "�", "").alias("text"))
+    df = spark.read.text(path, wholetext=whole)
+    value = F.col("value")
+    decoded = F.when(F.is_valid_utf8(value), value).otherwise(F.replace(F.make_valid_utf8(value), F.lit("\ufffd"), F.lit("")))
+    return df.select(F.col("_metadata.file_path").alias("path"), decoded.alias("text"))
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
