@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from tablewright.functions.columns import columns_where, ident, is_text, round_half_up
 from tablewright.functions.counts import value_columns, value_counts
+from tablewright.session import materialised
 
 CUBE_COLUMNS = 12  # 2^12 groupings of the distinct baskets; wider tables go to FP-growth
 ITEMSET_SCHEMA = "items array<string>, n bigint, support double"
@@ -47,17 +48,19 @@ def frequent_itemsets(df: DataFrame, min_support: float = MIN_SUPPORT, columns:
     items = _items(df, columns)
     counts = value_counts(items, items.columns)
     v = value_columns(counts)[0]
-    # Rows in total, and at most 1 / min_support frequent values per column.
-    n = counts.where(F.col("pos") == 0).agg(F.sum("n")).first()[0] or 0
-    if n == 0:
-        return spark.createDataFrame([], ITEMSET_SCHEMA)
+    # At most 1 / min_support frequent values per column; the total is a subquery over the same exchange.
     floor = F.lit(float(min_support))
+    total = counts.agg(F.sum(F.when(F.col("pos") == 0, F.col("n")))).scalar()
+    found = counts.withColumn("total", total).where(F.col("n") / F.col("total").cast("double") >= floor)
+    # Nulls are left out here: as a filter they would move below the exchange and cost a second scan.
+    rows = [r for r in found.select("pos", v, "n", "total").collect() if r[v] is not None]
+    if not rows:
+        return spark.createDataFrame([], ITEMSET_SCHEMA)
+    n = rows[0]["total"]
     frequent: dict[int, list[str]] = {}
-    for r in counts.where(F.col(v).isNotNull() & (F.col("n") / F.lit(float(n)) >= floor)).select("pos", v).collect():
+    for r in rows:
         frequent.setdefault(r["pos"], []).append(r[v])
     live = sorted(frequent)
-    if not live:
-        return spark.createDataFrame([], ITEMSET_SCHEMA)
     kept = items.select(*[F.when(F.col(f"i{i}").isin(frequent[i]), F.col(f"i{i}")).alias(f"i{i}") for i in live])
     names = kept.columns
     support = (F.col("n") / F.lit(float(n))).alias("support")
@@ -67,7 +70,8 @@ def frequent_itemsets(df: DataFrame, min_support: float = MIN_SUPPORT, columns:
         baskets = kept.select(F.array_compact(F.array(*names)).alias("items")).where(F.size("items") > 0)
         fitted = FPGrowth(itemsCol="items", minSupport=0.0 if min_support <= 0 else min_support * n / max(baskets.count(), 1))
         sets = fitted.fit(baskets).freqItemsets.select("items", F.col("freq").alias("n"))
-    return sets.select(F.array_sort("items").alias("items"), "n", support).where(F.col("support") >= floor)
+    sets = sets.select(F.array_sort("items").alias("items"), "n", support).where(F.col("support") >= floor)
+    return materialised(sets)  # rules read it three times
 
 
 def _cube_itemsets(kept: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.columns import ident, py_round_half_up, require_columns
 from tablewright.operators.features import Standardiser, fit_features, fit_standardiser
-from tablewright.session import persisted
+from tablewright.session import local_table, persisted
 
 MICRO_CLUSTERS = 200
 EXACT_POINTS = 5_000
@@ -91,11 +91,10 @@ def score_clusters(df: DataFrame, features: Sequence[str], label: str, exact_poi
     within = float(centres.within.sum())
     calinski = (between / (k - 1)) / (within / (n - k)) if within > 0 and n > k else 1.0
 
-    table = df.sparkSession.createDataFrame(
-        [(i, [float(x) for x in m]) for i, m in enumerate(centres.means)], "__c int, __centre array<double>"
+    table = local_table(  # one row per cluster
+        df.sparkSession, [(i, [float(x) for x in m]) for i, m in enumerate(centres.means)], "__c int, __centre array<double>"
     )
     codes = F.array(*[F.lit(v) for v in centres.labels])
-    # One row per cluster: a local table that Spark broadcasts by its size.
     spread_rows = (
         df.withColumn("__c", (F.array_position(codes, ident(label)) - 1).cast("int"))
         .join(table, "__c")

@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import ident, require_columns, round_half_up
+from tablewright.session import local_table
 
-MAX_PIVOTS = 200
+MAX_PIVOTS = 2_000
 ROWS_PER_CELL = 5_000
 BLOCK_ROWS = 20_000
 QUERY_ROWS = 5_000
@@ -116,8 +117,7 @@ def nearest_neighbours(
     plan = [
         (int(c), max(1, math.ceil(count[c] / block_rows)), max(1, math.ceil(m / query_rows))) for c, m in demand.items()
     ]
-    table = train.sparkSession.createDataFrame(plan or [(-1, 1, 1)], "cell int, blocks int, chunks int")
-    # The work table has at most MAX_PIVOTS rows and is local, so Spark broadcasts it by size.
+    table = local_table(train.sparkSession, plan or [(-1, 1, 1)], "cell int, blocks int, chunks int")  # at most MAX_PIVOTS rows
     block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     chunk = F.pmod(F.xxhash64("key", F.lit(1)), F.col("chunks")).cast("int")
     left = placed.join(table, "cell").select(

@@ -13,6 +13,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -70,6 +71,7 @@ class Prepared:
     classes: tuple[str, ...]
     n_train: int
     label_std: float
+    width: int
 
     def part(self, name: str) -> DataFrame:
         return self.data.where(F.col(SPLIT) == name)
@@ -93,6 +95,15 @@ def prepare(
     if key is None:
         key = KEY
         rows = dense_row_index(rows, KEY)
+    # The split, the encoding and the scaling read the rows several times each.
+    rows = persisted(rows)
+    try:
+        return _prepare(rows, target, classify, key, seed, fit_scope)
+    finally:
+        rows.unpersist()
+
+
+def _prepare(rows: DataFrame, target: str, classify: bool, key: str, seed: int, fit_scope: str) -> Prepared:
     placed = split_70_15_15(rows, key=key, seed=seed, stratify=target if classify else None, name=SPLIT)
     scope = placed.where(F.col(SPLIT) == "train") if fit_scope == "train" else placed
     held = [key, target, SPLIT]
@@ -116,8 +127,12 @@ def prepare(
         .transform(encoded)
         .select(ident(key).alias(KEY), label.alias(LABEL), F.col(VEC), vector_to_array(VEC).alias(ARR), F.col(SPLIT))
     )
-    train = data.where(F.col(SPLIT) == "train").agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(LABEL).alias("s")).first()
-    return Prepared(data, tuple(model.columns), classes, train["n"], train["s"] or 0.0)
+    train = (
+        data.where(F.col(SPLIT) == "train")
+        .agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(LABEL).alias("s"), F.max(F.size(ARR)).alias("w"))
+        .first()
+    )
+    return Prepared(data, tuple(model.columns), classes, train["n"], train["s"] or 0.0, train["w"] or 1)
 
 
 # ---- fitted candidates: each adds ``prediction`` (and ``prob``, an array, where it has one) ------
@@ -198,22 +213,24 @@ def fit_logistic(train: DataFrame, p: Prepared, s: Settings, vec: str = VEC) ->
     return _classifier(model, np.abs(model.coefficientMatrix.toArray()).mean(axis=0))
 
 
+def _layer(weights: np.ndarray, shifts: np.ndarray, activation: Callable, scale: float = 1.0) -> Column:
+    """scale * activation(W x + b) per row, as one matrix product per Arrow batch."""
+
+    @F.pandas_udf("array<double>")
+    def layer(x: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype="object")
+        return pd.Series(list(scale * activation(np.stack(x.to_numpy()) @ weights.T + shifts)))
+
+    return layer(F.col(ARR))
+
+
 def _fourier(width: int, size: int, seed: int) -> Column:
     """Random cosine features whose inner product approximates the RBF kernel with gamma = 1 / width."""
     rng = np.random.default_rng(seed)
     weights = rng.normal(0.0, math.sqrt(2.0 / width), size=(size, width))
     phases = rng.uniform(0.0, 2 * math.pi, size=size)
-    rows = F.array(
-        *[
-            F.struct(F.array(*[F.lit(float(w)) for w in row]).alias("w"), F.lit(float(b)).alias("b"))
-            for row, b in zip(weights, phases)
-        ]
-    )
-
-    def dot(r: Column) -> Column:
-        return F.aggregate(F.zip_with(r["w"], F.col(ARR), lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)
-
-    return array_to_vector(F.transform(rows, lambda r: F.lit(math.sqrt(2.0 / size)) * F.cos(dot(r) + r["b"])))
+    return array_to_vector(_layer(weights, phases, np.cos, math.sqrt(2.0 / size)))
 
 
 def fit_svm(train: DataFrame, p: Prepared, s: Settings) -> Fitted:
@@ -221,7 +238,7 @@ def fit_svm(train: DataFrame, p: Prepared, s: Settings) -> Fitted:
 
     ``prob`` holds logistic margins per class, which is what the stacking ensemble takes from it.
     """
-    width = max(len(p.features), 1)
+    width = p.width
     mapped = train.withColumn("__z", _fourier(width, s.svm_features, s.seed)).persist()
     try:
         codes = [1] if len(p.classes) == 2 else list(range(len(p.classes)))
@@ -261,9 +278,8 @@ def fit_neighbours(train: DataFrame, p: Prepared, s: Settings) -> Fitted:
 
 
 def fit_network(train: DataFrame, p: Prepared, s: Settings) -> Fitted:
-    width = train.select(F.size(ARR)).first()[0]
     model = MultilayerPerceptronClassifier(
-        featuresCol=VEC, labelCol=LABEL, layers=[width, *s.hidden, len(p.classes)], maxIter=s.network_iterations, seed=s.seed
+        featuresCol=VEC, labelCol=LABEL, layers=[p.width, *s.hidden, len(p.classes)], maxIter=s.network_iterations, seed=s.seed
     ).fit(train)
     return _classifier(model)
 
@@ -334,7 +350,7 @@ def _ridge(train: DataFrame, p: Prepared, alpha: float, vec: str = VEC):
     # Spark divides the penalty by the label's deviation when it standardises the label.
     return LinearRegression(
         featuresCol=vec, labelCol=LABEL, elasticNetParam=0.0, regParam=alpha * p.label_std / max(p.n_train, 1),
-        standardization=False, solver="normal" if len(p.features) <= 4000 else "l-bfgs",
+        standardization=False, solver="normal" if p.width <= 4000 else "l-bfgs",
     ).fit(train)
 
 
@@ -358,21 +374,10 @@ def fit_ols(train: DataFrame, p: Prepared, s: Settings) -> Fitted:
 
 def fit_random_layer(train: DataFrame, p: Prepared, s: Settings) -> Fitted:
     """A seeded random tanh layer with a ridge output, in place of a trained network regressor."""
-    width = max(len(p.features), 1)
     rng = np.random.default_rng(s.seed)
-    weights = rng.normal(0.0, 1.0 / math.sqrt(width), size=(s.hidden[0], width))
+    weights = rng.normal(0.0, 1.0 / math.sqrt(p.width), size=(s.hidden[0], p.width))
     shifts = rng.normal(0.0, 1.0, size=s.hidden[0])
-    rows = F.array(
-        *[
-            F.struct(F.array(*[F.lit(float(w)) for w in row]).alias("w"), F.lit(float(b)).alias("b"))
-            for row, b in zip(weights, shifts)
-        ]
-    )
-
-    def dot(r: Column) -> Column:
-        return F.aggregate(F.zip_with(r["w"], F.col(ARR), lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)
-
-    hidden = array_to_vector(F.concat(F.transform(rows, lambda r: F.tanh(dot(r) + r["b"])), F.col(ARR)))
+    hidden = array_to_vector(F.concat(_layer(weights, shifts, np.tanh), F.col(ARR)))
     model = _ridge(train.withColumn("__h", hidden), p, s.ridge_alpha, vec="__h")
 
     def score(df: DataFrame) -> DataFrame:

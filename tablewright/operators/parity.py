@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.functions.columns import ident, is_numeric_or_bool, normalise, require_columns, round_half_up
 
@@ -13,10 +14,23 @@ from tablewright.functions.columns import ident, is_numeric_or_bool, normalise,
 PARITY_FLOOR = 0.80
 
 
-def _base(df: DataFrame, sensitive: str, outcome: str) -> DataFrame:
+def _base(df: DataFrame, sensitive: str, outcome: str, favorable: object | None) -> tuple[DataFrame, Column]:
+    """Counts by (key, o) and the favourable value of o.
+
+    Whole numbers, booleans and texts are counted as they are. A given favourable value, or the
+    maximum of a fractional outcome, turns the outcome into a flag first, so that a continuous
+    outcome does not reach the shuffle value by value.
+    """
     require_columns(df, sensitive, outcome)
-    both = df.select(ident(sensitive).alias("key"), ident(outcome).alias("o"))
-    return normalise(both).groupBy("key", "o").agg(F.count(F.lit(1)).alias("n"))
+    both = normalise(df.select(ident(sensitive).alias("key"), ident(outcome).alias("o")))
+    if favorable is None and isinstance(both.schema["o"].dataType, (T.FloatType, T.DoubleType)):
+        value = both.agg(F.max("o")).scalar()
+    else:
+        value = None if favorable is None else F.lit(favorable)
+    if value is not None:
+        both = both.select("key", F.coalesce(F.col("o") == value, F.lit(False)).alias("o"))
+    counts = both.groupBy("key", "o").agg(F.count(F.lit(1)).alias("n"))
+    return counts, F.lit(True) if value is not None else default_favorable(counts)
 
 
 def default_favorable(counts: DataFrame) -> Column:
@@ -35,10 +49,6 @@ def default_favorable(counts: DataFrame) -> Column:
     )
 
 
-def _favorable(counts: DataFrame, value: object | None) -> Column:
-    return default_favorable(counts) if value is None else F.lit(value)
-
-
 def _rates(counts: DataFrame, favorable: Column) -> DataFrame:
     # Dropping the null cohort by its row count, not by its key, keeps the filter above the exchange.
     hits = F.sum(F.when(F.col("o") == favorable, F.col("n")).otherwise(F.lit(0)))
@@ -61,8 +71,7 @@ def _judged(rates: DataFrame) -> DataFrame:
 
 def group_rates(df: DataFrame, sensitive: str, outcome: str, favorable: object | None = None) -> DataFrame:
     """(cohort, n, rate): null outcomes stay in the denominator, null groups drop out."""
-    counts = _base(df, sensitive, outcome)
-    return _rates(counts, _favorable(counts, favorable)).select(F.col("key").cast("string").alias("cohort"), "n", "rate")
+    return _rates(*_base(df, sensitive, outcome, favorable)).select(F.col("key").cast("string").alias("cohort"), "n", "rate")
 
 
 def parity_audit(
@@ -77,8 +86,7 @@ def parity_audit(
     One scan: rows collapse map-side to (cohort, outcome) counts; the favourable value and the
     benchmark rate are scalar subqueries over that same exchange.
     """
-    counts = _base(df, sensitive, outcome)
-    return _judged(_rates(counts, _favorable(counts, favorable))).select(
+    return _judged(_rates(*_base(df, sensitive, outcome, favorable))).select(
         F.col("key").cast("string").alias("cohort"),
         "n",
         "rate",
@@ -100,9 +108,13 @@ def parity_verdict(
     floor: float = PARITY_FLOOR,
 ) -> DataFrame:
     """One row: status, favourable value, benchmark cohort, counts and the sentence for the report."""
-    counts = _base(df, sensitive, outcome)
-    fav = _favorable(counts, favorable)
-    judged = _judged(_rates(counts, fav))
+    counts, hit = _base(df, sensitive, outcome, favorable)
+    judged = _judged(_rates(counts, hit))
+    fav = hit
+    if favorable is not None:
+        fav = F.lit(favorable)
+    elif isinstance(df.schema[outcome].dataType, (T.FloatType, T.DoubleType, T.DecimalType)):
+        fav = normalise(df.select(ident(outcome))).agg(F.max(ident(outcome))).scalar()
     totals = judged.agg(
         F.count(F.lit(1)).alias("n_cohorts"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),

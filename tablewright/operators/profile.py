@@ -66,9 +66,10 @@ def profile(df: DataFrame, samples: int = 3) -> DataFrame:
         .select("pos", F.transform("first", lambda x: x["text"]).alias("sample_values"))
     )
     return (
-        names.join(stats, names["position"] == stats["pos"], "left")
+        # Both sides have one row per column.
+        names.join(F.broadcast(stats), names["position"] == stats["pos"], "left")
         .drop("pos")
-        .join(firsts, F.col("position") == firsts["pos"], "left")
+        .join(F.broadcast(firsts), F.col("position") == firsts["pos"], "left")
         .select(
             "position",
             "column",
@@ -114,7 +115,7 @@ def profile_approx(df: DataFrame, lg_k: int = 12) -> DataFrame:
         for i in range(len(df.columns))
     ]
     stats = df.agg(*aggs).select(F.inline(F.array(*cells)))
-    return names.join(stats, names["position"] == stats["pos"]).select(
+    return names.join(F.broadcast(stats), names["position"] == stats["pos"]).select(  # one row per column
         "position",
         "column",
         "dtype",

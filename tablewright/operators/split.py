@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.columns import ident, require_columns, round_half_up
-from tablewright.session import materialised, numbered
+from tablewright.session import local_or_written, local_table, materialised, numbered
 
 DIGITS = 4  # 65,536 bins: 15 million rows per bin at 10^12 rows
 MAX_LOCAL_CUTS = 100_000
@@ -61,7 +61,9 @@ def _cuts(hashed: DataFrame) -> DataFrame:
         .where((F.col("upto") <= F.col("upto_bin")) & (F.col("upto") > F.col("upto_bin") - F.col("n")))
         .select("c", "p", (F.col("upto_bin") - F.col("n")).alias("before"), "cut", "upto")
     )
-    # At most two bins per class; the bins of one class hold n / 65,536 rows each.
+    # At most two bins per class, so this is a few rows unless classes abound; the bins of one class
+    # hold n / 65,536 rows each.
+    bins = local_or_written(bins, MAX_LOCAL_CUTS)
     inside = binned.alias("b").join(
         bins.select("c", "p").distinct().alias("w"), (F.col("b.c").eqNullSafe(F.col("w.c"))) & (F.col("b.p") == F.col("w.p")), "left_semi"
     )
@@ -139,7 +141,8 @@ def split_70_15_15(
             F.lit(b[0]).cast("string"), F.lit(b[1]).cast("string"), F.lit(b[2]).cast("bigint"), F.lit(b[3]).cast("bigint")
         )
         return df.select(*[ident(c) for c in columns], bound.alias(name))
-    table = df.sparkSession.createDataFrame(
+    table = local_table(
+        df.sparkSession,
         [(c, *b) for c, b in bounds.items()],
         T.StructType(
             [
@@ -151,7 +154,6 @@ def split_70_15_15(
             ]
         ),
     )
-    # A local table of checked size: Spark broadcasts it under its own threshold.
     placed = df.join(table, cls.eqNullSafe(F.col("__c")), "left")
     out = placed.withColumn(name, part(F.col("__h1"), F.col("__h2"), F.col("__i1"), F.col("__i2")))
     return out.select(*[ident(c) for c in columns], name)
@@ -190,7 +192,7 @@ def dense_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
     for p, n in counts:  # one entry per partition
         offsets.append((p, seen))
         seen += n
-    table = df.sparkSession.createDataFrame(offsets, "__p bigint, __offset bigint")
+    table = local_table(df.sparkSession, offsets, "__p bigint, __offset bigint")
     within = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
     return (
         fixed.withColumn("__p", part)

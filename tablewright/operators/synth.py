@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.columns import columns_where, distinct_sketch, ident, is_number, normalise, round_half_up
-from tablewright.session import numbered
+from tablewright.session import local_table, numbered
 
 # When a table is sparse, how far it grows, and the noise relative to the deviation.
 MIN_ROWS, TARGET_ROWS, NOISE = 30, 100, 0.08
@@ -46,7 +46,7 @@ def _numbered(fixed: DataFrame, keep: Column | None, columns: list[str], index:
     for p, n in counts:  # one entry per partition
         offsets.append((p, seen))
         seen += n
-    table = fixed.sparkSession.createDataFrame(offsets or [(-1, 0)], "__p bigint, __offset bigint")
+    table = local_table(fixed.sparkSession, offsets or [(-1, 0)], "__p bigint, __offset bigint")
     rows = rows.withColumn("__p", part)
     if keep is None:
         local = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))

@@ -5,10 +5,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+SPREAD_ROWS = (10_000, 5_000_000)
+LOCAL_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,20 +36,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def persisted(df: DataFrame) -> DataFrame:
-    """The table in memory and on disk, filled, for steps that read it many times.
+def spread(df: DataFrame) -> DataFrame:
+    """A table of moderate size over all cores; a large one already has its own partitions.
 
-    A table with fewer partitions than the cluster has cores is small; it is spread over all of them.
+    Small files often arrive as one partition, which would keep every later step on one core.
     """
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if SPREAD_ROWS[0] <= df.count() <= SPREAD_ROWS[1]:
+        return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return df
+
+
+def persisted(df: DataFrame) -> DataFrame:
+    """The table in memory and on disk, filled, for steps that read it many times."""
+    df = spread(df).persist(StorageLevel.MEMORY_AND_DISK)
     df.count()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:  # of the filled cache, so nothing is computed here
-        return df
-    spread = df.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
-    spread.count()
-    df.unpersist()
-    return spread
+    return df
 
 
 def materialised(df: DataFrame) -> DataFrame:
@@ -58,9 +64,22 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path).toDF(*names)
 
 
+def local_table(spark: SparkSession, rows: Sequence, schema: str | T.StructType) -> DataFrame:
+    """Rows the driver already holds, as a table. Their number is checked: up to LOCAL_ROWS are broadcast,
+    so that the large side of a join is not shuffled; more are joined as Spark sees fit."""
+    table = spark.createDataFrame(list(rows), schema)
+    return F.broadcast(table) if len(rows) <= LOCAL_ROWS else table
+
+
+def local_or_written(df: DataFrame, limit: int) -> DataFrame:
+    """A result of at most ``limit`` rows as a local table, a larger one as a written table."""
+    rows = df.limit(limit + 1).collect()
+    return materialised(df) if len(rows) > limit else local_table(df.sparkSession, rows, df.schema)
+
+
 def numbered(df: DataFrame, name: str = "__id") -> DataFrame:
     """A materialised copy with a unique row number: partition number times 2^33 plus place in it.
 
     The numbers are stored with the rows, so every later read sees the same ones.
     """
-    return materialised(df.withColumn(name, F.monotonically_increasing_id()))
+    return materialised(spread(df).withColumn(name, F.monotonically_increasing_id()))
