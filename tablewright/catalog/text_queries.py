@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tablewright.catalog.tables import table
 from tablewright.functions.columns import round_half_up
 from tablewright.operators import text
+from tablewright.session import spread
 
 LEXICON = text.Lexicon(
     categories={
@@ -24,20 +25,25 @@ DIRECTIVE = {
 }
 
 
+def _documents(spark, d):
+    """The given file is a single row group; text work is spread over the cores while the table is small."""
+    return spread(table(spark, d, "documents"))
+
+
 def chunks_paragraph(spark, d):
-    out = text.chunk_documents(table(spark, d, "documents"), "doc_id", "text", separator="\n")
+    out = text.chunk_documents(_documents(spark, d), "doc_id", "text", separator="\n")
     return out.where("kind = 'paragraph'").drop("kind")
 
 
 def chunks_window(spark, d):
     """Documents whose every paragraph is short fall back to windows over the whole text."""
-    docs = table(spark, d, "documents").select("doc_id", F.replace("text", F.lit(" "), F.lit("\n\n")).alias("text"))
+    docs = _documents(spark, d).select("doc_id", F.replace("text", F.lit(" "), F.lit("\n\n")).alias("text"))
     return text.chunk_documents(docs, "doc_id", "text").where("kind = 'window'").drop("kind")
 
 
 def chunks_capped(spark, d):
     """The report's cap: the first 30 chunks of each document."""
-    out = text.chunk_documents(table(spark, d, "documents"), "doc_id", "text", separator="\n", max_chunks=text.CHUNK_CAP)
+    out = text.chunk_documents(_documents(spark, d), "doc_id", "text", separator="\n", max_chunks=text.CHUNK_CAP)
     return out.groupBy("key", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("chunk")).alias("chars"))
 
 
@@ -58,11 +64,11 @@ def extract_topic(spark, d):
 
 
 def extract_topic_documents(spark, d):
-    return text.main_topic(table(spark, d, "documents"), ["doc_id"], "text")
+    return text.main_topic(_documents(spark, d), ["doc_id"], "text")
 
 
 def extract_directive(spark, d):
-    return text.extract_fields(table(spark, d, "documents"), "text", DIRECTIVE, keep=["doc_id"])
+    return text.extract_fields(_documents(spark, d), "text", DIRECTIVE, keep=["doc_id"])
 
 
 def extract_rejects(spark, d):

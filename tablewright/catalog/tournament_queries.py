@@ -243,7 +243,31 @@ _SECTIONS = f"""
                        'Retrain when the holdout score falls below the validation score.')
 """
 
+_COLUMNS = [f"d{i}" for i in range(16)]
+_NEIGHBOURS = f"""
+    WITH ranked AS (SELECT vec_id, label, {", ".join(f"embedding[{i + 1}]::DOUBLE AS d{i}" for i in range(16))},
+                           row_number() OVER (PARTITION BY label ORDER BY md5(vec_id::VARCHAR || '42')) AS r,
+                           count(*) OVER (PARTITION BY label) AS n FROM embeddings),
+    sized AS (SELECT *, CASE WHEN n > 1 THEN (3 * n + 9) // 10 ELSE 0 END AS held FROM ranked),
+    placed AS (SELECT *, CASE WHEN r <= n - held THEN 'train' WHEN r <= n - (held + 1) // 2 THEN 'val' ELSE 'test' END AS split FROM sized),
+    m AS (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in _COLUMNS)} FROM placed WHERE split = 'train'),
+    z AS (SELECT vec_id, label, split, [{", ".join(f"({c} - m_{c}) / s_{c}" for c in _COLUMNS)}] AS x FROM placed, m),
+    pairs AS (SELECT q.vec_id AS query, q.split, q.label AS y, t.vec_id AS neighbour, t.label,
+                     {rounded("list_distance(q.x, t.x)", 9)} AS distance FROM z q, z t WHERE q.split <> 'train' AND t.split = 'train'),
+    near AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY query ORDER BY distance, neighbour) <= 5),
+    votes AS (SELECT query, split, y, label, count(*) AS v FROM near GROUP BY ALL),
+    pred AS (SELECT query, split, y, label AS p FROM votes QUALIFY row_number() OVER (PARTITION BY query ORDER BY v DESC, label) = 1),
+    sup AS (SELECT split, y AS c, count(*) AS sup, count(*) FILTER (y = p) AS tp FROM pred GROUP BY ALL),
+    called AS (SELECT split, p AS c, count(*) AS called FROM pred GROUP BY ALL),
+    f AS (SELECT split, sum(sup * 2.0::DOUBLE * tp / (sup + coalesce(called, 0))) / sum(sup)::DOUBLE AS f1,
+                 sum(tp) / sum(sup)::DOUBLE AS acc FROM sup LEFT JOIN called USING (split, c) GROUP BY 1)
+"""
+
 ORACLES = {
+    "leaderboard_neighbours": _NEIGHBOURS + f"""
+      SELECT 1 AS rank, 'K-Nearest Neighbors' AS algorithm, {rounded("max(f1) FILTER (split = 'val')", 4)} AS val_f1,
+             {rounded("max(f1) FILTER (split = 'test')", 4)} AS test_f1,
+             format('{{:.2f}}%', 100 * max(acc) FILTER (split = 'test')) AS test_accuracy, 'Winner' AS verdict FROM f""",
     "leaderboard_ols": _board("Linear Regression (OLS)", "0"),
     "leaderboard_ridge": _board("Ridge Regression (L2)", "1.0::DOUBLE"),
     "holdout_residuals": _OLS.replace("ALPHA", "0") + f"""

@@ -30,7 +30,9 @@ def strip(c: Column) -> Column:
 def paragraphs(text: Column, separator: str = PARAGRAPH_SEPARATOR, longer_than: int = PARAGRAPH_LENGTH) -> Column:
     """Array of stripped parts longer than the limit."""
     parts = F.split(text, "".join("\\" + c if not c.isalnum() and not c.isspace() else c for c in separator), -1)
-    return F.filter(F.transform(parts, strip), lambda s: F.length(s) > longer_than)
+    # Stripping only shortens, so the many short parts are dropped before it.
+    long = F.filter(parts, lambda s: F.length(s) > longer_than)
+    return F.filter(F.transform(long, strip), lambda s: F.length(s) > longer_than)
 
 
 def windows(text: Column, size: int = WINDOW_SIZE, span: int | None = None, longer_than: int = WINDOW_LENGTH) -> Column:
@@ -38,9 +40,9 @@ def windows(text: Column, size: int = WINDOW_SIZE, span: int | None = None, long
 
     The whole text is cut; ``span=WINDOW_SPAN`` keeps to the leading characters.
     """
-    length = F.length(text) if span is None else F.least(F.length(text), F.lit(span))
-    starts = F.when(length > 0, F.sequence(F.lit(0), length - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))
-    cut = F.transform(starts, lambda i: text.substr(i + 1, F.least(F.lit(size), length - i)))
+    # One pattern walks the text once; substrings by position would walk it once per window.
+    body = text if span is None else F.substring(text, 1, span)
+    cut = F.regexp_extract_all(body, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
     return F.filter(cut, lambda w: F.length(strip(w)) > longer_than)
 
 
