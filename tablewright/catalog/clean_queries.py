@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tablewright.catalog.tables import CUSTOMER_WITH_NULLS, customer_with_nulls, rounded, table
-from tablewright.functions.columns import round_half_up
+from tablewright.functions.columns import py_round_half_up, round_half_up
+from tablewright.functions.ranks import exact_medians
 from tablewright.operators import clean, profile, rules
 
 RECIPE = clean.CleaningRecipe(
@@ -39,26 +42,14 @@ def clean_log_drop_rows(spark, d):
 
 def clean_lineitem_medians(spark, d):
     """Medians of four columns of the largest table after one column lost part of its values."""
-    from pyspark.sql import functions as F
-
     li = table(spark, d, "lineitem").select(
         F.when(F.col("l_orderkey") % 7 != 0, F.col("l_extendedprice")).alias("l_extendedprice"),
         "l_quantity",
         "l_discount",
         "l_partkey",
     )
-    from tablewright.functions.ranks import exact_medians
-
-    found = exact_medians(li, li.columns)
-    return spark.createDataFrame(
-        [(c, clean_round(v)) for c, v in found.items()], "column string, median double"
-    )
-
-
-def clean_round(v):
-    from tablewright.functions.columns import py_round_half_up
-
-    return py_round_half_up(v, 4)
+    rows = [(c, py_round_half_up(v, 4)) for c, v in exact_medians(li, li.columns).items()]
+    return spark.createDataFrame(rows, "column string, median double")
 
 
 def intent_orders(spark, d):

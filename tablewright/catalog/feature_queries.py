@@ -193,6 +193,6 @@ ORACLES = {
       c AS (SELECT 'train' AS split, n - held AS n FROM t UNION ALL SELECT 'val', held - (held + 1) // 2 FROM t
             UNION ALL SELECT 'test', (held + 1) // 2 FROM t) {_SHARES}""",
     "row_index": """
-      SELECT count(*) AS n, 0 AS first, count(*) - 1 AS last, (count(*) * (count(*) - 1) // 2)::BIGINT AS total,
+      SELECT count(*) AS n, 0::BIGINT AS first, count(*) - 1 AS last, (count(*) * (count(*) - 1) // 2)::BIGINT AS total,
              sum(o_orderkey)::BIGINT AS keys FROM orders""",
 }

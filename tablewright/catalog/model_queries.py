@@ -193,7 +193,7 @@ ORACLES = {
     "ideal_bounds": _LINE + f"""
       SELECT {rounded("least(min(actual), min(predicted))", 3)} AS low,
              {rounded("greatest(max(actual), max(predicted))", 3)} AS high FROM pred""",
-    "knn_neighbours": _KNN + f"SELECT query, neighbour, rank, {rounded('distance', 6)} AS distance FROM near",
+    "knn_neighbours": _KNN + f"SELECT query, neighbour, rank::INTEGER AS rank, {rounded('distance', 6)} AS distance FROM near",
     "knn_vote": _KNN + """
       SELECT query, label AS prediction FROM (SELECT query, label, count(*) AS v FROM near GROUP BY 1, 2)
       QUALIFY row_number() OVER (PARTITION BY query ORDER BY v DESC, label) = 1""",

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablewright.catalog.tables import CUSTOMER_WITH_NULLS, customer_with_nulls, rounded, table
+from tablewright.catalog.tables import CUSTOMER_WITH_NULLS, customer_with_nulls, table
 from tablewright.operators import synth
 from tablewright.session import scratch_path
 from tablewright.sources import jsonlines, readers
@@ -105,7 +105,7 @@ QUERIES = {
 }
 
 ORACLES = {
-    "csv_roundtrip": CUSTOMER_WITH_NULLS,
+    "csv_roundtrip": f"SELECT * REPLACE (c_nationkey::BIGINT AS c_nationkey) FROM ({CUSTOMER_WITH_NULLS})",
     "csv_null_tokens": """
       SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS o_totalprice,
              CASE WHEN o_orderkey % 11 <> 0 THEN o_orderpriority END AS o_orderpriority, o_orderstatus = 'F' AS finished
@@ -123,7 +123,7 @@ ORACLES = {
     "synthesise_customer": """
       WITH c AS (SELECT count(*) AS n, count(DISTINCT CASE WHEN c_custkey % 11 <> 0 THEN c_mktsegment END) AS segments,
                         count(*) FILTER (c_custkey % 11 = 0) AS gaps FROM customer)
-      SELECT false AS is_synthetic, n, segments, 0 AS unknown_names, gaps AS null_segments, true AS balance_in_range, true AS grown FROM c
+      SELECT false AS is_synthetic, n, segments, 0::BIGINT AS unknown_names, gaps AS null_segments, true AS balance_in_range, true AS grown FROM c
       UNION ALL SELECT true, n, segments, 0, 0, true, true FROM c""",
-    "synthesise_not_needed": "SELECT count(*) AS n, 0 AS synthetic, false AS grown FROM customer",
+    "synthesise_not_needed": "SELECT count(*) AS n, 0::BIGINT AS synthetic, false AS grown FROM customer",
 }

@@ -136,7 +136,7 @@ def _kmo_sql(relation: str, x: str, y: str, z: str) -> str:
 
 def _welch_sql(feature: str) -> str:
     return f"""
-    SELECT '{feature}' AS feature, 'Independent T-Test' AS test, 2 AS classes, na + nb AS num_rows,
+    SELECT '{feature}' AS feature, 'Independent T-Test' AS test, 2::BIGINT AS classes, na + nb AS num_rows,
            {rounded("(ma - mb) / sqrt(va / na + vb / nb)", 3)} AS statistic, 1.0::DOUBLE AS df1,
            {rounded("power(va / na + vb / nb, 2) / (power(va / na, 2) / (na - 1) + power(vb / nb, 2) / (nb - 1))", 3)} AS df2
     FROM (SELECT count({feature}) FILTER (l_linestatus = 'F') AS na, count({feature}) FILTER (l_linestatus = 'O') AS nb,

@@ -3,8 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablewright.catalog.tables import rounded, table
-from tablewright.functions.columns import round_half_up
-from tablewright.operators import cluster, metrics, models, report, split, stats
+from tablewright.operators import cluster, metrics, models, report, split
 from tablewright.plans.advisory import run_advisory
 
 # Small models, so that a registered query measures the operators and not the size of the zoo.
