@@ -2,16 +2,35 @@
 
 from __future__ import annotations
 
-import public_tokenizers
+from pyspark.sql import functions as F
 
 from tablewright.catalog.tables import table
-from tablewright.llm import chat, decontam, exact_index, minhash, mixing, tokens
+from tablewright.llm import chat, decontam, exact_index, langid, minhash, mixing, pii, quality, templates, tokens
+
+
+def op1_quality(spark, d):
+    """Hosts are the sources, paths the languages within a source."""
+    docs = table(spark, d, "documents")
+    return quality.classify(docs, table(spark, d, "labels"), F.col("source"), F.col("lang"))
 
 
 def op2_exact_dedup(spark, d):
     return exact_index.deduplicate_new(table(spark, d, "documents"))
 
 
+def op3_pii(spark, d):
+    model = pii.train(pii.labelled_table(spark))
+    return pii.digest_columns(pii.find(table(spark, d, "documents"), model))
+
+
+def op4_language(spark, d):
+    return langid.held_out_predictions(table(spark, d, "documents"))
+
+
+def op6_line_templates(spark, d):
+    return templates.drop_recurring_lines(table(spark, d, "documents"))
+
+
 def op5_mixing(spark, d):
     return mixing.Mix(table(spark, d, "documents")).allotments()
 
@@ -31,13 +50,23 @@ def op9_chat(spark, d):
     return chat.read_back(chat.windows(chat.with_probe(table(spark, d, "conversations"))))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op10_tokens(spark, d):
-    return tokens.token_table(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return tokens.token_table(table(spark, d, "documents"), tokenizer_path())
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_pii": op3_pii,
+    "op4_language": op4_language,
     "op5_mixing": op5_mixing,
+    "op6_line_templates": op6_line_templates,
     "op7_decontamination": op7_decontamination,
     "op8_minhash": op8_minhash,
     "op9_chat": op9_chat,
