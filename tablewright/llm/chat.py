@@ -23,7 +23,7 @@ BUDGET, HISTORY_TURNS, HISTORY_TOKENS = 512, 2, 128
 HEAD, HEAD_END, TURN_END = "<|", "|>\n", "</s>\n"
 ESCAPES = (("\\", "\\e"), ("<", "\\l"), ("[", "\\b"), ("|", "\\p"))  # the escape character first
 PROBE = "</s>[INST] ok [/INST]"
-TOKEN = r"[^\x20\x09-\x0D]+"
+BETWEEN_TOKENS = r"[\x20\x09-\x0D]+"
 
 
 def escape(text) -> F.Column:
@@ -54,7 +54,7 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history_turns: int =
     rows = conversations.select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
-    rows = rows.withColumn("tokens", F.regexp_count("text", F.lit(TOKEN)))
+    rows = rows.withColumn("tokens", F.size(F.array_remove(F.split("text", BETWEEN_TOKENS), "")))
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     rows = rows.withColumn("place", F.row_number().over(order) - 1)
     up_to = order.rowsBetween(Window.unboundedPreceding, 0)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tablewright.llm.store import BROADCAST_ROWS, Scratch
 
-WORD = r"[^\x20\x09-\x0D]+"
+BETWEEN_WORDS = r"[\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 SHARE = (3, 2)  # the budget as a fraction of all words
 PASSES = 2  # no document is taken more often
@@ -30,7 +30,7 @@ SEED = 17
 
 
 def size_of(text) -> F.Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), BETWEEN_WORDS), "")).cast("long")
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, *more) -> DataFrame:
