@@ -3,8 +3,8 @@
 A window is ``width`` consecutive words of a benchmark item; an item of fewer words is one window. Scanning every window
 of every text would emit a row per word. Instead texts are cut into blocks of ``seed = (width + 1) // 2`` words:
 every occurrence of a window covers at least one whole block, whatever its place. A block's hash is looked up in the
-broadcast set of all seeds of the windows; only hits go on, with the words around them, and are verified by
-comparing the window's words themselves. One scan serves windows of one width; shorter items get a scan per length.
+broadcast set of all seeds of the windows. Only texts with hits are read again, and every window around a hit is verified
+by comparing its words themselves. Windows of shorter items have seeds of their own in the same scan.
 
 Defined cases: a null or empty text, or one without words, has no hits and is not contaminated; benchmark items without words
 are left out; equal items are hit together. Rows that repeat both doc_id and text give equal rows. Empty tables give
@@ -16,15 +16,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.llm.store import Scratch
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WIDTH = 13
-BROADCAST_SEEDS = 2_000_000
+BROADCAST_ROWS = 250_000
 
 
 def words_of(text) -> F.Column:
     lowered = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(lowered, BETWEEN_WORDS), "")
 
 
 def _windows(benchmark: DataFrame, item_col: str, text_col: str, width: int) -> DataFrame:
@@ -38,101 +40,113 @@ def _windows(benchmark: DataFrame, item_col: str, text_col: str, width: int) ->
     return items.select("item", size.alias("size"), F.explode(F.array_distinct(window)).alias("window")).distinct()
 
 
-def _seeds(windows: DataFrame, size: int, seed: int) -> DataFrame:
-    """The hashes of all runs of ``seed`` words inside windows of ``size`` words."""
+def _seed_size(size: int) -> int:
+    return (size + 1) // 2
+
+
+def _seeds_at(words, places, size: int) -> F.Column:
+    """(seed, at) of the run of ``_seed_size(size)`` words at each place; runs of another size never look alike."""
+    n = F.lit(_seed_size(size))
+    return F.transform(places, lambda p: F.struct(F.xxhash64(F.lit(size), F.slice(words, p + 1, n)).alias("seed"), p.alias("at")))
+
+
+def _seeds(windows: DataFrame, sizes: list[int]) -> DataFrame:
+    """(seed, size): the hashes of all runs of ``_seed_size(size)`` words inside the windows."""
     w = F.split("window", " ")
-    runs = F.transform(F.sequence(F.lit(1), F.lit(size - seed + 1)), lambda i: F.xxhash64(F.slice(w, i, seed)))
-    return windows.filter(F.col("size") == size).select(F.explode(runs).alias("seed")).distinct()
+    parts = []
+    for size in sizes:
+        runs = _seeds_at(w, F.sequence(F.lit(0), F.lit(size - _seed_size(size))), size)
+        own = windows.filter(F.col("size") == size).select(F.explode(runs).alias("s"))
+        parts.append(own.select(F.col("s.seed").alias("seed"), F.lit(size).alias("seed_of")).distinct())
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
 
 
 def _bounded(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast when the size, which was counted, allows it; otherwise Spark joins it as a table."""
-    return F.broadcast(df) if rows <= BROADCAST_SEEDS else df
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _hits(texts: DataFrame, windows: DataFrame, size: int) -> DataFrame:
-    """(key columns, n_words, start, window) for each occurrence of a window of ``size`` words, and one row per text
-    with a null start, which keeps texts without hits."""
-    seed = (size + 1) // 2
-    seeds = _seeds(windows, size, seed)
+def _scan(texts: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
+    """One row per different (doc_id, text): n_words, its copies, and the blocks found among the seeds (``seed_of``, ``at``)."""
     n = F.size("w")
-    places = F.when(n >= seed, F.sequence(F.lit(0), n - seed, F.lit(seed))).otherwise(F.array().cast("array<int>"))
-    before = size - seed
-    first = lambda p: F.greatest(p - before, F.lit(0))
-    block = F.transform(
-        places,
-        lambda p: F.struct(
-            F.xxhash64(F.slice("w", p + 1, seed)).alias("seed"),
-            first(p).alias("first"),
-            F.slice("w", first(p) + 1, p + size - first(p)).alias("around"),
-        ),
-    )
-    marker = F.struct(F.lit(None).cast("long").alias("seed"), F.lit(None).cast("int").alias("first"),
-                      F.lit(None).cast("array<string>").alias("around"))
-    blocks = texts.select("doc_id", "text_hash", n.cast("long").alias("n_words"),
-                          F.explode(F.concat(F.array(marker), block)).alias("b"))
-    blocks = blocks.select("doc_id", "text_hash", "n_words", "b.*")
-    known = _bounded(seeds, seeds.count()).withColumn("known", F.lit(True))
-    found = blocks.join(known, "seed", "left").filter(F.col("known") | F.col("first").isNull())
-    inside = F.transform(
-        F.sequence(F.lit(0), F.size("around") - size),
-        lambda i: F.struct((F.col("first") + i).alias("start"),
-                           F.array_join(F.slice("around", i + 1, size), " ").alias("window")),
+    none = F.array().cast("array<struct<seed:bigint,at:int>>")
+    blocks = F.array(F.struct(F.lit(None).cast("long").alias("seed"), F.lit(-1).alias("at")))  # keeps texts without hits
+    for size in sizes:
+        k = _seed_size(size)
+        block = _seeds_at(F.col("w"), F.sequence(F.lit(0), n - k, F.lit(k)), size)
+        blocks = F.concat(blocks, F.when(n >= k, block).otherwise(none))
+    rows = texts.select("doc_id", "text_hash", n.cast("long").alias("n_words"), F.explode(blocks).alias("b"))
+    rows = rows.select("doc_id", "text_hash", "n_words", "b.seed", "b.at")
+    if sizes:
+        seeds = _seeds(windows, sizes)
+        rows = rows.join(_bounded(seeds, seeds.count()), "seed", "left").filter("seed_of IS NOT NULL OR at < 0")
+    else:
+        rows = rows.withColumn("seed_of", F.lit(None).cast("int"))
+    return rows.groupBy("doc_id", "text_hash", "n_words").agg(
+        F.count_if(F.col("at") < 0).alias("copies"), F.collect_set(F.when(F.col("at") >= 0, F.struct("seed_of", "at"))).alias("found")
     )
-    none = F.array(F.struct(F.lit(None).cast("int").alias("start"), F.lit(None).cast("string").alias("window")))
-    whole = F.col("first").isNotNull() & (F.size("around") >= size)
-    candidates = found.filter(whole | F.col("first").isNull()).select(
-        "doc_id", "text_hash", "n_words", F.explode(F.when(whole, inside).otherwise(none)).alias("c")
-    ).select("doc_id", "text_hash", "n_words", "c.*")
-    listed = windows.filter(F.col("size") == size).select("window").distinct()
-    exact = _bounded(listed, listed.count()).withColumn("real", F.lit(True))
-    return candidates.join(exact, "window", "left").filter(F.col("real") | F.col("start").isNull()).select(
-        "doc_id", "text_hash", "n_words", "start", F.lit(size).alias("size"), "window"
+
+
+def _occurrences(texts: DataFrame, scanned: DataFrame, windows: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, start, size, window): the real occurrences of windows that cover a found block. Only texts with
+    found blocks are cut into words again."""
+    found = scanned.filter(F.size("found") > 0).select(
+        F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), "found"
     )
+    found = _bounded(found, found.count())
+    rows = texts.join(found, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("text_hash") == F.col("__hash")))
+    rows = rows.withColumn("w", words_of(F.col("text")))
+    n = F.size("w")
+
+    def around(f):
+        """Every window place that covers the block at ``f``."""
+        size = f["seed_of"]
+        first = F.greatest(f["at"] - (size - F.floor((size + 1) / 2).cast("int")), F.lit(0))
+        last = F.least(f["at"], n - size)
+        places = F.when(first <= last, F.sequence(first, F.greatest(first, last))).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.struct(size.alias("size"), i.alias("start")))
+
+    places = F.array_distinct(F.flatten(F.transform("found", around)))
+    windows_at = F.transform(places, lambda x: F.struct(
+        x["size"].alias("size"), x["start"].alias("start"), F.array_join(F.slice("w", x["start"] + 1, x["size"]), " ").alias("window")))
+    rows = rows.select("doc_id", "text_hash", F.explode(windows_at).alias("o")).select("doc_id", "text_hash", "o.*")
+    listed = windows.select("size", "window").distinct()
+    return rows.join(_bounded(listed, listed.count()), ["size", "window"])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text: str = "text", width: int = WIDTH) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit (words inside any occurrence), n_items, items (sorted as strings),
     hits (starts and sizes of occurrences), contaminated (at least one hit word in twenty), text_hash."""
-    windows = _windows(benchmark, item_col, item_text, width).persist()
-    try:
-        sizes = [r["size"] for r in windows.select("size").distinct().collect()]  # at most ``width`` values
-        texts = docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"),
-            words_of(F.col(text_col)).alias("w"),
-        )
-        parts = [_hits(texts, windows, size) for size in sorted(sizes)]
-        if not parts:
-            plain = texts.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"),
-                                 F.lit(None).cast("int").alias("start"), F.lit(0).alias("size"),
-                                 F.lit(None).cast("string").alias("window"))
-            parts = [plain]
-        rows = parts[0]
-        for part in parts[1:]:
-            rows = rows.unionByName(part.filter(F.col("start").isNotNull()))
-        of_window = windows.groupBy("window").agg(F.collect_set("item").alias("items_of"))
-        of_window = _bounded(of_window, windows.count())
-    finally:
-        windows.unpersist()
-    hit = F.struct("start", "size")
-    found = rows.join(of_window, "window", "left").groupBy("doc_id", "text_hash", "n_words").agg(
-        F.collect_set(F.when(F.col("start").isNotNull(), hit)).alias("hits"),
+    scratch = Scratch(docs.sparkSession, "decontam")
+    windows = scratch.write(_windows(benchmark, item_col, item_text, width), "windows")
+    sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # at most ``width`` values
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    scanned = scratch.write(_scan(texts.withColumn("w", words_of(F.col("text"))), windows, sizes), "scanned")
+    real = _occurrences(texts, scanned, windows)
+    of_window = windows.groupBy("window").agg(F.collect_set("item").alias("items_of"))
+    real = real.join(_bounded(of_window, windows.count()), "window").groupBy(
+        F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash")
+    ).agg(
+        F.array_sort(F.collect_set(F.struct("start", "size"))).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items_of")))).alias("items"),
-        F.count_if(F.col("start").isNull()).alias("copies"),
-    )
-    covered = F.array_distinct(
-        F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["size"] - 1)))
     )
+    real = scratch.write(real, "hits")
+    key = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("text_hash") == F.col("__hash"))
+    rows = scanned.join(_bounded(real, real.count()), key, "left")
+    hits = F.coalesce("hits", F.array().cast("array<struct<start:int,size:int>>"))
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    covered = F.array_distinct(F.flatten(F.transform(hits, lambda h: F.sequence(h["start"], h["start"] + h["size"] - 1))))
     n_hit = F.size(covered).cast("long")
-    out = found.select(
-        "doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items",
-        F.array_sort("hits").alias("hits"), "copies",
-    ).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
-    again = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    once = out.filter("copies = 1").drop("copies")
-    return once.unionByName(out.filter("copies > 1").withColumn("copy", again).drop("copy", "copies"))
+    return rows.select(
+        "doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"),
+        hits.alias("hits"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+        F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
+    ).drop("copy")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
