@@ -59,6 +59,49 @@ def json_flatten(spark, d):
     return jsonlines.flatten(rows)
 
 
+def _event_objects(spark, d):
+    return table(spark, d, "events").select(
+        F.to_json(F.struct("event_id", F.struct("user_id", "event_type").alias("by"), F.from_json("props", "k bigint").alias("props"))).alias("value")
+    )
+
+
+def read_any_json_lines(spark, d):
+    """Every event, from a .json path with one object per line."""
+    path = scratch_path(spark, "events") + ".json"
+    _event_objects(spark, d).write.text(path)
+    return readers.read_any(spark, path)
+
+
+def read_any_log_with_bad_lines(spark, d):
+    """Rows and quarantined lines of a log in which every seventh line is cut off."""
+    path = scratch_path(spark, "events") + ".log"
+    cut = F.expr("get_json_object(value, '$.event_id') % 7 = 3")
+    lines = _event_objects(spark, d).withColumn("cut", cut)
+    lines.select(F.when(F.col("cut"), F.expr("substr(value, 1, 20)")).otherwise(F.col("value")).alias("value")).write.text(path)
+    rows, bad = readers.read_json(spark, path)
+    whole = rows.select("event_id", F.lit("row").alias("part"), F.col("`by.event_type`").alias("text"))
+    return whole.unionByName(bad.select(F.lit(None).cast("bigint").alias("event_id"), F.lit("line").alias("part"), F.col("line").alias("text")))
+
+
+def read_any_json_document(spark, d):
+    """Nations as one indented JSON list per region, each in a file of its own."""
+    path = scratch_path(spark, "nations") + ".json"
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.concat(
+        F.lit('  {"key": '), x["n_nationkey"].cast("string"), F.lit(',\n   "nation": {"name": "'), x["n_name"], F.lit('"}}')))
+    lists = table(spark, d, "nation").groupBy("n_regionkey").agg(
+        F.concat(F.lit("[\n"), F.array_join(rows, ",\n"), F.lit("\n]")).alias("value")
+    )
+    lists.repartition(5, "n_regionkey").write.partitionBy("n_regionkey").text(path)
+    return readers.read_any(spark, path).drop("n_regionkey")
+
+
+def csv_documents_roundtrip(spark, d):
+    """Texts with line breaks, written as CSV and read back."""
+    path = scratch_path(spark, "documents") + ".csv"
+    readers.write_csv(table(spark, d, "documents"), path)
+    return readers.read_any(spark, path)
+
+
 def text_lines(spark, d):
     """Document texts written as a text file and read back line by line."""
     path = scratch_path(spark, "texts")
@@ -98,6 +141,10 @@ QUERIES = {
         json_props,
         json_quarantine,
         json_flatten,
+        read_any_json_lines,
+        read_any_log_with_bad_lines,
+        read_any_json_document,
+        csv_documents_roundtrip,
         text_lines,
         synthesise_customer,
         synthesise_not_needed,
@@ -117,6 +164,14 @@ ORACLES = {
     "json_flatten": """
       SELECT event_id AS id, user_id AS "user.id", event_type AS "user.last.kind", json_extract(props, '$.k')::BIGINT AS "props.k"
       FROM events""",
+    "read_any_json_lines": """
+      SELECT event_id, user_id AS "by.user_id", event_type AS "by.event_type", json_extract(props, '$.k')::BIGINT AS "props.k" FROM events""",
+    "read_any_log_with_bad_lines": """
+      SELECT event_id, 'row' AS part, event_type AS text FROM events WHERE event_id % 7 <> 3
+      UNION ALL SELECT NULL, 'line', substr('{"event_id":' || event_id::VARCHAR || ',"by":{"user_id":' || user_id::VARCHAR, 1, 20)
+      FROM events WHERE event_id % 7 = 3""",
+    "read_any_json_document": "SELECT n_nationkey::BIGINT AS key, n_name AS \"nation.name\" FROM nation",
+    "csv_documents_roundtrip": "SELECT * FROM documents",
     "text_lines": """
       SELECT (SELECT count(*) FROM (SELECT unnest(string_split(text, chr(10))) AS s FROM documents) WHERE length(s) > 0) AS filled_lines,
              (SELECT sum(length(replace(text, chr(10), '')))::BIGINT FROM documents) AS chars""",

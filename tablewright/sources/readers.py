@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
@@ -66,8 +68,12 @@ def infer_column_types(df: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None, **options) -> DataFrame:
-    """CSV with a header. Without a schema the types follow from the values, at the cost of one more pass."""
-    reader = spark.read.option("header", True).option("multiLine", options.pop("multiLine", False)).option("escape", '"').options(**options)
+    """CSV with a header. Without a schema the types follow from the values, at the cost of one more pass.
+
+    Quoted values may hold line breaks, so a file is read by one task. For files known to have none, ``multiLine=False``
+    lets Spark split them.
+    """
+    reader = spark.read.option("header", True).option("multiLine", options.pop("multiLine", True)).option("escape", '"').options(**options)
     if schema is not None:
         return null_tokens_to_null(reader.schema(schema).csv(path))
     return infer_column_types(null_tokens_to_null(reader.csv(path)))
@@ -128,12 +134,53 @@ def image_features(images: DataFrame) -> DataFrame:
     )
 
 
+def json_layout(spark: SparkSession, path: str) -> tuple[str, int, int]:
+    """("lines" or "document", lines that are no object, lines that are one) of JSON files.
+
+    A file whose first filled line is an object by itself has one object per line: if it were one document, nothing could follow.
+    """
+    value = F.col("value")
+    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(value)).startswith("OBJECT"), F.lit(False))
+    lines = spark.read.text(path).where(F.length(F.trim(value)) > 0).select(
+        is_object.alias("ok"), F.col("_metadata.file_path").alias("f"),
+        F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")).alias("at"),
+    )
+    files = lines.groupBy("f").agg(F.min_by("ok", "at").alias("first"), F.count_if("ok").alias("ok"), F.count(F.lit(1)).alias("n"))
+    row = files.agg(F.count(F.lit(1)).alias("files"), F.count_if("first").alias("firsts"), F.sum("ok").alias("ok"), F.sum("n").alias("n")).first()
+    if not row["files"]:
+        raise ValueError(f"nothing to read in {path}")
+    if 0 < row["firsts"] < row["files"]:
+        raise ValueError(f"{path} mixes documents and files with one object per line")
+    return "lines" if row["firsts"] else "document", row["n"] - row["ok"], row["ok"]
+
+
+def read_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame | None]:
+    """(rows, quarantine) of JSON files of either layout, nested objects flattened; a document has no quarantine.
+
+    A file that starts with no object and is no document either, such as a log with a plain first line, is read by lines.
+    """
+    layout, bad, good = json_layout(spark, path)
+    if layout == "document":
+        try:
+            whole = F.try_parse_json(F.col("value"))
+            broken = spark.read.text(path, wholetext=True).where(whole.isNull()).limit(1).count()
+            if not broken:
+                return read_json_document(spark, path), None
+        except Exception:
+            if not good:
+                raise
+        if not good:
+            raise ValueError(f"{path} holds no JSON")
+    rows, rejects = read_json_lines(spark, path)
+    return flatten(rows), rejects
+
+
 def _json(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON document, or JSON lines where the file is not one document."""
-    try:
-        return read_json_document(spark, path)
-    except Exception:  # not one document: the line reader says whether it is JSON at all
-        return read_json_lines(spark, path)[0]
+    rows, rejects = read_json(spark, path)
+    bad = 0 if rejects is None else rejects.count()
+    if bad:
+        warnings.warn(f"{bad} lines of {path} are no JSON objects; read_json returns them as its second table", stacklevel=3)
+    return rows
 
 
 READERS = {
@@ -177,8 +224,9 @@ def active_table(structured: DataFrame | None, extracted: DataFrame | None) -> D
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """A folder of CSV parts with header and without a row index."""
-    df.write.option("header", True).option("escape", '"').csv(path)
+    """A folder of CSV parts with header and without a row index; blanks around values stay."""
+    writer = df.write.option("header", True).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_parquet(df: DataFrame, path: str) -> None:

@@ -237,3 +237,51 @@ def test_advisory_classification(spark):
     with pytest.raises(ValueError):
         run_advisory(df, task="Regression", target="absent")
     out.cleaned.unpersist()
+
+
+# ---- JSON layouts ------------------------------------------------------------------------------
+
+
+def _file(tmp_path, name, text):
+    path = tmp_path / name
+    path.write_text(text)
+    return str(path)
+
+
+@pytest.mark.parametrize("name", ["a.json", "a.JSON", "a.log"])
+def test_json_lines_are_all_read(spark, tmp_path, name):
+    path = _file(tmp_path, name, "".join(f'{{"a": {i}, "b": {{"c": "x{i}"}}}}\n' for i in range(10)))
+    rows = readers.read_any(spark, path)
+    assert sorted(map(tuple, rows.select("a", "`b.c`").collect())) == [(i, f"x{i}") for i in range(10)]
+
+
+def test_bad_lines_are_kept_apart(spark, tmp_path):
+    path = _file(tmp_path, "a.log", '{"a": 1}\n{"a": \n\n{"a": 3}\n[1]\n')
+    rows, bad = readers.read_json(spark, path)
+    assert sorted(r["a"] for r in rows.collect()) == [1, 3] and sorted(r["line"] for r in bad.collect()) == ['[1]', '{"a": ']
+    with pytest.warns(UserWarning, match="2 lines"):
+        assert readers.read_any(spark, path).count() == 2
+    late = _file(tmp_path, "b.log", 'started\n{"a": 1}\n{"a": 2}\n')
+    rows, bad = readers.read_json(spark, late)
+    assert rows.count() == 2 and bad.count() == 1
+
+
+@pytest.mark.parametrize("text", ['{\n "a": 1,\n "b": {"c": "x"}\n}\n', '[\n {"a": 1,\n  "b": {"c": "x"}}\n]', '[{"a": 1, "b": {"c": "x"}}]',
+                                  '{"a": 1, "b": {"c": "x"}}'])
+def test_json_documents(spark, tmp_path, text):
+    rows, bad = readers.read_json(spark, _file(tmp_path, "a.json", text))
+    assert list(map(tuple, rows.select("a", "`b.c`").collect())) == [(1, "x")] and (bad is None or bad.count() == 0)
+
+
+def test_json_without_objects_is_an_error(spark, tmp_path):
+    with pytest.raises(Exception):
+        readers.read_any(spark, _file(tmp_path, "a.json", "no json\nat all\n"))
+    with pytest.raises(ValueError):
+        readers.read_any(spark, _file(tmp_path, "b.json", "\n"))
+
+
+def test_csv_with_line_breaks_comes_back(spark, tmp_path):
+    rows = [(1, 'two\nlines, "quoted"'), (2, " blanks "), (3, "plain")]
+    path = str(tmp_path / "t.csv")
+    readers.write_csv(spark.createDataFrame(rows, "id bigint, t string"), path)
+    assert sorted(map(tuple, readers.read_any(spark, path).collect())) == rows
