@@ -67,6 +67,21 @@ def recipe_customer(spark, d):
     return rules.recipe_table(spark, rules.derive_recipe(columns, "c_mktsegment", positive=["c_acctbal"]))
 
 
+def recipe_customer_default(spark, d):
+    """The default hints: an account balance may be negative and stays as it is."""
+    columns = rules.column_profiles(profile.profile(customer_with_nulls(spark, d)))
+    return rules.recipe_table(spark, rules.derive_recipe(columns, "c_mktsegment"))
+
+
+def recipe_lineitem_default(spark, d):
+    """The default hints on a table with quantities; a discount is no count and an extended price no price."""
+    li = table(spark, d, "lineitem").select(
+        F.when(F.col("l_orderkey") % 7 != 0, F.col("l_quantity")).alias("l_quantity"), "l_discount",
+        F.when(F.col("l_orderkey") % 9 != 0, F.col("l_tax")).alias("tax_change_amount"), "l_returnflag",
+    )
+    return rules.recipe_table(spark, rules.derive_recipe(rules.column_profiles(profile.profile(li)), "l_returnflag"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -78,6 +93,8 @@ QUERIES = {
         intent_orders,
         intent_named_target,
         recipe_customer,
+        recipe_customer_default,
+        recipe_lineitem_default,
     )
 }
 
@@ -147,4 +164,25 @@ ORACLES = {
         UNION ALL SELECT 'drop_rows_with_nulls_in', 0, 'c_mktsegment')
       SELECT action, (row_number() OVER (PARTITION BY action ORDER BY p) - 1)::INTEGER AS ordinal, name AS "column"
       FROM steps""",
+    "recipe_customer_default": f"""
+      WITH base AS ({CUSTOMER_WITH_NULLS}),
+      c AS (
+        SELECT 0 AS p, 'c_custkey' AS name, true AS num, count(*) AS n, count(DISTINCT c_custkey) AS u,
+               count(*) - count(c_custkey) AS z FROM base
+        UNION ALL SELECT 1, 'c_name', false, count(*), count(DISTINCT c_name), count(*) - count(c_name) FROM base
+        UNION ALL SELECT 2, 'c_nationkey', true, count(*), count(DISTINCT c_nationkey), count(*) - count(c_nationkey) FROM base
+        UNION ALL SELECT 3, 'c_acctbal', true, count(*), count(DISTINCT c_acctbal), count(*) - count(c_acctbal) FROM base),
+      k AS (SELECT *, (u = n AND n > 1 AND name <> 'c_acctbal') OR u <= 1 AS gone FROM c),
+      steps AS (
+        SELECT 'drop_columns' AS action, p, name FROM k WHERE gone
+        UNION ALL SELECT 'impute_median', p, name FROM k WHERE NOT gone AND num AND z > 0
+        UNION ALL SELECT 'impute_mode', p, name FROM k WHERE NOT gone AND NOT num AND z > 0
+        UNION ALL SELECT 'drop_rows_with_nulls_in', 0, 'c_mktsegment')
+      SELECT action, (row_number() OVER (PARTITION BY action ORDER BY p) - 1)::INTEGER AS ordinal, name AS "column"
+      FROM steps""",
+    "recipe_lineitem_default": """
+      SELECT 'replace_negatives_with_null' AS action, 0 AS ordinal, 'l_quantity' AS "column"
+      UNION ALL SELECT 'impute_median', 0, 'l_quantity' FROM lineitem HAVING count(*) FILTER (l_orderkey % 7 = 0) > 0
+      UNION ALL SELECT 'impute_median', 1, 'tax_change_amount' FROM lineitem HAVING count(*) FILTER (l_orderkey % 9 = 0) > 0
+      UNION ALL SELECT 'drop_rows_with_nulls_in', 0, 'l_returnflag'""",
 }

@@ -5,6 +5,7 @@ The profile has one row per column, so the rules run on the driver over as many
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -19,6 +20,8 @@ SEGMENT_WORDS = ("cluster", "segment")
 DISCRETE_HINTS = ("species", "churn", "status", "class", "label", "category", "outcome", "target", "segment", "flag")
 CONTINUOUS_HINTS = ("price", "salary", "sales", "revenue", "amount", "cost", "income", "balance", "total")
 POSITIVE_HINTS = ("price", "salary", "quantity", "amount", "age", "size", "count")
+# Name parts of quantities that can well be negative, whatever else the name says.
+SIGNED_PARTS = ("balance", "bal", "change", "delta", "diff", "difference", "net", "gain", "loss", "margin", "growth")
 
 NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double")
 # Thresholds for a continuous numeric target.
@@ -51,6 +54,22 @@ class Intent:
     reasoning: str
 
 
+def name_parts(name: str) -> list[str]:
+    """The lower-case words of a name, split at marks, digits and changes of case."""
+    return [w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+", name)]
+
+
+def _hinted(name: str, hints: Sequence[str]) -> bool:
+    """A part of the name is a hint, or a compound that ends in a long one (``orderstatus``)."""
+    return any(p in (h, h + "s") or (len(h) >= 5 and p.endswith(h)) for p in name_parts(name) for h in hints)
+
+
+def never_negative(name: str) -> bool:
+    """Whole words only, since acting on a wrong guess would wipe valid values."""
+    parts = name_parts(name)
+    return any(p in (h, h + "s") for p in parts for h in POSITIVE_HINTS) and not any(p in SIGNED_PARTS for p in parts)
+
+
 def column_profiles(profile: DataFrame) -> list[ColumnProfile]:
     rows = profile.orderBy("position").select("column", "dtype", "num_rows", "null_count", "unique_values").collect()
     return [ColumnProfile(*r) for r in rows]
@@ -62,18 +81,24 @@ def _task_of(c: ColumnProfile) -> str:
 
 
 def infer_intent(columns: Sequence[ColumnProfile], goal: str = "") -> Intent:
-    """Segment words in the goal win; then a column named in the goal; then the name hints."""
-    words = goal.lower()
-    if any(w in words for w in SEGMENT_WORDS):
+    """Segment words in the goal win; then a column named in the goal; then the name hints.
+
+    The goal is read word by word, and an identifier is never a target.
+    """
+    names = {c.column.lower() for c in columns}
+    words = re.findall(r"[^\s,;:!?()'\"]+", goal.lower())
+    words = [w if w in names else w.strip(".`") for w in words]
+    if any(w.startswith(SEGMENT_WORDS) and "_" not in w for w in words if w not in names):
         return Intent(CLUSTERING, None, "the goal asks for segments")
-    named = [c for c in columns if c.column.lower() in words]
+    usable = [c for c in columns if not c.identifier]
+    spoken = " ".join(words)
+    named = [c for c in usable if re.search(rf"(?<!\S){re.escape(c.column.lower())}(?!\S)", spoken)]
     if named:
         best = max(named, key=lambda c: len(c.column))
         return Intent(_task_of(best), best.column, f"the goal names {best.column}")
-    usable = [c for c in columns if not c.identifier]
     for hints, wanted in ((DISCRETE_HINTS, CLASSIFICATION), (CONTINUOUS_HINTS, REGRESSION)):
         for c in usable:
-            if any(h in c.column.lower() for h in hints) and _task_of(c) == wanted:
+            if _hinted(c.column, hints) and _task_of(c) == wanted:
                 return Intent(wanted, c.column, f"the name of {c.column} marks a target")
     return Intent(CLUSTERING, None, "no obvious target")
 
@@ -97,7 +122,7 @@ def derive_recipe(
     drop = [c.column for c in columns if c.identifier and c.column != target]
     kept = [c for c in columns if c.column not in drop]
     if positive is None:
-        positive = [c.column for c in kept if c.numeric and any(h in c.column.lower() for h in POSITIVE_HINTS)]
+        positive = [c.column for c in kept if c.numeric and never_negative(c.column)]
     gaps = [c for c in kept if c.column != target and (c.null_count > 0 or c.column in positive)]
     return CleaningRecipe(
         replace_negatives_with_null=tuple(c.column for c in kept if c.column in positive and c.numeric),

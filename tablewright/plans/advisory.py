@@ -9,6 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.functions.columns import require_columns
 from tablewright.operators import assoc, clean, cluster, models, parity, profile, report, rules, split, stats, synth
 
 
@@ -56,6 +57,7 @@ def run_advisory(
     share it; unpersist ``cleaned`` when done.
     """
     spark = df.sparkSession
+    require_columns(df, *([key] if key else []), *sensitive, *([outcome] if outcome else []))
     described = profile.profile(df).persist()
     columns = rules.column_profiles(described)
     if task is None:
@@ -64,12 +66,14 @@ def run_advisory(
         intent = rules.Intent(rules.resolve_task(task), target, "given by the caller")
     if intent.task != rules.CLUSTERING and intent.target not in df.columns:
         raise ValueError(f"the target {intent.target!r} is not a column")
+    if sensitive and not (outcome or intent.target):
+        raise ValueError("an audit needs an outcome, and segments have no target to stand in for it")
     recipe = rules.derive_recipe([c for c in columns if c.column != key], intent.target, positive)
     cleaned, log = clean.clean(df, recipe)
     cleaned, grown = synth.synthesise(cleaned, min_rows, target_rows, settings.seed)
     cleaned = cleaned.drop("is_synthetic")
-    if grown:
-        key = None  # copies of a key column no longer identify rows
+    if grown and key:
+        cleaned, key = cleaned.drop(key), None  # its copies no longer identify rows and must not become a feature
     cleaned = cleaned.persist(StorageLevel.MEMORY_AND_DISK)
     lines = [r["message"] for r in log.orderBy("step").collect()]  # one line per cleaning step
     if grown:
@@ -81,7 +85,11 @@ def run_advisory(
     body = cleaned.drop(key) if key else cleaned
     importances = holdout = None
     if intent.task == rules.CLUSTERING:
-        gates = {"kmo_bartlett": stats.kmo_bartlett(body), "factors": stats.fit_factors(body).summary(body)}
+        factors = stats.fit_factors(body)
+        gates = {
+            "kmo_bartlett": stats.kmo_bartlett(body), "factors": factors.summary(body), "loadings": factors.loadings(body),
+            "scores": factors.scores(body),
+        }
         kmo = gates["kmo_bartlett"].first()
         notes = [f"Sampling adequacy {kmo['kmo_score']}: {kmo['kmo_rating']}, {kmo['clustering_suitability']}."]
         result = cluster.clustering_tournament(body, max_k=max_k, restarts=restarts, seed=settings.seed)
