@@ -13,9 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-
 from tablewright.functions.columns import ident, require_columns, round_half_up
-from tablewright.session import local_or_written, local_table, materialised, numbered
+from tablewright.session import local_or_written, local_table, numbered
 
 DIGITS = 4  # 65,536 bins: 15 million rows per bin at 10^12 rows
 MAX_LOCAL_CUTS = 100_000
@@ -77,16 +76,26 @@ def _cuts(hashed: DataFrame) -> DataFrame:
     )
 
 
-def _first_copies(df: DataFrame, same: Column, k: int) -> int:
-    """Row id of the k-th row for which ``same`` holds."""
-    ids = df.where(same).select(F.col("__id").alias("id"))
+def _last_copies(numbered_rows: DataFrame, ties: DataFrame) -> DataFrame:
+    """(c, cut, last): the row number of the last copy before each cut that falls inside a group of copies.
+
+    Copies are counted per partition of the written table, so a group that holds a third of all rows is many tasks;
+    only the partition in which the cut falls is ranked row by row.
+    """
     part = F.shiftright(F.col("id"), 33)
-    counts = sorted((r["p"], r["n"]) for r in ids.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
-    for p, n in counts:  # one entry per partition
-        if k <= n:
-            return ids.where(part == p).orderBy("id").limit(k).agg(F.max("id")).first()[0]
-        k -= n
-    raise ValueError("fewer rows than counted: the table changed between two reads")
+    wanted = ties.select(F.col("c").alias("tc"), F.col("h").alias("th"), "cut", (F.col("upto") - F.col("at") + F.col("m")).alias("keep"))
+    copies = numbered_rows.join(
+        wanted.select("tc", "th").distinct(), F.col("c").eqNullSafe(F.col("tc")) & (F.col("h") == F.col("th")), "left_semi"
+    ).withColumn("p", part)
+    counts = copies.groupBy("c", "h", "p").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("c", "h").orderBy("p")) - F.col("n")
+    counts = counts.withColumn("before", before)
+    hit = counts.join(wanted, F.col("c").eqNullSafe(F.col("tc")) & (F.col("h") == F.col("th"))).where(
+        (F.col("keep") > F.col("before")) & (F.col("keep") <= F.col("before") + F.col("n"))
+    ).select("tc", "th", "cut", F.col("p").alias("tp"), (F.col("keep") - F.col("before")).alias("k"))
+    ranked = copies.withColumn("r", F.row_number().over(Window.partitionBy("c", "h", "p").orderBy("id")))
+    same = F.col("c").eqNullSafe(F.col("tc")) & (F.col("h") == F.col("th")) & (F.col("p") == F.col("tp")) & (F.col("r") == F.col("k"))
+    return ranked.join(hit, same).select("c", "cut", F.col("id").alias("last"))
 
 
 def split_70_15_15(
@@ -98,82 +107,40 @@ def split_70_15_15(
 ) -> DataFrame:
     """The table with a column ``split``: exactly ceil(30 %) held out, half of it (rounded up) for test.
 
-    With ``stratify`` the sizes hold per class. Rows that share a hash at a cut point (copies) are
-    told apart by their place in a written copy of the table, so the sizes stay exact.
+    With ``stratify`` the sizes hold per class, however many classes there are. Rows that share a hash at a cut point
+    (copies) are told apart by their place in a written copy of the table, so the sizes stay exact.
     """
     if stratify is not None:
         require_columns(df, stratify)
     cls = ident(stratify) if stratify is not None else F.lit(0)
     h = row_hash(df, key, seed)
-    cuts = _cuts(df.select(cls.alias("c"), h.alias("h")))
-    local = cuts.limit(MAX_LOCAL_CUTS + 1).collect()
-    many = len(local) > MAX_LOCAL_CUTS
-    ties = [] if many else [r for r in local if r["at"] > r["upto"]]
-    if many:
-        # More classes than the driver should hold: the cut points stay a table.
-        return _split_by_join(df, cls, h, materialised(cuts), name)
     columns = df.columns
-    kept: dict[tuple, int] = {}
-    if ties:
-        df = numbered(df)
-        for r in ties:
-            same = (h == F.lit(r["h"])) & cls.eqNullSafe(F.lit(r["c"]))
-            kept[(r["c"], r["cut"])] = _first_copies(df, same, r["upto"] - (r["at"] - r["m"]))
-    bounds: dict[object, list] = {}
-    for r in local:
-        b = bounds.setdefault(r["c"], [None, None, None, None])
-        b[r["cut"] - 1] = r["h"]
-        b[r["cut"] + 1] = kept.get((r["c"], r["cut"]))
-
-    row_id = F.col("__id") if ties else F.lit(0).cast("bigint")
-
-    def before(hash_: Column, bound: Column, last_id: Column) -> Column:
-        return F.coalesce(
-            (hash_ < bound) | ((hash_ == bound) & (last_id.isNull() | (row_id <= last_id))), F.lit(False)
-        )
-
-    def part(b1: Column, b2: Column, i1: Column, i2: Column) -> Column:
-        return F.when(before(h, b1, i1), F.lit("train")).when(before(h, b2, i2), F.lit("val")).otherwise(F.lit("test"))
-
-    if stratify is None:
-        b = bounds.get(0, [None] * 4)
-        bound = part(
-            F.lit(b[0]).cast("string"), F.lit(b[1]).cast("string"), F.lit(b[2]).cast("bigint"), F.lit(b[3]).cast("bigint")
-        )
-        return df.select(*[ident(c) for c in columns], bound.alias(name))
-    table = local_table(
-        df.sparkSession,
-        [(c, *b) for c, b in bounds.items()],
-        T.StructType(
-            [
-                T.StructField("__c", df.schema[stratify].dataType),
-                T.StructField("__h1", T.StringType()),
-                T.StructField("__h2", T.StringType()),
-                T.StructField("__i1", T.LongType()),
-                T.StructField("__i2", T.LongType()),
-            ]
-        ),
+    cuts = local_or_written(_cuts(df.select(cls.alias("c"), h.alias("h"))), MAX_LOCAL_CUTS)
+    ties = cuts.where("at > upto")
+    last = cuts.where(F.lit(False)).select("c", "cut", F.lit(None).cast("bigint").alias("last"))
+    row_id = F.lit(0).cast("bigint")
+    if ties.limit(1).count():
+        df, row_id = numbered(df), F.col("__id")
+        last = _last_copies(df.select(cls.alias("c"), h.alias("h"), row_id.alias("id")), ties)
+    named = last.select(F.col("c").alias("lc"), F.col("cut").alias("lcut"), "last")
+    placed_cuts = cuts.join(named, F.col("c").eqNullSafe(F.col("lc")) & (F.col("cut") == F.col("lcut")), "left")
+    at = lambda cut, value: F.max(F.when(F.col("cut") == cut, F.col(value)))
+    bounds = placed_cuts.groupBy(F.col("c").alias("__c")).agg(
+        at(1, "h").alias("__h1"), at(2, "h").alias("__h2"), at(1, "last").alias("__i1"), at(2, "last").alias("__i2")
     )
-    placed = df.join(table, cls.eqNullSafe(F.col("__c")), "left")
-    out = placed.withColumn(name, part(F.col("__h1"), F.col("__h2"), F.col("__i1"), F.col("__i2")))
-    return out.select(*[ident(c) for c in columns], name)
+    # One row per class: broadcast while few, so that rows stay where they are; many classes are joined as a table.
+    bounds = local_or_written(bounds, MAX_LOCAL_CUTS)
 
+    def before(bound: Column, last_id: Column) -> Column:
+        return F.coalesce((h < bound) | ((h == bound) & (last_id.isNull() | (row_id <= last_id))), F.lit(False))
 
-def _split_by_join(df: DataFrame, cls: Column, h: Column, cuts: DataFrame, name: str) -> DataFrame:
-    bounds = cuts.groupBy(F.col("c").alias("__c")).agg(
-        F.max(F.when(F.col("cut") == 1, F.col("h"))).alias("__h1"),
-        F.max(F.when(F.col("cut") == 2, F.col("h"))).alias("__h2"),
-        F.max(F.col("at") - F.col("upto")).alias("__over"),
-    )
-    if bounds.where("__over > 0").limit(1).count():
-        raise ValueError("the key repeats within a class: name key columns that identify the rows")
-    placed = df.join(bounds, cls.eqNullSafe(F.col("__c")), "left")
     split = (
-        F.when(F.coalesce(h <= F.col("__h1"), F.lit(False)), F.lit("train"))
-        .when(F.coalesce(h <= F.col("__h2"), F.lit(False)), F.lit("val"))
+        F.when(before(F.col("__h1"), F.col("__i1")), F.lit("train"))
+        .when(before(F.col("__h2"), F.col("__i2")), F.lit("val"))
         .otherwise(F.lit("test"))
     )
-    return placed.withColumn(name, split).select(*[ident(c) for c in df.columns], name)
+    placed = df.join(bounds, cls.eqNullSafe(F.col("__c")), "left")
+    return placed.withColumn(name, split).select(*[ident(c) for c in columns], name)
 
 
 def split_counts(df: DataFrame, name: str = "split") -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -16,19 +18,24 @@ SPREAD_ROWS = (10_000, 5_000_000)
 LOCAL_ROWS = 100_000
 
 
+_OWN_FOLDERS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local session without one gets its own."""
+    """The folder named by ``spark.checkpoint.dir``. A local session without one gets a folder of its own, which goes
+    when the process ends; the session's settings stay as they are."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir"
     )
-    if not current:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        current = tempfile.mkdtemp(prefix="tablewright-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(current)
-    return current
+    if current:
+        return current
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if sc.applicationId not in _OWN_FOLDERS:
+        _OWN_FOLDERS[sc.applicationId] = tempfile.mkdtemp(prefix="tablewright-")
+        atexit.register(shutil.rmtree, _OWN_FOLDERS[sc.applicationId], ignore_errors=True)
+    return _OWN_FOLDERS[sc.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -253,6 +253,47 @@ def test_many_classes_split_by_join(spark, monkeypatch):
     assert all(got[(c, p)] == s for c in range(4) for p, s in (("train", 70), ("val", 15), ("test", 15)))
 
 
+@pytest.mark.parametrize("limit", [100_000, 3])
+def test_copies_within_classes_split_exactly(spark, monkeypatch, limit):
+    monkeypatch.setattr(split, "MAX_LOCAL_CUTS", limit)
+    rows = spark.range(1200).select((F.col("id") % 6).alias("c"), F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 7).alias("v"))
+    out = split.split_70_15_15(rows.repartition(5), stratify="c")
+    got = {(r["c"], r["split"]): r["n"] for r in out.groupBy("c", "split").agg(F.count("*").alias("n")).collect()}
+    assert all(got[(c, p)] == s for c in range(6) for p, s in (("train", 140), ("val", 30), ("test", 30)))
+    assert out.drop("split").exceptAll(rows).count() == 0
+
+
+def test_whole_words_decide(spark):
+    from tablewright.operators import rules
+
+    assert not rules.never_negative("account_balance") and not rules.never_negative("percentage_change")
+    assert not rules.never_negative("l_discount") and rules.never_negative("l_quantity") and rules.never_negative("unitPrice")
+    assert not rules.never_negative("amount_diff") and rules.never_negative("Ages")
+    cols = _columns(("id", "int", 10, 0, 10), ("m", "int", 10, 0, 5), ("segment_code", "string", 100, 0, 4))
+    assert rules.infer_intent(cols, "identify the drivers").target != "id"
+    assert rules.infer_intent(cols, "which customers leave").target != "m"
+    assert rules.infer_intent(cols, "predict segment_code").target == "segment_code"
+    assert rules.infer_intent(cols, "predict id").target != "id"
+    assert rules.infer_intent(cols, "find segments").task == rules.CLUSTERING
+
+
+def test_tails_at_many_degrees_of_freedom():
+    import math
+
+    from tablewright.functions.tails import chi2_sf, f_sf, t_two_sided
+
+    normal = math.erfc(0.5 / math.sqrt(2))
+    assert t_two_sided(0.5, 1e13) == pytest.approx(normal, rel=1e-9) and t_two_sided(0.5, 1e15) == pytest.approx(normal, rel=1e-9)
+    assert f_sf(2, 4, 1e12) == pytest.approx(5 * math.exp(-4), rel=1e-9)  # four chi-square degrees in the limit
+    assert chi2_sf(10, 4) == pytest.approx(6 * math.exp(-5), rel=1e-12)
+    assert f_sf(3, 2, 50) == pytest.approx((50 / 56) ** 25, rel=1e-12)
+    assert t_two_sided(2.0, 10) == pytest.approx(f_sf(4.0, 1, 10), rel=1e-12)
+    for a, b in ((1.9e5, 2.1e5), (0.99e9, 1.01e9)):  # no step where the method changes
+        assert t_two_sided(1.7, a) == pytest.approx(t_two_sided(1.7, b), rel=1e-5)
+        assert f_sf(1.3, 300, a) == pytest.approx(f_sf(1.3, 300, b), rel=1e-2)
+        assert f_sf(1 + 3 / math.sqrt(a), a, a) == pytest.approx(f_sf(1 + 3 / math.sqrt(b), b, b), rel=1e-2)
+
+
 def test_dense_row_index(spark):
     out = split.dense_row_index(spark.range(1000).repartition(7).where("id % 3 = 0"))
     assert sorted(r["row_index"] for r in out.collect()) == list(range(334))
