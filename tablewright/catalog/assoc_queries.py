@@ -50,13 +50,15 @@ _SETS = """
       HAVING (grouping(a) = 1 OR a IS NOT NULL) AND (grouping(b) = 1 OR b IS NOT NULL)
          AND (grouping(c) = 1 OR c IS NOT NULL) AND (grouping(d) = 1 OR d IS NOT NULL)
          AND (grouping(e) = 1 OR e IS NOT NULL)),
-    sets AS (SELECT * FROM cubed WHERE len(items) > 0 AND support >= 0.05),
+    sets AS MATERIALIZED (SELECT * FROM cubed WHERE len(items) > 0 AND support >= 0.05),
+    parts AS MATERIALIZED (
+      SELECT support, [items[i + 1] FOR i IN range(0, len(items)) IF (mask >> i) % 2 = 1] AS lhs,
+             [items[i + 1] FOR i IN range(0, len(items)) IF (mask >> i) % 2 = 0] AS rhs
+      FROM (SELECT items, support, unnest(range(1, (1 << len(items)) - 1)) AS mask FROM sets WHERE len(items) > 1)),
     rules AS (
       SELECT array_to_string(l.items, ', ') AS antecedent, array_to_string(r.items, ', ') AS consequent,
              s.support AS sup, s.support / l.support AS conf, s.support / l.support / r.support AS lft
-      FROM sets s JOIN sets l ON len(l.items) < len(s.items) AND list_has_all(s.items, l.items)
-      JOIN sets r ON len(r.items) + len(l.items) = len(s.items) AND list_has_all(s.items, r.items)
-                 AND NOT list_has_any(l.items, r.items)),
+      FROM parts s JOIN sets l ON s.lhs = l.items JOIN sets r ON s.rhs = r.items),
     final AS (
       SELECT antecedent, consequent, SUP AS support, CONF AS confidence, LFT AS lift FROM rules WHERE conf >= 0.6)
 """.replace("SUP", rounded("sup", 3)).replace("CONF", rounded("conf", 3)).replace("LFT", rounded("lft", 3))

@@ -17,7 +17,8 @@ from tablewright.functions.columns import columns_where, ident, is_text, round_h
 from tablewright.functions.counts import value_columns, value_counts
 from tablewright.session import materialised
 
-CUBE_COLUMNS = 12  # 2^12 groupings of the distinct baskets; wider tables go to FP-growth
+CUBE_ROWS = 50_000_000  # distinct baskets times groupings; above it the itemsets come from FP-growth
+LISTED_VALUES = 10_000  # more frequent values than this are not sent back as a filter; the result is the same
 ITEMSET_SCHEMA = "items array<string>, n bigint, support double"
 RULE_SCHEMA = "antecedent string, consequent string, support double, confidence double, lift double"
 # Default thresholds and report length.
@@ -48,34 +49,41 @@ def frequent_itemsets(df: DataFrame, min_support: float = MIN_SUPPORT, columns:
     items = _items(df, columns)
     counts = value_counts(items, items.columns)
     v = value_columns(counts)[0]
-    # At most 1 / min_support frequent values per column; the total is a subquery over the same exchange.
+    # The total is a subquery over the same exchange.
     floor = F.lit(float(min_support))
     total = counts.agg(F.sum(F.when(F.col("pos") == 0, F.col("n")))).scalar()
     found = counts.withColumn("total", total).where(F.col("n") / F.col("total").cast("double") >= floor)
     # Nulls are left out here: as a filter they would move below the exchange and cost a second scan.
-    rows = [r for r in found.select("pos", v, "n", "total").collect() if r[v] is not None]
-    if not rows:
+    rows = found.select("pos", v, "total").limit(LISTED_VALUES + len(columns) + 1).collect()
+    n = rows[0]["total"] if rows else 0
+    if not any(r[v] is not None for r in rows):
         return spark.createDataFrame([], ITEMSET_SCHEMA)
-    n = rows[0]["total"]
-    frequent: dict[int, list[str]] = {}
-    for r in rows:
-        frequent.setdefault(r["pos"], []).append(r[v])
-    live = sorted(frequent)
-    kept = items.select(*[F.when(F.col(f"i{i}").isin(frequent[i]), F.col(f"i{i}")).alias(f"i{i}") for i in live])
+    kept = items
+    if len(rows) <= LISTED_VALUES:  # leaving out rare values only makes the baskets fewer
+        frequent: dict[int, list[str]] = {}
+        for r in rows:
+            if r[v] is not None:
+                frequent.setdefault(r["pos"], []).append(r[v])
+        kept = items.select(*[F.when(F.col(f"i{i}").isin(frequent[i]), F.col(f"i{i}")).alias(f"i{i}") for i in sorted(frequent)])
     names = kept.columns
     support = (F.col("n") / F.lit(float(n))).alias("support")
-    if len(names) <= CUBE_COLUMNS:
-        sets = _cube_itemsets(kept, names)
-    else:
-        baskets = kept.select(F.array_compact(F.array(*names)).alias("items")).where(F.size("items") > 0)
-        fitted = FPGrowth(itemsCol="items", minSupport=0.0 if min_support <= 0 else min_support * n / max(baskets.count(), 1))
-        sets = fitted.fit(baskets).freqItemsets.select("items", F.col("freq").alias("n"))
+    baskets = materialised(kept.groupBy(*names).agg(F.count(F.lit(1)).alias("w")))
+    few = len(names) <= 20 and baskets.count() << len(names) <= CUBE_ROWS
+    sets = _cube_itemsets(baskets, names) if few else _grown_itemsets(kept, names, min_support, n)
     sets = sets.select(F.array_sort("items").alias("items"), "n", support).where(F.col("support") >= floor)
     return materialised(sets)  # rules read it three times
 
 
-def _cube_itemsets(kept: DataFrame, names: Sequence[str]) -> DataFrame:
-    baskets = kept.groupBy(*names).agg(F.count(F.lit(1)).alias("w"))
+def _grown_itemsets(kept: DataFrame, names: Sequence[str], min_support: float, n: int) -> DataFrame:
+    baskets = kept.select(F.array_compact(F.array(*names)).alias("items")).where(F.size("items") > 0)
+    share = 0.0 if min_support <= 0 else min_support * n / max(baskets.count(), 1)
+    # A little lower, so that rounding loses no set at the limit; the exact filter follows.
+    fitted = FPGrowth(itemsCol="items", minSupport=min(1.0, share * (1 - 1e-9)))
+    return fitted.fit(baskets).freqItemsets.select("items", F.col("freq").alias("n"))
+
+
+def _cube_itemsets(baskets: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Every grouping of the distinct baskets (``w`` rows each)."""
     cubed = baskets.cube(*names).agg(
         F.sum("w").alias("n"), *[F.grouping(c).alias(f"g_{c}") for c in names]
     )
