@@ -93,7 +93,7 @@ def _embedding_columns(spark, d, n):
 
 def cluster_indices(spark, d):
     e = _embedding_columns(spark, d, 64)
-    out = cluster.cluster_indices(e, [f"d{i}" for i in range(64)], "label")
+    out = cluster.cluster_indices(e, [f"d{i}" for i in range(64)], "label", cluster.EUCLIDEAN)
     return metrics.rounded_metrics(out.drop("silhouette_kind"), 6)
 
 

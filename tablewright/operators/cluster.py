@@ -1,27 +1,38 @@
-"""Clustering tournament: k-means and linkage candidates, three indices, one ranking."""
+"""Clustering tournament: k-means and linkage candidates, three indices, one ranking.
+
+All candidates' labels are columns of one written table. One pass over it gives the moments of every cluster of every
+candidate, a second the distances to the centres and the silhouettes, so the passes do not grow with the candidates.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import ident, py_round_half_up, require_columns
 from tablewright.operators.features import Standardiser, fit_features, fit_standardiser
-from tablewright.session import local_table, persisted
+from tablewright.session import materialised, numbered, persisted
 
 MICRO_CLUSTERS = 200
-EXACT_POINTS = 5_000
-MAX_CLUSTERS = 10_000
+BLOCK_POINTS = 2_000
+PARALLEL_FITS = 4
 LINKAGES = ("ward", "complete", "average")
+# The printed names of the ranking.
+CENTROID_FAMILY, LINKAGE_FAMILY = "Centroid-Based", "Connectivity-Based"
+CENTROID_NAME, LINKAGE_NAME = "K-Means (k={k})", "Hierarchical [{linkage}] (k={k})"
+CHAMPION, OTHERS = "Selected Champion", "Evaluated"
+SQUARED, EUCLIDEAN = "squared euclidean", "euclidean"
 LEADERBOARD_SCHEMA = (
     "rank int, algorithm string, family string, silhouette double, davies_bouldin double, "
     "calinski_harabasz double, clusters int, silhouette_kind string, verdict string"
@@ -32,92 +43,156 @@ LEADERBOARD_SCHEMA = (
 
 
 @dataclass(frozen=True)
-class _Centres:
-    labels: list
+class _Clusters:
+    """Moments of the clusters of one candidate; ``squares`` is the mean squared length of a cluster's points."""
+
+    labels: np.ndarray
     sizes: np.ndarray
     means: np.ndarray
-    within: np.ndarray  # sum of squared distances to the centre per cluster
+    squares: np.ndarray
 
+    @property
+    def within(self) -> float:
+        return float(np.maximum((self.squares - (self.means**2).sum(axis=1)) * self.sizes, 0).sum())
+
+
+def _batches(batches: Iterator[pd.DataFrame], centre: np.ndarray) -> Iterator[tuple[np.ndarray, pd.DataFrame]]:
+    for pdf in batches:
+        if len(pdf):
+            yield np.stack(pdf["x"].to_numpy()).astype("float64") - centre, pdf
 
-def _centres(df: DataFrame, features: Sequence[str], label: str) -> _Centres:
-    """Moments per cluster from one aggregate; the result has one row per cluster."""
-    rows = (
-        df.groupBy(ident(label).alias("label"))
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.array(*[F.avg(ident(c).cast("double")) for c in features]).alias("mean"),
-            F.array(*[F.var_pop(ident(c).cast("double")) for c in features]).alias("var"),
-        )
-        .orderBy("label")
-        .limit(MAX_CLUSTERS + 1)
-        .collect()
-    )
-    if len(rows) > MAX_CLUSTERS:
-        raise ValueError(f"more than {MAX_CLUSTERS} clusters")
-    sizes = np.array([r["n"] for r in rows], dtype="float64")
-    return _Centres(
-        [r["label"] for r in rows],
-        sizes,
-        np.array([r["mean"] for r in rows], dtype="float64"),
-        np.array([sum(r["var"]) for r in rows], dtype="float64") * sizes,
-    )
 
+def _moments(points: DataFrame, labels: Sequence[str], centre: np.ndarray) -> list[_Clusters]:
+    """Clusters of every label column: partial sums per batch, added up by Spark."""
+    width = len(centre)
+
+    def sums(batches):
+        for x, pdf in _batches(batches, centre):
+            square = (x * x).sum(axis=1)
+            out = []
+            for i, name in enumerate(labels):
+                found, code = np.unique(pdf[name].to_numpy(), return_inverse=True)
+                total = np.zeros((len(found), width))
+                np.add.at(total, code, x)
+                for k, label in enumerate(found):
+                    out.append((i, int(label), int((code == k).sum()), float(square[code == k].sum()), total[k].tolist()))
+            yield pd.DataFrame(out, columns=["i", "label", "n", "q", "s"])
+
+    parts = points.mapInPandas(sums, "i int, label bigint, n bigint, q double, s array<double>")
+    rows = parts.groupBy("i", "label").agg(
+        F.sum("n").alias("n"), F.sum("q").alias("q"), F.array(*[F.sum(F.get("s", F.lit(j))) for j in range(width)]).alias("s")
+    ).collect()  # one row per cluster of each candidate
+    out = []
+    for i in range(len(labels)):
+        own = sorted((r for r in rows if r["i"] == i), key=lambda r: r["label"])
+        n = np.array([r["n"] for r in own], dtype="float64")
+        out.append(_Clusters(
+            np.array([r["label"] for r in own]), n, np.array([r["s"] for r in own]).reshape(len(own), width) / n[:, None],
+            np.array([r["q"] for r in own]) / n,
+        ))
+    return out
+
+
+def _spreads(points: DataFrame, labels: Sequence[str], clusters: Sequence[_Clusters], centre: np.ndarray) -> tuple[list[np.ndarray], list[float]]:
+    """Mean distance to the own centre per cluster, and the mean silhouette on squared distances, per candidate.
+
+    The mean squared distance from x to a cluster is |x|^2 - 2 x.mean + its mean square.
+    """
+
+    def sums(batches):
+        for x, pdf in _batches(batches, centre):
+            square = (x * x).sum(axis=1)
+            out = []
+            for i, (name, c) in enumerate(zip(labels, clusters)):
+                own = np.searchsorted(c.labels, pdf[name].to_numpy())
+                at = np.arange(len(x))
+                to = square[:, None] - 2 * x @ c.means.T
+                near = np.sqrt(np.maximum(to[at, own] + (c.means[own] ** 2).sum(axis=1), 0))
+                mean = np.maximum(to + c.squares[None, :], 0)
+                a = mean[at, own] * c.sizes[own] / np.maximum(c.sizes[own] - 1, 1)
+                mean[at, own] = np.inf
+                b = mean.min(axis=1)
+                top = np.maximum(a, b)
+                sil = np.where((c.sizes[own] > 1) & (top > 0) & np.isfinite(b), (b - a) / np.where(top > 0, top, 1.0), 0.0)
+                for k in np.unique(own):
+                    out.append((i, int(k), float(near[own == k].sum()), float(sil[own == k].sum())))
+            yield pd.DataFrame(out, columns=["i", "k", "near", "sil"])
+
+    rows = points.mapInPandas(sums, "i int, k int, near double, sil double").groupBy("i", "k").agg(
+        F.sum("near").alias("near"), F.sum("sil").alias("sil")
+    ).collect()
+    spreads = [np.zeros(len(c.labels)) for c in clusters]
+    totals = [0.0] * len(clusters)
+    for r in rows:
+        spreads[r["i"]][r["k"]] = r["near"] / clusters[r["i"]].sizes[r["k"]]
+        totals[r["i"]] += r["sil"]
+    return spreads, [float(t / c.sizes.sum()) for t, c in zip(totals, clusters)]
+
+
+def _indices(c: _Clusters, spread: np.ndarray) -> tuple[float, float]:
+    """Davies-Bouldin and Calinski-Harabasz."""
+    n, k = c.sizes.sum(), len(c.labels)
+    overall = (c.means * c.sizes[:, None]).sum(axis=0) / n
+    between = float((((c.means - overall) ** 2).sum(axis=1) * c.sizes).sum())
+    within = c.within
+    calinski = (between / (k - 1)) / (within / (n - k)) if within > 0 and n > k else 1.0
+    worst = np.zeros(k)
+    for i in range(k):  # row by row, so memory stays linear in the clusters
+        gap = np.sqrt(((c.means - c.means[i]) ** 2).sum(axis=1))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = np.where(gap > 0, (spread + spread[i]) / gap, 0.0)
+        ratio[i] = 0.0
+        worst[i] = ratio.max()
+    return float(worst.mean()), float(calinski)
 
-def _distance_to(features: Sequence[str], centre: Column) -> Column:
-    total = F.lit(0.0)
-    for j, c in enumerate(features):
-        gap = ident(c).cast("double") - F.element_at(centre, j + 1)
-        total = total + gap * gap
-    return F.sqrt(total)
 
+def score_labels(points: DataFrame, labels: Sequence[str], distance: str = SQUARED) -> list[dict]:
+    """The indices of every whole-number label column over the array column ``x``, in two passes for all of them.
 
-def cluster_indices(df: DataFrame, features: Sequence[str], label: str, exact_points: int = EXACT_POINTS) -> DataFrame:
+    ``distance`` names the silhouette's distance: squared (linear in the rows), or "euclidean", which compares all rows
+    with all rows block by block and is for tables of moderate size. It never changes by itself.
+    """
+    if distance not in (SQUARED, EUCLIDEAN):
+        raise ValueError(f"unknown distance {distance!r}")
+    first = points.select(F.avg(F.size("x")).alias("w")).first()["w"]
+    if first is None:
+        return [{"n": 0, "k": 0, "davies_bouldin": None, "calinski_harabasz": None, "silhouette": None, "kind": None} for _ in labels]
+    width = int(first)
+    # Sums of squares around the mean lose no digits to the data's distance from zero.
+    centre = np.array(points.agg(*[F.avg(F.get("x", F.lit(j))) for j in range(width)]).first(), dtype="float64")
+    clusters = _moments(points, labels, centre)
+    spreads, silhouettes = _spreads(points, labels, clusters, centre)
+    out = []
+    for name, c, spread, silhouette in zip(labels, clusters, spreads, silhouettes):
+        n, k = int(c.sizes.sum()), len(c.labels)
+        if k < 2:
+            out.append({"n": n, "k": k, "davies_bouldin": None, "calinski_harabasz": None, "silhouette": None, "kind": None})
+            continue
+        davies, calinski = _indices(c, spread)
+        if distance == EUCLIDEAN:
+            silhouette = _silhouette_euclidean(points.select("x", F.col(name).alias("c")), c)
+        out.append({"n": n, "k": k, "davies_bouldin": davies, "calinski_harabasz": calinski, "silhouette": silhouette, "kind": distance})
+    return out
+
+
+def cluster_indices(df: DataFrame, features: Sequence[str], label: str, distance: str = SQUARED) -> DataFrame:
     """One row: clusters, Davies-Bouldin, Calinski-Harabasz and the mean silhouette with its kind."""
-    s = score_clusters(df, features, label, exact_points)
+    s = score_clusters(df, features, label, distance)
     return df.sparkSession.createDataFrame(
         [(s["n"], s["k"], s["davies_bouldin"], s["calinski_harabasz"], s["silhouette"], s["kind"])],
         "n bigint, k int, davies_bouldin double, calinski_harabasz double, silhouette double, silhouette_kind string",
     )
 
 
-def score_clusters(df: DataFrame, features: Sequence[str], label: str, exact_points: int = EXACT_POINTS) -> dict:
+def score_clusters(df: DataFrame, features: Sequence[str], label: str, distance: str = SQUARED) -> dict:
+    """The indices of one label column of any type."""
     require_columns(df, label, *features)
-    centres = _centres(df, features, label)
-    k, n = len(centres.labels), int(centres.sizes.sum())
-    if k < 2:
-        return {"n": n, "k": k, "davies_bouldin": None, "calinski_harabasz": None, "silhouette": None, "kind": None}
-    overall = (centres.means * centres.sizes[:, None]).sum(axis=0) / n
-    between = float((((centres.means - overall) ** 2).sum(axis=1) * centres.sizes).sum())
-    within = float(centres.within.sum())
-    calinski = (between / (k - 1)) / (within / (n - k)) if within > 0 and n > k else 1.0
-
-    table = local_table(  # one row per cluster
-        df.sparkSession, [(i, [float(x) for x in m]) for i, m in enumerate(centres.means)], "__c int, __centre array<double>"
-    )
-    codes = F.array(*[F.lit(v) for v in centres.labels])
-    spread_rows = (
-        df.withColumn("__c", (F.array_position(codes, ident(label)) - 1).cast("int"))
-        .join(table, "__c")
-        .groupBy("__c")
-        .agg(F.avg(_distance_to(features, F.col("__centre"))).alias("s"))
-        .collect()
-    )
-    spread = np.zeros(k)
-    for r in spread_rows:
-        spread[r["__c"]] = r["s"]
-    gaps = np.sqrt(((centres.means[:, None, :] - centres.means[None, :, :]) ** 2).sum(axis=2))
-    np.fill_diagonal(gaps, np.inf)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = np.where(gaps > 0, (spread[:, None] + spread[None, :]) / gaps, 0.0)
-    davies = float(ratio.max(axis=1).mean())
-
-    if n <= exact_points:
-        silhouette, kind = _silhouette_exact(df, features, label), "euclidean"
-    else:
-        silhouette, kind = silhouette_squared(df, features, label), "squared euclidean"
-    return {
-        "n": n, "k": k, "davies_bouldin": davies, "calinski_harabasz": calinski, "silhouette": silhouette, "kind": kind,
-    }
+    df = df.where(ident(label).isNotNull())
+    codes = df.select(ident(label).alias("v")).distinct().orderBy("v")
+    coded = numbered(codes.coalesce(1), "__code")  # one row per cluster
+    x = F.array(*[ident(c).cast("double") for c in features]).alias("x")
+    points = df.select(x, ident(label).alias("__v")).join(coded, F.col("__v") == F.col("v"))
+    return score_labels(points.select("x", F.col("__code").alias("c")), ["c"], distance)[0]
 
 
 def silhouette_squared(df: DataFrame, features: Sequence[str], label: str) -> float:
@@ -127,40 +202,43 @@ def silhouette_squared(df: DataFrame, features: Sequence[str], label: str) -> fl
     return ClusteringEvaluator(featuresCol="__point", predictionCol="__label", metricName="silhouette").evaluate(coded)
 
 
-def _silhouette_exact(df: DataFrame, features: Sequence[str], label: str) -> float:
-    """Euclidean silhouette. Only for tables checked to hold at most EXACT_POINTS rows, which every task gets."""
-    rows = df.select(F.array(*[ident(c).cast("double") for c in features]).alias("x"), ident(label).alias("c"))
-    sample = rows.collect()
-    x = np.array([r["x"] for r in sample], dtype="float64")
-    names = sorted({r["c"] for r in sample})
-    code = {c: i for i, c in enumerate(names)}
-    member = np.array([code[r["c"]] for r in sample])
-    sizes = np.bincount(member, minlength=len(names)).astype("float64")
-    shared = df.sparkSession.sparkContext.broadcast((x, member, sizes))
-
-    def score(batches):
-        pts, owner, counts = shared.value
-        one_hot = np.eye(len(counts))[owner]
+def _silhouette_euclidean(points: DataFrame, clusters: _Clusters, block_points: int = BLOCK_POINTS) -> float:
+    """Euclidean silhouette: every block of rows meets every other, and sums of distances per cluster are added up."""
+    labels, sizes = clusters.labels, clusters.sizes
+    blocks = max(1, -(-int(sizes.sum()) // block_points))
+    rows = numbered(points).withColumn("b", F.pmod(F.xxhash64("__id"), F.lit(blocks)).cast("int"))
+    packed = materialised(rows.groupBy("b").agg(F.collect_list(F.struct("__id", "x", "c")).alias("rows")))
+    left = packed.select("rows", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("with"))
+    pairs = left.join(packed.select(F.col("b").alias("with"), F.col("rows").alias("others")), "with")
+
+    def sums(batches):
         for pdf in batches:
-            ids = pdf["id"].to_numpy()
-            out = []
-            for i in range(0, len(ids), 128):
-                part = ids[i : i + 128]
-                d = np.sqrt(((pts[part][:, None, :] - pts[None, :, :]) ** 2).sum(axis=2))
-                sums = d @ one_hot
-                own = owner[part]
-                at = np.arange(len(part))
-                a = sums[at, own] / np.maximum(counts[own] - 1, 1)
-                means = sums / counts[None, :]
-                means[at, own] = np.inf
-                b = means.min(axis=1)
+            for mine, others in zip(pdf["rows"], pdf["others"]):
+                x = np.stack([np.asarray(r["x"], dtype="float64") for r in mine])
+                y = np.stack([np.asarray(r["x"], dtype="float64") for r in others])
+                one_hot = np.zeros((len(y), len(labels)))
+                one_hot[np.arange(len(y)), np.searchsorted(labels, [r["c"] for r in others])] = 1.0
+                total = np.concatenate([
+                    np.sqrt(((x[i : i + 64, None, :] - y[None, :, :]) ** 2).sum(axis=2)) @ one_hot for i in range(0, len(x), 64)
+                ])
+                yield pd.DataFrame({"id": [r["__id"] for r in mine], "c": [r["c"] for r in mine], "s": list(total)})
+
+    parts = pairs.mapInPandas(sums, "id bigint, c bigint, s array<double>")
+    per_row = parts.groupBy("id", "c").agg(F.array(*[F.sum(F.get("s", F.lit(j))) for j in range(len(labels))]).alias("s"))
+
+    def scores(batches):
+        for pdf in batches:
+            if len(pdf):
+                total = np.stack(pdf["s"].to_numpy())
+                own, at = np.searchsorted(labels, pdf["c"].to_numpy()), np.arange(len(pdf))
+                a = total[at, own] / np.maximum(sizes[own] - 1, 1)
+                mean = total / sizes[None, :]
+                mean[at, own] = np.inf
+                b = mean.min(axis=1)
                 top = np.maximum(a, b)
-                s = np.where((counts[own] > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1.0), 0.0)
-                out.append(s)
-            yield pd.DataFrame({"s": np.concatenate(out) if out else np.array([])})
+                yield pd.DataFrame({"s": np.where((sizes[own] > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1.0), 0.0)})
 
-    spark = df.sparkSession
-    return spark.range(len(x)).mapInPandas(score, "s double").agg(F.avg("s")).first()[0]
+    return per_row.mapInPandas(scores, "s double").agg(F.avg("s")).first()[0]
 
 
 # ---- candidates ----------------------------------------------------------------------------
@@ -205,24 +283,15 @@ def merge_linkage(points: np.ndarray, weights: np.ndarray, linkage: str, ks: Seq
         left -= 1
 
 
-def _kmeans(vectors: DataFrame, k: int, restarts: int, seed: int) -> KMeansModel:
-    """The run with the lowest cost among ``restarts`` seeds."""
-    best = None
-    for r in range(restarts):
-        model = KMeans(featuresCol="__v", predictionCol="__p", k=k, seed=seed + r).fit(vectors)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    return best
-
+def _together(jobs: Sequence[Callable], spark) -> list:
+    """Results of independent jobs, a few at a time in driver threads."""
+    with ThreadPoolExecutor(max_workers=PARALLEL_FITS) as pool:
+        runs = [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]
+        return [r.result() for r in runs]
 
-def _nearest(points: np.ndarray):
-    @F.pandas_udf("int")
-    def nearest(x: pd.Series) -> pd.Series:
-        a = np.stack(x.to_numpy())
-        out = [((a[i : i + 256, None, :] - points[None, :, :]) ** 2).sum(axis=2).argmin(axis=1) for i in range(0, len(a), 256)]
-        return pd.Series(np.concatenate(out).astype("int32"))
 
-    return nearest
+def _kmeans(vectors: DataFrame, k: int, seed: int) -> KMeansModel:
+    return KMeans(featuresCol="__v", predictionCol=f"__k{k}", k=k, seed=seed).fit(vectors)
 
 
 @dataclass(frozen=True)
@@ -255,71 +324,64 @@ def clustering_tournament(
     seed: int = 42,
     linkages: Sequence[str] = LINKAGES,
     micro_clusters: int = MICRO_CLUSTERS,
-    exact_points: int = EXACT_POINTS,
+    distance: str = SQUARED,
 ) -> ClusterResult:
     """Ranks the candidates by silhouette and labels the table with the winner.
 
-    Linkage candidates merge at most ``micro_clusters`` weighted centres: the rows themselves when
-    there are no more of them than that, otherwise the centres of a k-means run.
+    Linkage candidates merge the weighted centres of a k-means run of ``micro_clusters``, at every table size; with fewer
+    rows than that, each row can be a centre of its own.
     """
     prepared, names, standardiser = clustering_features(df, keep)
-    scaled = standardiser.transform(prepared)
-    vectors = persisted(VectorAssembler(inputCols=names, outputCol="__v").transform(scaled))
+    spark = df.sparkSession
+    assembled = VectorAssembler(inputCols=names, outputCol="__v").transform(standardiser.transform(prepared))
+    vectors = persisted(assembled.select(*[ident(c) for c in (*keep, *names)], "__v"))
     try:
         n = vectors.count()
-        found: list[dict] = []
-
-        def enter(algorithm: str, family: str, labelled: DataFrame, k: int, label: Column) -> None:
-            s = score_clusters(labelled.withColumn("Cluster", label), names, "Cluster", exact_points)
-            if s["k"] > 1:
-                found.append({"algorithm": algorithm, "family": family, "k": k, "order": len(found), "label": label,
-                              "with": labelled, **{m: s[m] for m in ("silhouette", "davies_bouldin", "calinski_harabasz", "kind")}})
-
-        for k in range(2, min(max_k, n - 1) + 1):
-            model = _kmeans(vectors, k, restarts, seed)
-            enter(f"K-Means (k={k})", "Centroid-Based", model.transform(vectors), k, F.col("__p"))
-        ks = list(range(2, min(4, n - 1) + 1))
-        if ks and linkages:
-            if n <= micro_clusters:
-                points = np.array([r[0] for r in vectors.select(vector_to_array("__v")).collect()])
-                weights = np.ones(len(points))
-                micro = vectors.withColumn("__p", _nearest(points)(vector_to_array("__v")))
-            else:
-                model = _kmeans(vectors, micro_clusters, 1, seed)
-                micro = model.transform(vectors)
-                size = {r["__p"]: r["n"] for r in micro.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).collect()}
-                points = np.array(model.clusterCenters())
-                weights = np.array([size.get(i, 1) for i in range(len(points))], dtype="float64")
+        ks = list(range(2, min(max_k, n - 1) + 1))
+        linked = list(range(2, min(4, n - 1) + 1)) if linkages else []
+        runs = [(k, seed + r) for k in ks for r in range(restarts)]
+        fits = _together([lambda k=k, s=s: _kmeans(vectors, k, s) for k, s in runs], spark)
+        candidates: list[tuple[str, str, int, str]] = []  # name, family, clusters, label column
+        labelled = vectors
+        for k in ks:
+            best = min((m for (own, _), m in zip(runs, fits) if own == k), key=lambda m: m.summary.trainingCost)
+            labelled = best.transform(labelled)
+            candidates.append((CENTROID_NAME.format(k=k), CENTROID_FAMILY, k, f"__k{k}"))
+        if linked:
+            micro = KMeans(featuresCol="__v", predictionCol="__m", k=max(2, min(micro_clusters, n)), seed=seed).fit(vectors)
+            sizes = {r["__m"]: r["n"] for r in micro.transform(vectors).groupBy("__m").agg(F.count(F.lit(1)).alias("n")).collect()}
+            used = sorted(sizes)  # centres without rows take no part
+            points, weights = np.array(micro.clusterCenters())[used], np.array([sizes[i] for i in used], dtype="float64")
+            labelled = micro.transform(labelled)
             for linkage in linkages:
-                for k, owner in sorted(merge_linkage(points, weights, linkage, ks).items()):
-                    codes = F.array(*[F.lit(int(o)) for o in owner])
-                    enter(
-                        f"Hierarchical [{linkage.capitalize()}] (k={k})", "Connectivity-Based", micro, k,
-                        F.element_at(codes, F.col("__p") + 1),
-                    )
+                reachable = [k for k in linked if k <= len(points)]
+                for k, owner in sorted(merge_linkage(points, weights, linkage, reachable).items() if reachable else ()):
+                    of_centre = dict(zip(used, owner))
+                    codes = F.array(*[F.lit(int(of_centre.get(i, 0))) for i in range(max(used) + 1)])
+                    column = f"__{linkage}{k}"
+                    labelled = labelled.withColumn(column, F.element_at(codes, F.col("__m") + 1))
+                    candidates.append((LINKAGE_NAME.format(linkage=linkage.capitalize(), k=k), LINKAGE_FAMILY, k, column))
+        columns = [c[3] for c in candidates]
+        written = materialised(
+            labelled.select(*[ident(c) for c in (*keep, *names)], vector_to_array("__v").alias("x"), *[F.col(c) for c in columns])
+        )
+        scores = score_labels(written.select("x", *columns), columns, distance)
+        found = [(i, c, s) for i, (c, s) in enumerate(zip(candidates, scores)) if s["k"] > 1]
         if not found:
             raise ValueError("no candidate found more than one cluster")
-        found.sort(key=lambda c: (-c["silhouette"], c["order"]))
+        found.sort(key=lambda f: (-f[2]["silhouette"], f[0]))
         rows = [
             (
-                i + 1, c["algorithm"], c["family"], py_round_half_up(c["silhouette"], 4),
-                py_round_half_up(c["davies_bouldin"], 4), py_round_half_up(c["calinski_harabasz"], 2), c["k"], c["kind"],
-                "Selected Champion" if i == 0 else "Evaluated",
+                rank, name, family, py_round_half_up(s["silhouette"], 4), py_round_half_up(s["davies_bouldin"], 4),
+                py_round_half_up(s["calinski_harabasz"], 2), k, s["kind"], CHAMPION if rank == 1 else OTHERS,
             )
-            for i, c in enumerate(found)
+            for rank, (_, (name, family, k, _), s) in enumerate(found, 1)
         ]
-        best = found[0]
-        # Back to the original scale for the labelled table.
-        labelled = best["with"].select(
-            *[ident(k) for k in keep],
-            *[
-                (ident(c) * F.lit(standardiser.deviations[c]) + F.lit(standardiser.means[c])).alias(c) for c in names
-            ],
-            best["label"].alias("Cluster"),
-        )
+        _, (best_name, _, best_k, best_column), _ = found[0]
+        original = [(ident(c) * F.lit(standardiser.deviations[c]) + F.lit(standardiser.means[c])).alias(c) for c in names]
+        winner = written.select(*[ident(c) for c in keep], *original, F.col(best_column).alias("Cluster"))
         return ClusterResult(
-            df.sparkSession.createDataFrame(rows, LEADERBOARD_SCHEMA),
-            best["algorithm"], best["k"], rows[0][3], rows[0][4], rows[0][5], labelled, tuple(names),
+            spark.createDataFrame(rows, LEADERBOARD_SCHEMA), best_name, best_k, rows[0][3], rows[0][4], rows[0][5], winner, tuple(names),
         )
     finally:
         vectors.unpersist()

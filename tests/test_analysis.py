@@ -137,9 +137,10 @@ def _brute(rows, floor):
     return {s: n for s, n in counts.items() if n / len(rows) >= floor}
 
 
-@pytest.mark.parametrize("cube", [12, 1])
-def test_itemsets_equal_brute_force(spark, monkeypatch, cube):
-    monkeypatch.setattr(assoc, "CUBE_COLUMNS", cube)
+@pytest.mark.parametrize("cube, listed", [(50_000_000, 10_000), (1, 10_000), (50_000_000, 1), (1, 1)])
+def test_itemsets_equal_brute_force(spark, monkeypatch, cube, listed):
+    monkeypatch.setattr(assoc, "CUBE_ROWS", cube)
+    monkeypatch.setattr(assoc, "LISTED_VALUES", listed)
     rows, df = _baskets(spark)
     got = {tuple(r["items"]): r["n"] for r in assoc.frequent_itemsets(df, 0.1).collect()}
     assert got == _brute(rows, 0.1)
@@ -252,10 +253,30 @@ def test_ward_weights_stand_for_copies():
 def test_indices_and_both_silhouettes(spark):
     pts = _blobs()
     df = frame(spark, [(float(p[0]), float(p[1]), i // 20) for i, p in enumerate(pts)], "a double, b double, c int", 4)
-    exact = cluster.score_clusters(df, ["a", "b"], "c")
-    linear = cluster.score_clusters(df, ["a", "b"], "c", exact_points=10)
+    exact = cluster.score_clusters(df, ["a", "b"], "c", cluster.EUCLIDEAN)
+    linear = cluster.score_clusters(df, ["a", "b"], "c")
     assert exact["kind"] == "euclidean" and linear["kind"] == "squared euclidean"
     assert exact["davies_bouldin"] == linear["davies_bouldin"] and 0.8 < exact["silhouette"] < linear["silhouette"] <= 1
+    assert linear["silhouette"] == pytest.approx(cluster.silhouette_squared(df, ["a", "b"], "c"))
+    d = np.sqrt(((pts[:, None] - pts[None]) ** 2).sum(axis=2))
+    own = np.arange(len(pts)) // 20
+    a = np.array([d[i, own == own[i]].sum() / 19 for i in range(len(pts))])
+    b = np.array([min(d[i, own == c].mean() for c in range(3) if c != own[i]) for i in range(len(pts))])
+    assert exact["silhouette"] == pytest.approx(np.mean((b - a) / np.maximum(a, b)))
+    many = cluster._silhouette_euclidean(  # several blocks
+        df.select(F.array("a", "b").alias("x"), F.col("c").cast("bigint").alias("c")),
+        cluster._Clusters(np.arange(3), np.full(3, 20.0), np.zeros((3, 2)), np.zeros(3)), 7)
+    assert many == pytest.approx(exact["silhouette"])
+
+
+@pytest.mark.parametrize("n", [199, 200, 201, 202])
+def test_the_tournament_does_not_change_with_the_size(spark, n):
+    rng = np.random.default_rng(8)
+    pts = np.concatenate([rng.normal(c, 0.3, (n // 3 + 1, 2)) for c in (0, 5, 10)])[:n]
+    df = frame(spark, [(float(a), float(b)) for a, b in pts], "a double, b double", 2)
+    result = cluster.clustering_tournament(df, max_k=3, restarts=1, linkages=["ward"])
+    kinds = {r["silhouette_kind"] for r in result.leaderboard.collect()}
+    assert kinds == {cluster.SQUARED} and result.best_k == 3 and result.labelled.count() == n
 
 
 def test_clustering_tournament(spark):
@@ -348,3 +369,34 @@ def test_rows_without_a_key_get_one(spark):
     df = _classes(spark, 100).drop("id")
     result = models.classification_tournament(df, "y", None, ["Logistic Regression"], QUICK, fit_scope="all")
     assert result.holdout.count() == 16  # 15 percent of each class, rounded up
+
+
+# ---- wide text ---------------------------------------------------------------------------------
+
+
+def test_wide_text_goes_through_the_tournament(spark):
+    from tablewright.operators import models
+
+    rows = [(i, f"c{i * 7 % 1500}", float(i % 11), float(i * 7 % 1500 % 5) + i % 11) for i in range(3000)]
+    df = frame(spark, rows, "id int, c string, x double, y double", 4)
+    result = models.regression_tournament(df, "y", "id", ["Ridge Regression (L2)"])
+    assert result.failures.count() == 0
+    shares = {r["feature"]: r["share"] for r in result.importances.collect()}
+    assert set(shares) == {"c", "x"} and sum(shares.values()) == pytest.approx(1, abs=1e-3)
+
+
+def test_wide_and_narrow_encodings_agree(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    from tablewright.operators.features import fit_features
+
+    df = frame(spark, [("b",), ("a",), ("c",), ("b",), (None,), ("d",)] * 3, "c string", 2)
+    new = df.union(frame(spark, [("zz",)], "c string"))
+    narrow = fit_features(df).transform(new, keep=["c"]).collect()
+    model = fit_features(df, max_indicators=2)
+    wide = model.transform(new, keep=["c"]).select("c", vector_to_array("c_onehot").alias("v")).collect()
+    assert model.slots == [("c", 3)]
+    count = lambda rows: sorted((str(r["c"]), sum(r[1:]) if isinstance(r[1], float) else sum(r["v"])) for r in rows)
+    assert count(narrow) == count(wide)
+    places = {r["c"]: tuple(r["v"]) for r in wide}
+    assert len({places[c] for c in "bcd"}) == 3 and set(places["a"]) == set(places[None]) == set(places["zz"]) == {0.0}
