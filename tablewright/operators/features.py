@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, StringIndexerModel
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from tablewright.functions.columns import distinct_sketch, ident, is_calendar, is_number, is_text, require_columns
 from tablewright.functions.counts import is_present, value_columns, value_counts
 from tablewright.functions.ranks import exact_medians
+from tablewright.operators.split import dense_row_index
+from tablewright.session import LOCAL_ROWS
 
 # Name parts that mark a text column as a date, the parse share it needs, the parts
 # given to unparsed rows, and the two limits past which a text column counts as an identifier.
@@ -56,7 +58,7 @@ class FeatureModel:
     numeric: tuple[str, ...] = ()
     booleans: tuple[str, ...] = ()
     categories: tuple[tuple[str, tuple[str, ...]], ...] = ()
-    wide: tuple[tuple[str, str, StringIndexerModel], ...] = ()
+    wide: tuple[tuple[str, DataFrame, int], ...] = ()  # column, its written codes (value, code), their number
     medians: dict[str, float] = field(default_factory=dict)
     dropped: tuple[str, ...] = ()
     formats: tuple[str, ...] = DATE_FORMATS
@@ -71,16 +73,22 @@ class FeatureModel:
     def vectors(self) -> list[str]:
         return [f"{c}_onehot" for c, _, _ in self.wide]
 
+    @property
+    def slots(self) -> list[tuple[str, int]]:
+        """Each feature with its number of places in the assembled vector; a wide column is one feature."""
+        return [(c, 1) for c in self.columns] + [(c, size) for c, _, size in self.wide]
+
     def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         """``keep`` columns unchanged, then the features as doubles without nulls."""
         require_columns(df, *keep, *self.sources)
-        for name, smallest, indexer in self.wide:
-            # Null and the smallest category are both "no indicator set"; descending order puts the
-            # smallest last, where the encoder drops it.
-            df = df.withColumn(f"{name}__text", F.coalesce(ident(name), F.lit(smallest)))
-            df = indexer.transform(df)
+        for name, codes, size in self.wide:
+            # Null, the smallest category and values not seen before all set no indicator, as with few categories.
+            named = codes.select(F.col("value").alias(f"{name}__value"), F.col("code").alias(f"{name}__code"))
+            df = df.join(F.broadcast(named) if size <= LOCAL_ROWS else named, ident(name) == ident(f"{name}__value"), "left")
+            df = df.withColumn(f"{name}__index", F.coalesce(ident(f"{name}__code"), F.lit(size)).cast("double"))
             encoder = OneHotEncoder(inputCols=[f"{name}__index"], outputCols=[f"{name}_onehot"], dropLast=True)
-            df = encoder.fit(df.where(F.lit(False))).transform(df)
+            last = df.sparkSession.createDataFrame([(float(size),)], f"`{name}__index` double")
+            df = encoder.fit(last).transform(df)
         scalars = _scalar_columns(df, self.sources, self.date_texts, self.formats, self.missing_parts)
         out: list[Column] = []
         for name in self.numeric:
@@ -199,13 +207,12 @@ def _categories(df: DataFrame, columns: Sequence[str]) -> list[tuple[str, tuple[
     return [(c, tuple(sorted(found.get(i, [])))) for i, c in enumerate(columns)]
 
 
-def _index(df: DataFrame, column: str) -> tuple[str, str, StringIndexerModel]:
-    text = df.where(ident(column).isNotNull()).select(ident(column).alias(f"{column}__text"))
-    smallest = text.agg(F.min(ident(f"{column}__text"))).first()[0]
-    indexer = StringIndexer(
-        inputCol=f"{column}__text", outputCol=f"{column}__index", stringOrderType="alphabetDesc"
-    )
-    return column, smallest, indexer.fit(text)
+def _index(df: DataFrame, column: str) -> tuple[str, DataFrame, int]:
+    """A code for every distinct value but the smallest, as a written table: the values stay on the executors."""
+    values = df.where(ident(column).isNotNull()).select(ident(column).alias("value")).distinct()
+    smallest = values.agg(F.min("value")).first()[0]
+    codes = dense_row_index(values.where(F.col("value") != F.lit(smallest)), "code")
+    return column, codes, codes.count()
 
 
 @dataclass(frozen=True)

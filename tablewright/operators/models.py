@@ -64,10 +64,10 @@ class Settings:
 
 @dataclass(frozen=True)
 class Prepared:
-    """Model-ready rows: key, label, feature vector and array, split."""
+    """Model-ready rows: key, label, feature vector, split. ``slots`` are the features with their places in the vector."""
 
     data: DataFrame
-    features: tuple[str, ...]
+    slots: tuple[tuple[str, int], ...]
     classes: tuple[str, ...]
     n_train: int
     label_std: float
@@ -125,14 +125,15 @@ def _prepare(rows: DataFrame, target: str, classify: bool, key: str, seed: int,
     data = persisted(
         VectorAssembler(inputCols=inputs, outputCol=VEC)
         .transform(encoded)
-        .select(ident(key).alias(KEY), label.alias(LABEL), F.col(VEC), vector_to_array(VEC).alias(ARR), F.col(SPLIT))
+        .select(ident(key).alias(KEY), label.alias(LABEL), F.col(VEC), F.col(SPLIT))
     )
     train = (
         data.where(F.col(SPLIT) == "train")
-        .agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(LABEL).alias("s"), F.max(F.size(ARR)).alias("w"))
+        .agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(LABEL).alias("s"))
         .first()
     )
-    return Prepared(data, tuple(model.columns), classes, train["n"], train["s"] or 0.0, train["w"] or 1)
+    width = sum(size for _, size in model.slots)
+    return Prepared(data, tuple(model.slots), classes, train["n"], train["s"] or 0.0, width or 1)
 
 
 # ---- fitted candidates: each adds ``prediction`` (and ``prob``, an array, where it has one) ------
@@ -222,7 +223,7 @@ def _layer(weights: np.ndarray, shifts: np.ndarray, activation: Callable, scale:
             return pd.Series([], dtype="object")
         return pd.Series(list(scale * activation(np.stack(x.to_numpy()) @ weights.T + shifts)))
 
-    return layer(F.col(ARR))
+    return layer(vector_to_array(F.col(VEC)))
 
 
 def _fourier(width: int, size: int, seed: int) -> Column:
@@ -268,7 +269,8 @@ def fit_neighbours(train: DataFrame, p: Prepared, s: Settings) -> Fitted:
     k = min(s.neighbours, max(p.n_train, 1))
 
     def score(df: DataFrame) -> DataFrame:
-        near = nearest_neighbours(train, df, ARR, KEY, LABEL, k)
+        arrays = [x.withColumn(ARR, vector_to_array(VEC)) for x in (train, df)]
+        near = nearest_neighbours(*arrays, ARR, KEY, LABEL, k)
         share = near.groupBy("query").agg(
             F.array(*[F.avg((F.col("label") == float(c)).cast("double")) for c in range(len(p.classes))]).alias("prob")
         )
@@ -377,7 +379,7 @@ def fit_random_layer(train: DataFrame, p: Prepared, s: Settings) -> Fitted:
     rng = np.random.default_rng(s.seed)
     weights = rng.normal(0.0, 1.0 / math.sqrt(p.width), size=(s.hidden[0], p.width))
     shifts = rng.normal(0.0, 1.0, size=s.hidden[0])
-    hidden = array_to_vector(F.concat(_layer(weights, shifts, np.tanh), F.col(ARR)))
+    hidden = array_to_vector(F.concat(_layer(weights, shifts, np.tanh), vector_to_array(F.col(VEC))))
     model = _ridge(train.withColumn("__h", hidden), p, s.ridge_alpha, vec="__h")
 
     def score(df: DataFrame) -> DataFrame:
@@ -457,11 +459,15 @@ def _scored(spark: SparkSession, fitted: dict, names: Sequence[str], held: DataF
     return [c for c in scored if c["val"] is not None and c["test"] is not None], failed
 
 
-def _importances(spark, names: Sequence[str], values: Sequence[float]) -> DataFrame:
-    total = sum(values) or 1.0
-    rows = [
-        (n, py_round_half_up(float(v), 4), py_round_half_up(float(v) / total, 4)) for n, v in zip(names, values)
-    ] if len(values) >= len(names) else []
+def _importances(spark, slots: Sequence[tuple[str, int]], values: Sequence[float]) -> DataFrame:
+    """One row per feature; the places of a wide column are added up, so the shares cover the whole model."""
+    rows = []
+    if values and len(values) >= sum(size for _, size in slots):
+        total, at = sum(values) or 1.0, 0
+        for name, size in slots:
+            v = float(sum(values[at : at + size]))
+            rows.append((name, py_round_half_up(v, 4), py_round_half_up(v / total, 4)))
+            at += size
     return spark.createDataFrame(rows, "feature string, importance double, share double")
 
 
@@ -521,7 +527,7 @@ def classification_tournament(
                 "val_f1_score": rows[0][2],
             },
             spark.createDataFrame(rows, CLS_SCHEMA),
-            _importances(spark, p.features, winner.importances),
+            _importances(spark, p.slots, winner.importances),
             _failures(spark, {n: e for n, e in failed.items() if n in names}),
             holdout,
             p.classes,
@@ -567,7 +573,7 @@ def regression_tournament(
             scored[0]["name"],
             {"r2_score": rows[0][3], "val_r2_score": rows[0][2], "mse": rows[0][4], "mae": rows[0][5]},
             spark.createDataFrame(rows, REG_SCHEMA),
-            _importances(spark, p.features, winner.importances),
+            _importances(spark, p.slots, winner.importances),
             _failures(spark, failed),
             holdout,
         )
