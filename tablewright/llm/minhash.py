@@ -32,7 +32,7 @@ from tablewright.llm.components import connected_components
 from tablewright.llm.store import Scratch
 
 WIDTH, THRESHOLD = 5, 80
-HASHES, BITS, BANDS, ROWS = 512, 4, 48, 6
+HASHES, BITS, BANDS, ROWS = 1024, 4, 48, 6
 MARGIN = 4.5
 BROADCAST_IDS = 1_000_000
 BATCH_ROWS = 1_000  # texts per Arrow batch that goes back to Spark
@@ -79,7 +79,7 @@ class MinHasher:
         self.a = rng.integers(0, 2**32, HASHES, dtype=np.uint32) | np.uint32(1)
         self.b = rng.integers(0, 2**32, HASHES, dtype=np.uint32)
         self.band_weights = rng.integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
-        self.buffer = np.empty((256, HASHES), dtype=np.uint32)
+        self.buffer = np.empty((128, HASHES), dtype=np.uint32)
 
     def minima(self, shingles: np.ndarray) -> np.ndarray:
         x = (shingles >> np.uint64(32)).astype(np.uint32) ^ shingles.astype(np.uint32)
@@ -210,7 +210,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     wanted = docs.join(ids.withColumnRenamed("doc_id", "__id"), F.col(id_col) == F.col("__id"), "left_semi")
     sets = scratch.write(shingle_sets(wanted, id_col, text_col, width), "sets")
-    planes = reps.select("doc_id", "planes", "n_shingles")
+    planes = reps.select("doc_id", "planes", "n_shingles", "bands")
 
     centre = F.explode(F.array_distinct(F.array("heavy", "other")))
     pairs = met.select(centre.alias("c"), "doc_id").filter("c <> doc_id")
@@ -248,13 +248,15 @@ def _between_components(met: DataFrame, planes: DataFrame, components: DataFrame
     ).filter("parts > 1 AND size > 2").select("cell", "major")
     active = placed.filter("doc_id <> heavy AND doc_id <> other").join(mixed, "cell").join(planes, "doc_id")
     minor = active.filter("component <> major").select(
-        "cell", F.col("doc_id").alias("x"), F.col("component").alias("cx"), F.col("planes").alias("px"), F.col("n_shingles").alias("nx"))
+        "cell", F.col("doc_id").alias("x"), F.col("component").alias("cx"), F.col("planes").alias("px"), F.col("n_shingles").alias("nx"),
+        F.col("bands").alias("bx"))
     every = active.select(
         "cell", F.col("doc_id").alias("y"), F.col("component").alias("cy"), F.col("planes").alias("py"), F.col("n_shingles").alias("ny"),
-        (F.col("component") == F.col("major")).alias("in_major"))
+        F.col("bands").alias("by"), (F.col("component") == F.col("major")).alias("in_major"))
     near = (
         (minor["cell"] == every["cell"]) & (F.col("cx") != F.col("cy")) & (F.col("in_major") | (F.col("x") < F.col("y")))
         & (100 * F.least("nx", "ny") >= threshold * F.greatest("nx", "ny")) & likely("px", "py", threshold)
+        & (F.get(F.array_intersect("bx", "by"), F.lit(0)) == minor["cell"])  # a pair comes from its first common bucket alone
     )
     return minor.join(every, near).select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
 
