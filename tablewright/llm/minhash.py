@@ -35,6 +35,7 @@ WIDTH, THRESHOLD = 5, 80
 HASHES, BITS, BANDS, ROWS = 1024, 4, 48, 6
 MARGIN = 4.5
 BROADCAST_IDS = 1_000_000
+LONGEST_REST = 64
 BATCH_ROWS = 1_000  # texts per Arrow batch that goes back to Spark
 NO_VALUES = np.empty(0, dtype=np.int64)
 SIGNATURE = ("doc_id long, n_shingles long, set_hi long, set_lo long, planes array<long>, bands array<long>")
@@ -224,10 +225,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars_links = scratch.write(_confirmed(pairs, sets, threshold), "star-links")
     first = connected_components(stars_links, scratch, "first")
 
-    crossing = _between_components(met, planes, first, threshold)
+    crossing = _between_components(met, planes, first, sets, threshold, scratch)
     links = scratch.write(_confirmed(crossing, sets, threshold), "cross-links").unionByName(stars_links)
     found = connected_components(links, scratch, "second")
-    scratch.drop("met", "sets", "representatives")
+    scratch.drop("met", "sets", "representatives", "relative")
 
     of_class = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     of_class = of_class.select(*equal, F.coalesce("component", "rep").alias("component"))
@@ -237,8 +238,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
-def _between_components(met: DataFrame, planes: DataFrame, components: DataFrame, threshold: int) -> DataFrame:
-    """Likely pairs (u, v) that share a bucket, lie in different components and were not compared with a centre."""
+def _between_components(met: DataFrame, planes: DataFrame, components: DataFrame, sets: DataFrame, threshold: int,
+                        scratch: Scratch) -> DataFrame:
+    """Likely pairs (u, v) that share a bucket, lie in different components and were not compared with a centre.
+
+    Each member's set is known relative to the bucket's centre c: how much of c it holds, and the rest that c lacks. Two members
+    share at most the smaller part of c and what their rests share, which rules nearly all pairs out exactly before any full set moves.
+    """
     placed = met.join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     placed = placed.withColumn("component", F.coalesce("component", "doc_id"))
     counts = placed.groupBy("cell", "component").agg(F.count(F.lit(1)).alias("n"))
@@ -246,16 +252,26 @@ def _between_components(met: DataFrame, planes: DataFrame, components: DataFrame
         F.max_by("component", F.struct("n", "component")).alias("major"), F.count(F.lit(1)).alias("parts"),
         F.sum("n").alias("size"),
     ).filter("parts > 1 AND size > 2").select("cell", "major")
-    active = placed.filter("doc_id <> heavy AND doc_id <> other").join(mixed, "cell").join(planes, "doc_id")
+    active = placed.filter("doc_id <> heavy AND doc_id <> other").join(mixed, "cell")
+    centres = sets.select(F.col("doc_id").alias("heavy"), F.col("shingles").alias("of_centre"))
+    rest = F.array_except("shingles", "of_centre")
+    relative = active.select("heavy", "doc_id").distinct().join(sets, "doc_id").join(centres, "heavy").select(
+        "heavy", "doc_id", F.size(F.array_intersect("shingles", "of_centre")).alias("held"),
+        F.when(F.size(rest) <= LONGEST_REST, rest).alias("rest"),  # without it a pair is not ruled out here
+    )
+    relative = scratch.write(relative, "relative")
+    active = active.join(relative, ["heavy", "doc_id"]).join(planes, "doc_id")
     minor = active.filter("component <> major").select(
         "cell", F.col("doc_id").alias("x"), F.col("component").alias("cx"), F.col("planes").alias("px"), F.col("n_shingles").alias("nx"),
-        F.col("bands").alias("bx"))
+        F.col("bands").alias("bx"), F.col("held").alias("hx"), F.col("rest").alias("rx"))
     every = active.select(
         "cell", F.col("doc_id").alias("y"), F.col("component").alias("cy"), F.col("planes").alias("py"), F.col("n_shingles").alias("ny"),
-        F.col("bands").alias("by"), (F.col("component") == F.col("major")).alias("in_major"))
+        F.col("bands").alias("by"), F.col("held").alias("hy"), F.col("rest").alias("ry"), (F.col("component") == F.col("major")).alias("in_major"))
+    most = F.least("hx", "hy") + F.size(F.array_intersect("rx", "ry"))
     near = (
         (minor["cell"] == every["cell"]) & (F.col("cx") != F.col("cy")) & (F.col("in_major") | (F.col("x") < F.col("y")))
         & (100 * F.least("nx", "ny") >= threshold * F.greatest("nx", "ny")) & likely("px", "py", threshold)
+        & (F.col("rx").isNull() | F.col("ry").isNull() | ((100 + threshold) * most >= threshold * (F.col("nx") + F.col("ny"))))
         & (F.get(F.array_intersect("bx", "by"), F.lit(0)) == minor["cell"])  # a pair comes from its first common bucket alone
     )
     return minor.join(every, near).select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
