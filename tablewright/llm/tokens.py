@@ -8,7 +8,7 @@ there is nothing to map) and gives any document's ids.
 
 Tasks write under a name of their own and rename it when complete, so a repeated or lost task leaves whole files. Documents
 with the same id are ordered by a hash of their text. The library encodes every different piece of text once per task: texts
-are cut at white space and between a letter and one of ``.,!?;:``, where the tokenizer's own pre-tokenizer always cuts and its
+are cut at white space and between letters and punctuation, where the tokenizer's own pre-tokenizer always cuts and its
 normaliser changes nothing across; ``plain_cuts`` says whether a tokenizer has these rules, and without them texts are encoded whole.
 
 Defined cases: a null text counts as empty and has the end id alone; a null doc_id sorts first; an empty table gives an empty
@@ -36,9 +36,13 @@ END_ID = 1
 NULL_ID = -(2**63)
 MANIFEST = "part int, file string, n_docs long, n_tokens long, width int"
 LETTERS = wordspans.byte_set([*range(65, 91), *range(97, 123)])
-PUNCTUATION = wordspans.byte_set(map(ord, ".,!?;:"))
+#: No apostrophe, which contractions start with, and no sign that control strings consist of.
+PUNCTUATION = wordspans.byte_set(map(ord, ".,!?;:\"#$%&()*+-/=@[\\]^_`{}~"))
+LATIN_LEADS = wordspans.byte_set((0xC3, 0xC4, 0xC5))  # two-byte letters up to U+017F, but for the two signs below
+NO_LETTERS = (0xC397, 0xC3B7, 0xC4B0)  # two signs, and the dotted capital I, which becomes two characters in lower case
 WHITE_SPACE = wordspans.byte_set((0x20, 0x09, 0x0A, 0x0D))
 CACHE_PIECES = 2_000_000
+PIECES_AT_ONCE = 256
 
 
 def _file_system(folder: str):
@@ -61,9 +65,19 @@ class Encoder:
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # For words of Latin letters, which are composed already and one unit each: the same model without the other rules.
+        self.words = Tokenizer.from_file(path)
+        self.words.normalizer = normalizers.Lowercase()
+        self.words.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        if suffix:
+            self.ends_word[[i for word, i in self.tokenizer.get_vocab().items() if word.endswith(suffix)]] = True
         self.end_id = end_id
         self.width = 2 if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 2**16 else 4
         self.kind = np.dtype("<u2" if self.width == 2 else "<u4")
@@ -76,12 +90,20 @@ class Encoder:
         return [np.array([*e.ids, self.end_id], dtype=self.kind)
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _piece(self, piece: str) -> np.ndarray:
-        if piece.isascii() and piece.isalpha():  # normalised and one word already
-            ids = [x.id for x in self.tokenizer.model.tokenize(piece)]
-        else:
-            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        return np.array(ids, dtype=self.kind)
+    def _pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """Ids of any pieces."""
+        found = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
+        return [np.array(e.ids, dtype=self.kind) for e in found]
+
+    def _latin(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """Ids of words of Latin letters, many in one text; the tokens that end a word part them again."""
+        texts = [b" ".join(pieces[i : i + PIECES_AT_ONCE]).decode() for i in range(0, len(pieces), PIECES_AT_ONCE)]
+        found = self.words.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, dtype=self.kind) for e in found]) if found else np.empty(0, self.kind)
+        ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
+        if len(ends) != len(pieces):  # a tokenizer that marks no word ends
+            return self._pieces(pieces)
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
 
     def batches(self, column: pa.Array) -> Iterator[list[np.ndarray]]:
         for first, end, data, offsets in wordspans.slices(column):
@@ -94,7 +116,7 @@ class Encoder:
         n = len(offsets) - 1
         data = self.lower[raw]
         starts, ends, row = wordspans.word_bounds(data, offsets, WHITE_SPACE)
-        cut = np.flatnonzero(PUNCTUATION[data[1:]] & LETTERS[data[:-1]]) + 1 if len(data) else starts
+        cut, letters = self._cuts(data)
         cut = cut[~np.isin(cut, offsets)]
         inner_row = np.searchsorted(offsets, cut, side="right") - 1
         order = np.argsort(np.concatenate([starts, cut]), kind="stable")
@@ -104,12 +126,19 @@ class Encoder:
         pieces, where, which = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.known) > CACHE_PIECES:
             self.known.clear()
-        known, found = self.known, []
-        for key, i in zip(pieces.tolist(), where.tolist(), strict=True):
-            ids = known.get(key)
-            if ids is None:
-                ids = known[key] = self._piece(data[starts[i] : ends[i]].tobytes().decode())
-            found.append(ids)
+        known, keys_of = self.known, pieces.tolist()
+        others = np.concatenate([[0], np.cumsum(~letters)])
+        first, last = starts[where], ends[where]
+        plain = (others[last] == others[first]).tolist()
+        text, new = data.tobytes(), {True: ([], []), False: ([], [])}
+        for key, is_plain, a, b in zip(keys_of, plain, first.tolist(), last.tolist(), strict=True):
+            if key not in known:
+                new[is_plain][0].append(key)
+                new[is_plain][1].append(text[a:b])
+        for is_plain, encode in ((True, self._latin), (False, self._pieces)):
+            unknown, parts = new[is_plain]
+            known.update(zip(unknown, encode(parts) if parts else [], strict=True))
+        found = [known[key] for key in keys_of]
         lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         flat = np.concatenate(found) if found else np.empty(0, self.kind)
         begin = np.cumsum(lengths) - lengths
@@ -121,10 +150,25 @@ class Encoder:
         self._marked(raw, offsets, out)
         return out
 
+    @staticmethod
+    def _cuts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places between a letter and punctuation, either way round, and the bytes of letters (ASCII or two-byte Latin ones)."""
+        begins, ends = LETTERS[data], LETTERS[data]
+        if len(data) < 2:
+            return np.empty(0, dtype=np.int64), begins
+        pair = (data[:-1].astype(np.uint16) << 8) | data[1:]
+        two = LATIN_LEADS[data[:-1]] & ~np.isin(pair, NO_LETTERS)  # a letter begins here and ends at the next byte
+        begins[:-1] |= two
+        ends[1:] |= two
+        marks = PUNCTUATION[data]
+        return np.flatnonzero((marks[1:] & ends[:-1]) | (marks[:-1] & begins[1:])) + 1, begins | ends
+
     def _marked(self, raw: np.ndarray, offsets: np.ndarray, out: list[np.ndarray]) -> None:
-        """Encodes texts whole that may hold a control string, whose letters have a case and whose parts belong together."""
-        pair = np.flatnonzero((raw[:-1] == 0x3C) & (raw[1:] == 0x7C))
-        for i in np.unique(np.searchsorted(offsets, pair, side="right") - 1):
+        """Encodes texts whole that may hold a control string, whose letters have a case and whose parts belong together,
+        or marks that combine with the letter before them, which depends on its case."""
+        pair = (raw[:-1] == 0x3C) & (raw[1:] == 0x7C)
+        place = np.concatenate([np.flatnonzero(pair), np.flatnonzero((raw == 0xCC) | (raw == 0xCD))])
+        for i in np.unique(np.searchsorted(offsets, place, side="right") - 1):
             out[i] = self._whole([raw[offsets[i] : offsets[i + 1]].tobytes().decode()])[0]
 
 
