@@ -344,13 +344,15 @@ def test_regression_tournament_with_all_models(spark):
 
 
 def test_ridge_and_lasso_against_closed_forms(spark):
+    from pyspark.ml.functions import vector_to_array
+
     rng = np.random.default_rng(3)
     x = rng.normal(size=(80, 2))
     y = x @ np.array([2.0, -1.0]) + rng.normal(0, 0.5, 80)
     df = frame(spark, [(i, float(a), float(b), float(c)) for i, ((a, b), c) in enumerate(zip(x, y))], "id int, a double, b double, y double")
     p = models.prepare(df, "y", False, "id")
     train = p.part("train")
-    rows = train.select(models.ARR, models.LABEL).collect()
+    rows = train.select(vector_to_array(models.VEC), models.LABEL).collect()
     z, t = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
     zc, tc = z - z.mean(axis=0), t - t.mean()
     s = models.Settings(ridge_alpha=5.0)

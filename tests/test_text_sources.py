@@ -220,7 +220,8 @@ def test_advisory_on_a_sparse_table(spark):
     out = run_advisory(df, "segment the rows", key="id", sensitive=["g"], outcome="a", max_k=3, restarts=1)
     assert out.grown and out.cleaned.count() == 100
     assert {r["split"]: r["n"] for r in out.split_counts.collect()} == {"train": 70, "val": 15, "test": 15}
-    assert out.champion and set(out.gates) == {"kmo_bartlett", "factors"}
+    assert out.champion and set(out.gates) == {"kmo_bartlett", "factors", "loadings", "scores"}
+    assert "id" not in out.cleaned.columns  # a grown table's key is no feature
     context = out.context.first()
     assert (context["task"], context["train"]) == ("Clustering / Segmentation", 70)
     assert out.parity.count() == 2 and out.report.where("section = 'executive_verdict'").count() == 1
