@@ -28,7 +28,7 @@ def op4_language(spark, d):
 
 
 def op6_line_templates(spark, d):
-    return templates.drop_recurring_lines(table(spark, d, "documents"))
+    return templates.drop_recurring_lines(table(spark, d, "documents"), long_docs=templates.LONG_DOCS)
 
 
 def op5_mixing(spark, d):

@@ -4,7 +4,8 @@ Lines are parsed as log messages are: a line's leaf is its number of words and i
 a digit read as the variable field ``<*>``. Lines that are equal but for such fields share a template from the start. In a
 leaf with several different lines, a word that fewer than ``min_docs`` documents have at its place is variable too; a line's
 template is then what remains. Templates with at least ``min_words`` words, ``CONSTANT`` of them constant, that occur in
-``min_docs`` documents are recurring, and their lines are dropped, wherever they stand.
+``min_docs`` documents are recurring, and their lines are dropped, wherever they stand. With ``long_docs``, a line with
+``LONG_WORDS`` constant words also recurs if that many documents with different texts have it; copies of one text count once there.
 
 Only hashes and counts of lines are shuffled, combined per task first; words travel for the leaves with several
 different lines alone, once per different line.
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from tablewright.llm.store import BROADCAST_ROWS, Scratch
 
 DEPTH, MIN_WORDS, MIN_DOCS, CONSTANT = 3, 5, 3, 0.7
+LONG_WORDS, LONG_DOCS = 50, 2
 VARIABLE = "<*>"
 
 
@@ -31,16 +33,17 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, line, words, n, leaf, template) of every line with ``words`` masked."""
+    """(doc_id, text_hash, line, words, n, is_long, leaf, template) of every line with ``words`` masked."""
     rows = docs.filter("text IS NOT NULL").select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
     masked = F.when(F.col("raw").rlike("[0-9]"), F.regexp_replace("raw", r"[^\s0-9]*[0-9]\S*", VARIABLE)).otherwise(F.col("raw"))
     rows = rows.select("doc_id", "text_hash", "line", F.split(F.trim(F.regexp_replace(masked, r"\s+", " ")), " ").alias("words"))
     rows = rows.withColumn("n", F.size("words"))
+    rows = rows.withColumn("is_long", (F.col("n") >= LONG_WORDS) & (F.size(F.array_remove("words", VARIABLE)) >= LONG_WORDS))
     return rows.withColumn("leaf", F.xxhash64("n", F.slice("words", 1, DEPTH))).withColumn("template", F.xxhash64("words"))
 
 
 def recurring_lines(docs: DataFrame, scratch: Scratch, min_docs: int = MIN_DOCS, min_words: int = MIN_WORDS,
-                    id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+                    id_col: str = "doc_id", text_col: str = "text", long_docs: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(places, recurring): every line's place with its template, and the templates whose lines are dropped."""
     keyed = _keyed(docs, id_col, text_col)
     places = scratch.write(_lines(keyed).drop("words"), "places")
@@ -66,15 +69,21 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, min_docs: int = MIN_DOCS,
     in_docs = long.select("template", "doc_id").distinct().join(general, "template").select("general", "doc_id").distinct()
     often = in_docs.groupBy("general").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs)
     exact = counts.filter(F.col("docs") >= min_docs).select("template")
-    recurring = exact.union(general.join(often, "general").select("template")).distinct()
+    recurring = exact.union(general.join(often, "general").select("template"))
+    if long_docs is not None:
+        holders = places.filter("is_long").select("template", "doc_id", "text_hash")
+        ids, texts = (holders.select("template", c).distinct().groupBy("template").agg(F.count(F.lit(1)).alias(c)) for c in ("doc_id", "text_hash"))
+        shared = ids.join(texts, "template").filter(F.least("doc_id", "text_hash") >= long_docs)
+        recurring = recurring.union(shared.select("template"))
+    recurring = recurring.distinct()
     return places, scratch.write(recurring, "recurring")
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_words: int = MIN_WORDS, id_col: str = "doc_id",
-                         text_col: str = "text") -> DataFrame:
+                         text_col: str = "text", long_docs: int | None = None) -> DataFrame:
     """One row per document: doc_id, text without its recurring lines, n_lines, n_dropped, dropped (their places, from 0)."""
     scratch = Scratch(docs.sparkSession, "templates")
-    places, recurring = recurring_lines(docs, scratch, min_docs, min_words, id_col, text_col)
+    places, recurring = recurring_lines(docs, scratch, min_docs, min_words, id_col, text_col, long_docs)
     gone = places.join(recurring, "template").groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line")).alias("dropped"))
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "dropped")
     rows = _keyed(docs, id_col, text_col).join(
