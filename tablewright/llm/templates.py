@@ -2,8 +2,9 @@
 
 Lines are parsed as log messages are: a line's leaf is its number of words and its first ``DEPTH`` words, with words that hold
 a digit read as the variable field ``<*>``. Lines that are equal but for such fields share a template from the start. In a
-leaf with several different lines, a word that fewer than ``min_docs`` documents have at its place is variable too; a line's
-template is then what remains. Templates with at least ``min_words`` words, ``CONSTANT`` of them constant, that occur in
+leaf with several different lines, a word that few documents have at its place is variable too; a line's template is then what
+remains. What is few depends on the leaf and on the template in it, so every level ``min_docs`` times a power of two is tried: the values
+of a field fall out at some level below the template's own words, however often each of them occurs. Templates with at least ``min_words`` words, ``CONSTANT`` of them constant, that occur in
 ``min_docs`` documents are recurring, and their lines are dropped, wherever they stand. With ``long_docs``, a line with
 ``LONG_WORDS`` constant words also recurs if that many documents with different texts have it; copies of one text count once there.
 
@@ -58,16 +59,34 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, min_docs: int = MIN_DOCS,
     wanted = _lines(keyed).filter(F.col("n") >= min_words).join(F.broadcast(leaves) if few else leaves, "leaf", "left_semi")
     kinds = wanted.groupBy("template").agg(F.first("words").alias("words")).join(counts, "template")
     words = scratch.write(kinds.select("leaf", "template", "n", "docs", F.posexplode("words").alias("place", "word")), "words")
-    constant = words.groupBy("leaf", "place", "word").agg(F.sum("docs").alias("in_docs")).filter(F.col("in_docs") >= min_docs)
+    constant = words.groupBy("leaf", "place", "word").agg(F.sum("docs").alias("in_docs")).filter(
+        (F.col("in_docs") >= min_docs) & (F.col("word") != VARIABLE)
+    )
     marked = words.join(constant, ["leaf", "place", "word"], "left")
-    marked = marked.withColumn("word", F.when(F.col("in_docs").isNull(), F.lit(VARIABLE)).otherwise(F.col("word")))
-    general = marked.groupBy("leaf", "template", "n").agg(
-        F.array_sort(F.collect_list(F.struct("place", "word"))).alias("words"),  # the words of one line
-        F.count_if(F.col("word") != VARIABLE).alias("constants"),
-    ).filter(F.col("constants") >= CONSTANT * F.col("n"))
-    general = scratch.write(general.select("template", F.xxhash64("leaf", "words").alias("general")), "general")
-    in_docs = long.select("template", "doc_id").distinct().join(general, "template").select("general", "doc_id").distinct()
-    often = in_docs.groupBy("general").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs)
+    marked = marked.groupBy("leaf", "template", "n", "docs").agg(
+        F.array_sort(F.collect_list(F.struct("place", "word", F.coalesce("in_docs", F.lit(0)).alias("in_docs")))).alias("words")  # of one line
+    )
+    needed = F.ceil(F.lit(CONSTANT) * F.col("n")).cast("int")  # constant words a template has at least
+    weakest = F.get(F.sort_array(F.transform("words", lambda w: w["in_docs"]), asc=False), needed - 1)
+    marked = marked.withColumn("weakest", weakest).filter(F.col("weakest") >= min_docs)
+    levels = F.sequence(F.lit(0), F.floor(F.log2(F.col("weakest") / min_docs) + 1e-9).cast("int"))
+
+    def at_level(k):
+        """The template whose constant words are in min_docs * 2^k documents of the leaf at least."""
+        least = F.lit(min_docs) * F.pow(F.lit(2), k)
+        return F.xxhash64("leaf", F.transform("words", lambda w: F.when(w["in_docs"] >= least, w["word"]).otherwise(VARIABLE)))
+
+    general = marked.select("template", "docs", F.explode(F.array_distinct(F.transform(levels, at_level))).alias("general"))
+    general = scratch.write(general, "general")
+    sums = general.groupBy("general").agg(
+        F.count(F.lit(1)).alias("kinds"), F.sum("docs").alias("docs"), F.max("docs").alias("most")
+    ).filter((F.col("kinds") > 1) & (F.col("docs") >= min_docs)).select("general", "most")
+    general = scratch.write(general.join(sums, "general"), "shared")
+    sure = general.filter(F.col("most") >= min_docs).select("general").distinct()
+    doubtful = general.filter(F.col("most") < min_docs).select("template", "general")  # each line in fewer than min_docs documents
+    in_docs = long.select("template", "doc_id").distinct().join(doubtful, "template").select("general", "doc_id").distinct()
+    often = in_docs.groupBy("general").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs).select("general")
+    often = sure.union(often)
     exact = counts.filter(F.col("docs") >= min_docs).select("template")
     recurring = exact.union(general.join(often, "general").select("template"))
     if long_docs is not None:

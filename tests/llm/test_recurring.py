@@ -35,3 +35,27 @@ def test_query_drops_long_lines_of_two_texts(spark):
     want = {x for words, texts in holders.items() if len(texts) == 2 for x in place[words]}
     got = {(r["doc_id"], n) for r in queries.op6_line_templates(spark, d).collect() for n in r["dropped"]}
     assert want and want <= got
+
+
+def test_fields_stay_variable_as_the_table_grows(spark):
+    """Names and sections are constant by an absolute count once the table is large; no pair of them is in three documents."""
+    line = "Today the notice {} was posted by anna{} in part{} at noon for all readers".format
+
+    def texts(size):
+        pairs = [(i, (i * 7 + j) % size) for i in range(size) for j in range(min(size, 4))]
+        names = [(chr(97 + i // 26) + chr(97 + i % 26), chr(97 + j // 26) + chr(97 + j % 26)) for i, j in pairs]
+        return [line("here", i, j) + f"\nown{k}" for k, (i, j) in enumerate(names)]
+
+    small, large = texts(2), texts(200)
+    other = ["Today the notice of our garden club tells of roses and of many other things"] * 5_000  # the leaf's larger template
+    for rows in (small, large, large + other, small * 100):
+        assert set(map(tuple, dropped(spark, rows).values())) == {(0,)}
+
+
+def test_template_of_skewed_values(spark):
+    """Some values are frequent in themselves, their combinations with others are not."""
+    names = [f"name{chr(97 + i)}" for i in range(20)]
+    rows = [f"As of today mister {names[i]} meets miss {names[j]} at the old town hall" for i in range(20) for j in range(20) if i * j < 40]
+    assert set(map(tuple, dropped(spark, rows).values())) == {(0,)}
+    unlike = [f"As of today {' '.join(name + names[i] + names[j] for name in 'abcd')} hall" for i in range(20) for j in range(20)]
+    assert set(map(tuple, dropped(spark, unlike).values())) == {()}  # fewer than 70 % constant
