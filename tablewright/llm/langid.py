@@ -46,23 +46,34 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sampl
           dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """Dictionaries by language from the labelled rows of ``docs``.
 
-    A row joins the sample if the hash of its text is small: the bound follows from the number of rows of its language, so
-    about ``sample_docs`` rows of each reach the driver, and at most ``dictionary_bytes`` of their text, cut into equal parts.
+    The ``sample_docs`` texts with the smallest hashes are each language's sample: the bound below which they lie follows from
+    the number of its different texts, however many copies they have, and is doubled for a language with too few texts below it.
+    At most ``dictionary_bytes`` of a language's text are kept, cut into equal parts.
     """
     labelled = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES + 1).collect()
+    labelled = labelled.withColumn("hash", F.xxhash64("text"))
+    sizes = labelled.select("lang", "hash").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES + 1).collect()
     if len(sizes) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
     if not sizes:
         return {}
-    place = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1_000_000.0
-    bound = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(sample_docs / r["n"])) for r in sizes])
+    place = F.pmod(F.col("hash"), F.lit(1_000_000)) / 1_000_000.0
     part = max(256, dictionary_bytes // sample_docs * 2)
     middle = F.greatest(F.lit(1), (F.char_length("text") / 2 - part / 2).cast("int"))
-    chosen = labelled.filter(place < bound).select("lang", place.alias("place"), F.substring("text", middle, F.lit(part)).alias("text"))
-    texts: dict[str, list] = {r["lang"]: [] for r in sizes}
-    for r in chosen.distinct().orderBy("lang", "place", "text").limit(len(sizes) * sample_docs * 2).collect():
-        texts[r["lang"]].append(folded(r["text"]))
+    bounds = {r["lang"]: (sample_docs + 6 * math.sqrt(sample_docs)) / r["n"] for r in sizes}  # rarely too few, never many more
+    texts: dict[str, list] = {}
+    while bounds:
+        bound = F.coalesce(*[F.when(F.col("lang") == k, F.lit(v)) for k, v in bounds.items()])
+        chosen = labelled.filter(place < bound).groupBy("lang", "hash").agg(
+            F.min(F.struct(place.alias("place"), F.substring("text", middle, F.lit(part)).alias("text"))).alias("x"))
+        found: dict[str, list] = {k: [] for k in bounds}
+        for r in chosen.select("lang", "hash", "x.place", "x.text").collect():
+            found[r["lang"]].append((r["place"], r["text"], r["hash"]))
+        wanted = {r["lang"]: min(sample_docs, r["n"]) for r in sizes}
+        for k, rows in found.items():
+            if len(rows) >= wanted[k] or bounds[k] > 1:
+                texts[k] = [folded(t) for _, t, _ in sorted(rows)[:sample_docs]]
+        bounds = {k: 2 * v for k, v in bounds.items() if k not in texts}
     return dictionaries_of({k: list(dict.fromkeys(v)) for k, v in texts.items()}, dictionary_bytes)
 
 
