@@ -9,7 +9,7 @@ What the dictionaries are made of is bounded: ``SAMPLE_DOCS`` labelled texts per
 ``DICTIONARY_BYTES`` per language. Prediction covers every block of every text and sees nothing but the text.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0. Without any labelled text everything is ``und``. Languages
-with equal bytes: the first by name. Repeated rows give equal rows; an empty table gives an empty result. Only the named columns are read.
+with equal bytes: the longer dictionary, then the first by name. Repeated rows give equal rows; an empty table gives an empty result. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -28,6 +28,9 @@ LANGUAGES = 500  # more learned languages than this are refused, since each cost
 BLOCK = 2_000
 LEVEL = 5
 NARROW = 0.01
+FLOOR, HANDICAP = 4 * 1024, 0.01  # a dictionary below FLOOR bytes is short; the least share of bytes it has to be ahead
+LEAD = 0.35  # and the share of the lead of the best of the others
+CUTS = 1_000  # cut dictionaries a task holds
 UNKNOWN = "und"
 #: Everything in ASCII that is no letter becomes a blank, so that layout, digits and marks say nothing about the language.
 PLAIN = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
@@ -136,26 +139,36 @@ def dictionaries_of(texts: dict[str, list[bytes]], dictionary_bytes: int = DICTI
 
 
 class Compressors:
+    """Languages with the longest dictionaries are compared at that length. Every shorter one is used whole too: the best of its
+    length is compared with the best so far, cut to that length. At few bytes that comparison is weak, so a short language must be
+    ahead by a share of what the best of the others leads its runner-up by: a text that is clearly of one of them is not in question."""
+
     def __init__(self, dictionaries: dict[str, bytes], level: int = LEVEL):
+        self.names, self.level = sorted(dictionaries), level
+        self.dictionaries = [dictionaries[name] for name in self.names]
+        self.lengths = [max(8, len(d)) for d in self.dictionaries]
+        self.short = [n < FLOOR and 4 * n < max(self.lengths) for n in self.lengths]
+        self.tiers = [[k for k, n in enumerate(self.lengths) if n == size] for size in sorted(set(self.lengths), reverse=True)]
+        self.whole = [self._tool(d) for d in self.dictionaries]
+        self.cuts = {}
+
+    def _tool(self, dictionary: bytes):
         import zstandard
 
-        self.names = sorted(dictionaries)
-        size = min(map(len, dictionaries.values()))
-        self.tools = []
-        for name in self.names:
-            content = zstandard.ZstdCompressionDict(dictionaries[name][: max(size, 8)], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            content.precompute_compress(level=level)
-            self.tools.append(zstandard.ZstdCompressor(dict_data=content, level=level, write_content_size=False,
-                                                       write_checksum=False, write_dict_id=False).compress)
-
-    def sizes(self, text: bytes) -> list[int]:
-        """Bytes of the whole text under each dictionary, block by block."""
-        out = [0] * len(self.tools)
-        for i in range(0, len(text), BLOCK):
-            block = text[i : i + BLOCK]
-            for k, compress in enumerate(self.tools):
-                out[k] += len(compress(block))
-        return out
+        content = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        content.precompute_compress(level=self.level)
+        return zstandard.ZstdCompressor(dict_data=content, level=self.level, write_content_size=False,
+                                        write_checksum=False, write_dict_id=False).compress
+
+    def _bytes(self, text: bytes, k: int, length: int) -> int:
+        """Bytes of the whole text under the first ``length`` bytes of a dictionary, block by block."""
+        if length >= self.lengths[k]:
+            compress = self.whole[k]
+        else:
+            if len(self.cuts) >= CUTS and (k, length) not in self.cuts:
+                self.cuts.clear()
+            compress = self.cuts.get((k, length)) or self.cuts.setdefault((k, length), self._tool(self.dictionaries[k][:length]))
+        return sum(len(compress(text[i : i + BLOCK])) for i in range(0, len(text), BLOCK))
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, narrow margin)."""
@@ -164,12 +177,30 @@ class Compressors:
         return self.predict_folded(folded(text))
 
     def predict_folded(self, plain: bytes) -> tuple[str, float, bool]:
-        sizes = self.sizes(plain)
-        best = min(range(len(sizes)), key=sizes.__getitem__)
+        known: dict[tuple[int, int], int] = {}
+
+        def size(k, length):
+            if (k, length) not in known:
+                known[k, length] = self._bytes(plain, k, length)
+            return known[k, length]
+
+        def behind(k, other):
+            """Bytes by which k is worse than the other at their common length."""
+            length = min(self.lengths[k], self.lengths[other])
+            return size(k, length) - size(other, length)
+
+        best, lead = None, 0
+        for tier in self.tiers:
+            first = min(tier, key=lambda k: size(k, self.lengths[k]))
+            if self.short[first] and not lead:
+                rivals = [behind(k, best) for k in range(len(self.names)) if k != best and not self.short[k]]
+                lead = max(HANDICAP * size(best, self.lengths[best]), LEAD * min(rivals, default=0))
+            if best is None or behind(first, best) + lead < 0:
+                best = first
         blocks = max(1, -(-len(plain) // BLOCK))
-        score = 1.0 / sum(math.exp(min(0.0, (sizes[best] - s) / blocks)) for s in sizes)
-        rest = [s for k, s in enumerate(sizes) if k != best]
-        margin = (min(rest) - sizes[best]) / max(1, sizes[best]) if rest else 1.0
+        worse = [behind(k, best) + (lead if self.short[k] and not self.short[best] else 0) for k in range(len(self.names)) if k != best]
+        score = 1.0 / (1.0 + sum(math.exp(min(0.0, -w / blocks)) for w in worse))
+        margin = min(worse) / max(1, size(best, self.lengths[best])) if worse else 1.0
         return self.names[best], score, margin < NARROW
 
 

@@ -33,3 +33,24 @@ def test_sample_is_the_smallest_hashes(spark):
     docs = spark.createDataFrame(rows, "text string, lang string")
     got = langid.learn(docs, sample_docs=50)["aa"]
     assert langid.learn(docs.unionAll(docs).repartition(5), sample_docs=50)["aa"] == got
+
+
+def test_one_short_text_leaves_other_languages_their_dictionaries():
+    learned = langid.dictionaries_of({k: [langid.folded(text(k, i)) for i in range(200)] for k in ("aa", "bb")})
+    foreign = "korvun silta metsaan"
+    few = langid.Compressors(learned | {"xx": langid.folded(foreign)})
+    cases = [(k, text(k, 1_000 + i, 12)) for k in learned for i in range(100)]
+    got = [few.predict(t) for _, t in cases]
+    assert sum(g[0] == k for g, (k, _) in zip(got, cases)) >= 180
+    assert all(0 < g[1] <= 1 for g in got)
+    assert few.predict(foreign)[0] == "xx"
+
+
+def test_long_dictionaries_keep_their_answers_beside_short_ones():
+    slices = {k: b" ".join(langid.folded(text(k, i)) for i in range(n)) for k, n in (("aa", 150), ("bb", 20), ("cc", 5), ("dd", 1))}
+    assert len(set(map(len, slices.values()))) == 4
+    tools = langid.Compressors(slices)
+    right = {k: sum(tools.predict(text(k, 1_000 + i, 40))[0] == k for i in range(100)) for k in slices}
+    assert right["aa"] >= 90 and right["bb"] >= 90, right
+    # a short one is still found where nothing else fits
+    assert tools.predict(text("dd", 0))[0] == "dd"
