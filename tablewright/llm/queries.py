@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablewright.catalog.tables import table
-from tablewright.llm import chat, decontam, exact_index, langid, minhash, mixing, pii, quality, templates, tokens
+from tablewright.llm import (
+    chat,
+    decontam,
+    exact_index,
+    langid,
+    lexical,
+    minhash,
+    mixing,
+    pieces,
+    pii,
+    quality,
+    resample,
+    templates,
+    tokens,
+)
 
 
 def op1_quality(spark, d):
@@ -60,6 +74,24 @@ def op10_tokens(spark, d):
     return tokens.token_table(table(spark, d, "documents"), tokenizer_path())
 
 
+def op11_lexical_search(spark, d):
+    return lexical.search(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def piece_model_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op12_pieces(spark, d):
+    return pieces.digests(table(spark, d, "documents"), piece_model_path())
+
+
+def op13_resampling(spark, d):
+    return resample.resample(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_exact_dedup": op2_exact_dedup,
@@ -71,6 +103,9 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_chat": op9_chat,
     "op10_tokens": op10_tokens,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_pieces": op12_pieces,
+    "op13_resampling": op13_resampling,
 }
 
 ORACLES = {
@@ -195,4 +230,24 @@ ORACLES = {
         SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars
         FROM digest JOIN size USING (conv_id)
     """,
+    "op11_lexical_search": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS t FROM documents),
+        b AS (SELECT row_number() OVER () AS item, item_id, list_distinct(regexp_extract_all(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+        asked AS (SELECT item, item_id, unnest(t) AS term FROM b),
+        c AS (SELECT count(*)::BIGINT AS nn, sum(len(t))::BIGINT AS ll FROM d WHERE len(t) > 0),
+        tf AS (SELECT doc_id, len(t)::BIGINT AS n, term, count(*)::BIGINT AS tf
+               FROM (SELECT row_number() OVER () AS r, doc_id, t, unnest(t) AS term FROM d)
+               WHERE term IN (SELECT term FROM asked) GROUP BY r, doc_id, len(t), term),
+        w AS (SELECT term, floor(1000 * ln((2 * any_value(nn) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+              FROM tf, c GROUP BY term),
+        s AS (SELECT item, item_id, doc_id,
+                     sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // ll))))::BIGINT AS score
+              FROM asked JOIN tf USING (term) JOIN w USING (term), c GROUP BY item, item_id, doc_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10
+    """,
 }

@@ -1,8 +1,10 @@
 """Plain Python versions of the operators, for small inputs."""
 
 import hashlib
+import math
 import re
-from collections import defaultdict
+import zlib
+from collections import Counter, defaultdict
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -128,3 +130,49 @@ def recurring(rows, min_docs=3, min_words=5, depth=3, constant=0.7):
             if len(set().union(*(docs_of[w] for w in group))) >= min_docs:
                 bad |= group
     return {(doc, n) for doc, n, words in lines if words in bad}
+
+
+def resampled(docs, targets, percent=25, least=20, seed=7, buckets=10_000):
+    """{doc_id: (n_features, weight, score, rank)} from (doc_id, text) and texts."""
+
+    def hashed(text):
+        w = alnum_words(text)
+        return [zlib.crc32(x.encode()) % buckets for x in w + [f"{a} {b}" for a, b in zip(w, w[1:])]]
+
+    of = {i: hashed(t) for i, t in docs}
+    source = Counter(b for i in of for b in of[i])
+    target = Counter(b for t in targets for b in hashed(t))
+    a, b = sum(source.values()) + buckets, sum(target.values()) + buckets
+    gain = {x: math.floor(1000 * math.log((target[x] + 1) * a / ((source[x] + 1) * b))) for x in source}
+    rows = {}
+    for i, t in docs:
+        weight = sum(gain[x] for x in of[i]) // len(of[i]) if of[i] else 0
+        h = int(hashlib.sha256(f"{seed}:{i}".encode()).hexdigest()[:8], 16)
+        score = weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))
+        rows[i] = [len(of[i]), weight, score, None]
+    able = sorted((-rows[i][2], i) for i, t in docs if len(alnum_words(t)) >= least)
+    for k, (_, i) in enumerate(able[: percent * len(able) // 100]):
+        rows[i][3] = k + 1
+    return {i: tuple(r) for i, r in rows.items()}
+
+
+def ranked(docs, items, k=10):
+    """{(item_id, rank): (doc_id, score)} from (doc_id, text) and (item_id, text), every document scored for every item."""
+    terms = [(i, Counter(alnum_words(t))) for i, t in docs]
+    n_docs = sum(1 for _, c in terms if c)
+    total = sum(c.total() for _, c in terms)
+    holders = Counter(x for _, c in terms for x in c)
+    out = {}
+    for item, text in items:
+        asked, found = set(alnum_words(text)), []
+        for i, c in terms:
+            m = 10 + 90 * c.total() * n_docs // max(total, 1)
+            score = sum(
+                math.floor(1000 * math.log((2 * n_docs + 2) / (2 * holders[x] + 1))) * (10**9 * c[x] // (1000 * c[x] + 8 * m))
+                for x in asked & c.keys()
+            )
+            if score > 0:
+                found.append((-score, i))
+        for rank, (score, i) in enumerate(sorted(found)[:k], 1):
+            out[item, rank] = (i, -score)
+    return out
