@@ -86,17 +86,9 @@ def factor_two_scores(spark, d):
 
 
 def factor_loadings(spark, d):
-    """What defines the loadings of all 64 dimensions: per factor their squares sum to its eigenvalue, and factors are orthogonal."""
+    """The loadings of all 64 dimensions on the kept factors."""
     dims = _dims(spark, d, 64)
-    model = stats.fit_factors(dims, dims.columns[1:])
-    rows = model.loadings(dims).collect()  # columns times factors
-    sizes = {r["factor"]: float(r["eigenvalue"]) for r in model.summary(dims).collect()}
-    columns = {f: [r["loading"] for r in rows if r["factor"] == f] for f in sizes}
-    norms = all(abs(sum(x * x for x in columns[f]) - e) < 0.05 for f, e in sizes.items())
-    names = list(sizes)
-    right = all(abs(sum(a * b for a, b in zip(columns[f], columns[g]))) < 0.05 for i, f in enumerate(names) for g in names[:i])
-    out = [(len(columns[names[0]]), norms, right, all(e >= 1 for e in sizes.values()), len(rows) == 64 * len(names))]
-    return spark.createDataFrame(out, "columns int, norms boolean, orthogonal boolean, large boolean, whole boolean")
+    return stats.fit_factors(dims, dims.columns[1:]).loadings(dims)
 
 
 QUERIES = {
@@ -239,5 +231,4 @@ ORACLES = {
     "factor_two_scores": _TWO + f"""
       SELECT vec_id, {rounded("((d0 - m0) / s0 + sign(r) * (d1 - m1) / s1) / sqrt(2.0::DOUBLE)", 6)} AS "Factor_1"
       FROM base, r""",
-    "factor_loadings": "SELECT 64 AS columns, true AS norms, true AS orthogonal, true AS large, true AS whole",
 }

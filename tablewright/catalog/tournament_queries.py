@@ -1,50 +1,14 @@
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tablewright.catalog.tables import rounded, table
 from tablewright.functions.columns import round_half_up
-from tablewright.operators import cluster, metrics, models, report, split
+from tablewright.operators import cluster, lloyd, metrics, models, report, split
 from tablewright.plans.advisory import run_advisory
 
 
-def _board_checks(result, score: str, least: float):
-    """What holds for a board of fitted models whatever they learned: one row per algorithm.
-
-    The ranks follow the validation score, scores lie in their range, one verdict stands out, and the winner's test score is the one
-    that its returned predictions give.
-    """
-    rows = result.leaderboard.orderBy("rank").collect()  # one row per algorithm
-    val = [r[f"val_{score}"] for r in rows]
-    again = _score_again(result.holdout, score)
-    test = [r[f"test_{score}"] for r in rows]
-    out = [
-        (
-            r["algorithm"], all(a >= b for a, b in zip(val, val[1:])) and [x["rank"] for x in rows] == list(range(1, len(rows) + 1)),
-            least <= val[k] <= 1 and least <= test[k] <= 1, (r["verdict"] == "Winner") == (k == 0), abs(again - test[0]) < 6e-5,
-        )
-        for k, r in enumerate(rows)
-    ]
-    checks = result.leaderboard.sparkSession.createDataFrame(
-        out, "algorithm string, ranked boolean, in_range boolean, one_winner boolean, winner_agrees boolean"
-    )
-    return checks.withColumn("test_rows", F.lit(result.holdout.count()))
-
-
-def _score_again(holdout, score: str) -> float:
-    """The test score from the pairs of actual and predicted values, by plain aggregates."""
-    if score == "r2":
-        row = holdout.agg(F.avg(F.pow(F.col("actual") - F.col("predicted"), 2)).alias("e"), F.var_pop("actual").alias("v")).first()
-        return 1 - row["e"] / row["v"]
-    pairs = {(r["actual"], r["predicted"]): r["n"] for r in holdout.groupBy("actual", "predicted").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total, out = sum(pairs.values()), 0.0
-    for c in {a for a, _ in pairs}:
-        support = sum(n for (a, _), n in pairs.items() if a == c)
-        called = sum(n for (_, p), n in pairs.items() if p == c)
-        out += support / total * 2 * pairs.get((c, c), 0) / (support + called)
-    return out
-
-
 def _orders(spark, d):
     """Orders with a price band as class; the price itself is left out, a noisy trace of it stays."""
     o = table(spark, d, "orders")
@@ -77,16 +41,20 @@ KERNEL_MACHINE = "Support Vector Machine (random Fourier features)"
 
 
 def leaderboard_classifiers(spark, d):
-    result = models.classification_tournament(_two_classes(spark, d), "band", "o_orderkey", CLASSIFIERS)
-    return _board_checks(result, "f1", 0.0)
+    return models.classification_tournament(_two_classes(spark, d), "band", "o_orderkey", CLASSIFIERS).leaderboard
 
 
 def leaderboard_three_classes(spark, d):
-    return _board_checks(models.classification_tournament(_orders(spark, d), "band", "o_orderkey", THREE_CLASSES), "f1", 0.0)
+    return models.classification_tournament(_orders(spark, d), "band", "o_orderkey", THREE_CLASSES).leaderboard
+
+
+def predictions_three_classes(spark, d):
+    """Actual and predicted class of every test row of the winner."""
+    return models.classification_tournament(_orders(spark, d), "band", "o_orderkey", ["Logistic Regression"]).holdout
 
 
 def leaderboard_kernel_machine(spark, d):
-    return _board_checks(models.classification_tournament(_two_classes(spark, d), "band", "o_orderkey", [KERNEL_MACHINE]), "f1", 0.0)
+    return models.classification_tournament(_two_classes(spark, d), "band", "o_orderkey", [KERNEL_MACHINE]).leaderboard
 
 
 def leaderboard_neighbours(spark, d):
@@ -98,11 +66,11 @@ def leaderboard_stacking(spark, d):
     e = table(spark, d, "embeddings").select(
         "vec_id", (F.col("label") < 5).cast("int").alias("half"), *[F.element_at("embedding", i + 1).alias(f"d{i}") for i in range(64)]
     )
-    return _board_checks(models.classification_tournament(e, "half", "vec_id", [models.STACKING]), "f1", 0.0)
+    return models.classification_tournament(e, "half", "vec_id", [models.STACKING]).leaderboard
 
 
 def leaderboard_regressors(spark, d):
-    return _board_checks(models.regression_tournament(_lineitem(spark, d), "price"), "r2", -1.0)
+    return models.regression_tournament(_lineitem(spark, d), "price").leaderboard
 
 
 def leaderboard_wide_text(spark, d):
@@ -111,11 +79,7 @@ def leaderboard_wide_text(spark, d):
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("part"),
         "l_quantity", (F.col("l_quantity") * 3 + F.col("l_orderkey") % 7).alias("y"),
     )
-    result = models.regression_tournament(li, "y", None, ["Ridge Regression (L2)"])
-    checks = _board_checks(result, "r2", 0.9).select("algorithm", "in_range", "winner_agrees", "test_rows")
-    names = [r["feature"] for r in result.importances.orderBy("feature").collect()]
-    total = result.importances.agg(F.sum("share")).first()[0]
-    return checks.withColumn("features", F.lit(", ".join(names))).withColumn("whole", F.lit(abs(total - 1) < 0.001))
+    return models.regression_tournament(li, "y", None, ["Ridge Regression (L2)"]).leaderboard
 
 
 def leaderboard_ols(spark, d):
@@ -140,12 +104,7 @@ def holdout_residuals(spark, d):
 
 def importances_forest(spark, d):
     result = models.classification_tournament(_two_classes(spark, d), "band", "o_orderkey", ["Random Forest"])
-    ascending = report.importances_ascending(result.importances).collect()  # one row per feature
-    order = [r["importance"] for r in ascending]
-    total = result.importances.agg(F.sum("share")).first()[0]
-    names = sorted(r["feature"] for r in ascending)
-    rows = [(n, order == sorted(order), all(0 <= v <= 1 for v in order), abs(total - 1) < 0.001) for n in names]
-    return spark.createDataFrame(rows, "feature string, ascending boolean, in_range boolean, whole boolean")
+    return report.importances_ascending(result.importances)
 
 
 def importances_ols(spark, d):
@@ -157,45 +116,40 @@ def _points(spark, d):
     return table(spark, d, "embeddings").select("vec_id", *[F.element_at("embedding", i + 1).alias(f"d{i}") for i in range(64)])
 
 
-def _cluster_checks(result, rows: int):
-    """One row per candidate: the ranks follow the silhouette, indices lie in their range, every row got a label of the champion."""
-    board = result.leaderboard.orderBy("rank").collect()
-    silhouettes = [r["silhouette"] for r in board]
-    labels = result.labelled.agg(F.count("Cluster").alias("n"), F.count_distinct("Cluster").alias("k")).first()
-    out = [
-        (
-            r["algorithm"], r["family"], r["clusters"], all(a >= b for a, b in zip(silhouettes, silhouettes[1:])),
-            -1 <= r["silhouette"] <= 1 and r["davies_bouldin"] >= 0 and r["calinski_harabasz"] >= 0,
-            (r["verdict"] == cluster.CHAMPION) == (k == 0), labels["k"] == board[0]["clusters"], r["silhouette_kind"],
-        )
-        for k, r in enumerate(board)
-    ]
-    checks = result.leaderboard.sparkSession.createDataFrame(
-        out, "algorithm string, family string, clusters int, ranked boolean, in_range boolean, one_champion boolean, "
-        "labels_agree boolean, silhouette_kind string"
-    )
-    return checks.withColumn("labelled", F.lit(labels["n"]))
-
-
 def leaderboard_clusters(spark, d):
-    points = _points(spark, d)
-    return _cluster_checks(cluster.clustering_tournament(points, keep=["vec_id"]), points.count())
+    """All candidates by the silhouette on true distances, which compares all rows block by block."""
+    return cluster.clustering_tournament(_points(spark, d), keep=["vec_id"], distance=cluster.EUCLIDEAN).leaderboard
 
 
 def leaderboard_clusters_lineitem(spark, d):
-    """The same tournament on the largest table."""
+    """The same tournament on the largest table, by the silhouette on squared distances."""
     li = table(spark, d, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    return _cluster_checks(cluster.clustering_tournament(li), 0)
+    return cluster.clustering_tournament(li).leaderboard
+
+
+def cluster_labels(spark, d):
+    """The champion's segment of every row."""
+    return cluster.clustering_tournament(_points(spark, d), keep=["vec_id"]).labelled.select("vec_id", "Cluster")
 
 
 def segment_scatter(spark, d):
-    """Every row's place in the chart; the segment is one of those of the champion."""
+    """Every row's place in the chart and its segment."""
     result = cluster.clustering_tournament(_points(spark, d), keep=["vec_id"])
     scatter = cluster.segment_scatter(result.labelled, result.features)
-    known = [f"Segment {k}" for k in range(result.best_k)]
-    return scatter.select(
-        round_half_up(F.col("d0"), 4).alias("d0"), round_half_up(F.col("d1"), 4).alias("d1"), F.col("segment").isin(known).alias("known_segment")
-    )
+    return scatter.select(round_half_up(F.col("d0"), 4).alias("d0"), round_half_up(F.col("d1"), 4).alias("d1"), "segment")
+
+
+KMEANS_STARTS = ((10.0, 20000.0), (25.0, 50000.0), (40.0, 90000.0))
+
+
+def kmeans_one_move(spark, d):
+    """Three centres after one move from given starts, with the sizes and the cost of the assignment before it."""
+    points = table(spark, d, "lineitem").select(F.array(F.col("l_quantity"), F.col("l_extendedprice")).alias("x"))
+    fit = lloyd.fit_together(points, [np.array(KMEANS_STARTS)], [1])[0]
+    rows = [(k, float(a), float(b), fit.cost) for k, (a, b) in enumerate(fit.centres)]
+    out = spark.createDataFrame(rows, "centre int, quantity double, price double, cost double")
+    return out.select("centre", *[round_half_up(F.col(c), 4).alias(c) for c in ("quantity", "price")],
+                      F.floor(F.col("cost") / 1e6).alias("cost_millions"))
 
 
 def _context_parts(spark, d):
@@ -232,19 +186,14 @@ def report_payload(spark, d):
 
 def advisory_segments(spark, d):
     """Raw customer table to segments in one call; the context row sums it up."""
-    c = table(spark, d, "customer")
-    context = run_advisory(c, "segment the customers", key="c_custkey").context
-    return context.select("task", "train", "val", "test", F.col("champion").rlike(r"^(K-Means|Hierarchical \[)").alias("known_champion"),
-                          F.col("score").between(-1, 1).alias("score_in_range"), F.size("log").alias("log_lines"))
+    return run_advisory(table(spark, d, "customer"), "segment the customers", key="c_custkey").context
 
 
 def advisory_prices(spark, d):
-    """The sections of the report, in order, with the champion named in the verdict."""
-    sections = run_advisory(
+    """The sections of the report, in order, with the champion and its score."""
+    return run_advisory(
         _priced(spark, d), "predict price", key="o_orderkey", candidates=["Linear Regression (OLS)", "Ridge Regression (L2)"]
     ).report
-    named = F.col("text").rlike(r"(Linear Regression \(OLS\)|Ridge Regression \(L2\)) was selected with r2_score")
-    return sections.select("report", "section", "ordinal", F.when(F.col("section") == "executive_verdict", named).alias("champion_named"))
 
 
 QUERIES = {
@@ -252,6 +201,7 @@ QUERIES = {
     for f in (
         leaderboard_classifiers,
         leaderboard_three_classes,
+        predictions_three_classes,
         leaderboard_kernel_machine,
         leaderboard_neighbours,
         leaderboard_stacking,
@@ -265,6 +215,8 @@ QUERIES = {
         importances_ols,
         leaderboard_clusters,
         leaderboard_clusters_lineitem,
+        cluster_labels,
+        kmeans_one_move,
         segment_scatter,
         run_context,
         report_sections,
@@ -348,36 +300,6 @@ _NEIGHBOURS = f"""
 """
 
 
-def _held_out(relation: str, cls: str) -> str:
-    """Test rows of the stratified split: half of each class's held-out part, rounded up."""
-    return f"""(SELECT sum(CASE WHEN n > 1 THEN ((3 * n + 9) // 10 + 1) // 2 ELSE 0 END)::BIGINT
-                FROM (SELECT {cls} AS c, count(*) AS n FROM {relation} GROUP BY 1))"""
-
-
-def _names(names) -> str:
-    return "(VALUES " + ", ".join(f"('{n}')" for n in names) + ") AS v(algorithm)"
-
-
-def _checked(names, test_rows: str) -> str:
-    return f"""SELECT algorithm, true AS ranked, true AS in_range, true AS one_winner, true AS winner_agrees,
-                      {test_rows} AS test_rows FROM {_names(names)}"""
-
-
-_BAND = "CASE WHEN o_totalprice > 300000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'low' END"
-_HALF = "o_totalprice > 300000"
-_ALL = "1"
-_CANDIDATES = [(f"K-Means (k={k})", "Centroid-Based", k) for k in range(2, 7)] + [
-    (f"Hierarchical [{w}] (k={k})", "Connectivity-Based", k) for w in ("Ward", "Complete", "Average") for k in (2, 3, 4)
-]
-
-
-def _clusters_sql(relation: str) -> str:
-    rows = ", ".join(f"('{a}', '{f}', {k})" for a, f, k in _CANDIDATES)
-    return f"""SELECT algorithm, family, clusters::INTEGER AS clusters, true AS ranked, true AS in_range, true AS one_champion,
-                      true AS labels_agree, 'squared euclidean' AS silhouette_kind, (SELECT count(*) FROM {relation}) AS labelled
-               FROM (VALUES {rows}) AS v(algorithm, family, clusters)"""
-
-
 _TOP = _OLS.replace("ALPHA", "0").split("    res AS")[0].rstrip().rstrip(",") + f""",
     variants AS (SELECT 0 AS o, 'Linear Regression (OLS)' AS algorithm, b, mp, mm FROM fit
       UNION ALL SELECT 1, 'Ridge Regression (L2)', b * n / (n + 1.0::DOUBLE), fit.mp, fit.mm FROM fit, z
@@ -391,32 +313,15 @@ _TOP = _OLS.replace("ALPHA", "0").split("    res AS")[0].rstrip().rstrip(",") +
 """.replace("LASSO", f"{models.Settings().lasso_alpha}::DOUBLE")
 
 ORACLES = {
-    "leaderboard_classifiers": _checked(CLASSIFIERS, _held_out("orders", _HALF)),
-    "leaderboard_three_classes": _checked(THREE_CLASSES, _held_out("orders", _BAND)),
-    "leaderboard_kernel_machine": _checked([KERNEL_MACHINE], _held_out("orders", _HALF)),
-    "leaderboard_stacking": _checked([models.STACKING], _held_out("embeddings", "label < 5")),
-    "leaderboard_regressors": _checked(models.REGRESSORS, _held_out("lineitem", _ALL)),
-    "leaderboard_wide_text": f"""
-      SELECT 'Ridge Regression (L2)' AS algorithm, true AS in_range, true AS winner_agrees, {_held_out("lineitem", _ALL)} AS test_rows,
-             'id, l_quantity, part' AS features, true AS whole""",
     "leaderboard_top4": _TOP,
-    "importances_forest": """
-      SELECT feature, true AS ascending, true AS in_range, true AS whole FROM (
-        SELECT unnest(['trace', 'o_orderdate_year', 'o_orderdate_month', 'o_orderdate_day', 'o_orderdate_dayofweek']) AS feature
-        UNION ALL SELECT 'o_orderstatus_' || s FROM (SELECT DISTINCT o_orderstatus AS s FROM orders)
-                  WHERE s <> (SELECT min(o_orderstatus) FROM orders)
-        UNION ALL SELECT 'o_orderpriority_' || s FROM (SELECT DISTINCT o_orderpriority AS s FROM orders)
-                  WHERE s <> (SELECT min(o_orderpriority) FROM orders))""",
-    "leaderboard_clusters": _clusters_sql("embeddings"),
-    "leaderboard_clusters_lineitem": _clusters_sql("lineitem"),
-    "segment_scatter": f"""
-      SELECT {rounded("embedding[1]", 4)} AS d0, {rounded("embedding[2]", 4)} AS d1, true AS known_segment FROM embeddings""",
-    "advisory_segments": """
-      WITH t AS (SELECT count(*) AS n, (3 * count(*) + 9) // 10 AS held FROM customer)
-      SELECT 'Clustering / Segmentation' AS task, n - held AS train, held - (held + 1) // 2 AS val, (held + 1) // 2 AS test,
-             true AS known_champion, true AS score_in_range, 1 AS log_lines FROM t""",
-    "advisory_prices": _SECTIONS + """
-      SELECT report, section, ordinal, CASE WHEN section = 'executive_verdict' THEN true END AS champion_named FROM s""",
+    "kmeans_one_move": f"""
+      WITH s AS (SELECT * FROM (VALUES {", ".join(f"({k}, {a}::DOUBLE, {b}::DOUBLE)" for k, (a, b) in enumerate(KMEANS_STARTS))}) AS v(centre, a, b)),
+      far AS (SELECT l_quantity AS q, l_extendedprice AS p, l.rowid AS r, centre,
+                     (l_quantity - a) * (l_quantity - a) + (l_extendedprice - b) * (l_extendedprice - b) AS dd
+              FROM (SELECT *, row_number() OVER () AS rowid FROM lineitem) l, s),
+      near AS (SELECT r, arg_min(centre, dd) AS centre, any_value(q) AS q, any_value(p) AS p, min(dd) AS dd FROM far GROUP BY r)
+      SELECT centre::INTEGER AS centre, {rounded("avg(q)", 4)} AS quantity, {rounded("avg(p)", 4)} AS price,
+             floor(sum(sum(dd)) OVER () / 1e6::DOUBLE)::BIGINT AS cost_millions FROM near GROUP BY centre""",
     "leaderboard_neighbours": _NEIGHBOURS + f"""
       SELECT 1 AS rank, 'K-Nearest Neighbors' AS algorithm, {rounded("max(f1) FILTER (split = 'val')", 4)} AS val_f1,
              {rounded("max(f1) FILTER (split = 'test')", 4)} AS test_f1,

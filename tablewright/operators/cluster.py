@@ -6,27 +6,25 @@ candidate, a second the distances to the centres and the silhouettes, so the pas
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
+import pyarrow as pa
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import ident, py_round_half_up, require_columns
+from tablewright.operators import lloyd
 from tablewright.operators.features import Standardiser, fit_features, fit_standardiser
 from tablewright.session import materialised, numbered, persisted
 
 MICRO_CLUSTERS = 200
 BLOCK_POINTS = 2_000
-PARALLEL_FITS = 4
+MICRO_ITERATIONS = 20
 LINKAGES = ("ward", "complete", "average")
 # The printed names of the ranking.
 CENTROID_FAMILY, LINKAGE_FAMILY = "Centroid-Based", "Connectivity-Based"
@@ -56,10 +54,20 @@ class _Clusters:
         return float(np.maximum((self.squares - (self.means**2).sum(axis=1)) * self.sizes, 0).sum())
 
 
-def _batches(batches: Iterator[pd.DataFrame], centre: np.ndarray) -> Iterator[tuple[np.ndarray, pd.DataFrame]]:
-    for pdf in batches:
-        if len(pdf):
-            yield np.stack(pdf["x"].to_numpy()).astype("float64") - centre, pdf
+def _batches(batches: Iterator[pa.RecordBatch], centre: np.ndarray) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
+    """The points of the column ``x`` around the centre, with their batch."""
+    for batch in batches:
+        if batch.num_rows:
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(centre))
+            yield x - centre, batch
+
+
+def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False)
+
+
+def _cluster_sums(code: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    return np.stack([np.bincount(code, weights=x[:, j], minlength=k) for j in range(x.shape[1])], axis=1)
 
 
 def _moments(points: DataFrame, labels: Sequence[str], centre: np.ndarray) -> list[_Clusters]:
@@ -67,18 +75,21 @@ def _moments(points: DataFrame, labels: Sequence[str], centre: np.ndarray) -> li
     width = len(centre)
 
     def sums(batches):
-        for x, pdf in _batches(batches, centre):
+        for x, batch in _batches(batches, centre):
             square = (x * x).sum(axis=1)
             out = []
             for i, name in enumerate(labels):
-                found, code = np.unique(pdf[name].to_numpy(), return_inverse=True)
-                total = np.zeros((len(found), width))
-                np.add.at(total, code, x)
-                for k, label in enumerate(found):
-                    out.append((i, int(label), int((code == k).sum()), float(square[code == k].sum()), total[k].tolist()))
-            yield pd.DataFrame(out, columns=["i", "label", "n", "q", "s"])
-
-    parts = points.mapInPandas(sums, "i int, label bigint, n bigint, q double, s array<double>")
+                found, code = np.unique(_column(batch, name), return_inverse=True)
+                total, n = _cluster_sums(code, x, len(found)), np.bincount(code)
+                squares = np.bincount(code, weights=square)
+                out += [
+                    {"i": i, "label": int(v), "n": int(n[k]), "q": float(squares[k]), "s": total[k].tolist()} for k, v in enumerate(found)
+                ]
+            yield pa.RecordBatch.from_pylist(
+                out, pa.schema([("i", pa.int32()), ("label", pa.int64()), ("n", pa.int64()), ("q", pa.float64()), ("s", pa.list_(pa.float64()))])
+            )
+
+    parts = points.mapInArrow(sums, "i int, label bigint, n bigint, q double, s array<double>")
     rows = parts.groupBy("i", "label").agg(
         F.sum("n").alias("n"), F.sum("q").alias("q"), F.array(*[F.sum(F.get("s", F.lit(j))) for j in range(width)]).alias("s")
     ).collect()  # one row per cluster of each candidate
@@ -93,6 +104,16 @@ def _moments(points: DataFrame, labels: Sequence[str], centre: np.ndarray) -> li
     return out
 
 
+def _silhouettes(mean: np.ndarray, own: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Per row, from its mean distance to each cluster, which counts the row itself in its own."""
+    at = np.arange(len(own))
+    a = mean[at, own] * sizes[own] / np.maximum(sizes[own] - 1, 1)
+    mean[at, own] = np.inf
+    b = mean.min(axis=1)
+    top = np.maximum(a, b)
+    return np.where((sizes[own] > 1) & (top > 0) & np.isfinite(b), (b - a) / np.where(top > 0, top, 1.0), 0.0)
+
+
 def _spreads(points: DataFrame, labels: Sequence[str], clusters: Sequence[_Clusters], centre: np.ndarray) -> tuple[list[np.ndarray], list[float]]:
     """Mean distance to the own centre per cluster, and the mean silhouette on squared distances, per candidate.
 
@@ -100,25 +121,21 @@ def _spreads(points: DataFrame, labels: Sequence[str], clusters: Sequence[_Clust
     """
 
     def sums(batches):
-        for x, pdf in _batches(batches, centre):
+        for x, batch in _batches(batches, centre):
             square = (x * x).sum(axis=1)
             out = []
             for i, (name, c) in enumerate(zip(labels, clusters)):
-                own = np.searchsorted(c.labels, pdf[name].to_numpy())
-                at = np.arange(len(x))
+                own = np.searchsorted(c.labels, _column(batch, name))
                 to = square[:, None] - 2 * x @ c.means.T
-                near = np.sqrt(np.maximum(to[at, own] + (c.means[own] ** 2).sum(axis=1), 0))
-                mean = np.maximum(to + c.squares[None, :], 0)
-                a = mean[at, own] * c.sizes[own] / np.maximum(c.sizes[own] - 1, 1)
-                mean[at, own] = np.inf
-                b = mean.min(axis=1)
-                top = np.maximum(a, b)
-                sil = np.where((c.sizes[own] > 1) & (top > 0) & np.isfinite(b), (b - a) / np.where(top > 0, top, 1.0), 0.0)
-                for k in np.unique(own):
-                    out.append((i, int(k), float(near[own == k].sum()), float(sil[own == k].sum())))
-            yield pd.DataFrame(out, columns=["i", "k", "near", "sil"])
-
-    rows = points.mapInPandas(sums, "i int, k int, near double, sil double").groupBy("i", "k").agg(
+                near = np.sqrt(np.maximum(to[np.arange(len(x)), own] + (c.means[own] ** 2).sum(axis=1), 0))
+                sil = _silhouettes(np.maximum(to + c.squares[None, :], 0), own, c.sizes)
+                near, sil = (np.bincount(own, weights=v, minlength=len(c.sizes)) for v in (near, sil))
+                out += [{"i": i, "k": k, "near": float(near[k]), "sil": float(sil[k])} for k in range(len(c.sizes))]
+            yield pa.RecordBatch.from_pylist(
+                out, pa.schema([("i", pa.int32()), ("k", pa.int32()), ("near", pa.float64()), ("sil", pa.float64())])
+            )
+
+    rows = points.mapInArrow(sums, "i int, k int, near double, sil double").groupBy("i", "k").agg(
         F.sum("near").alias("near"), F.sum("sil").alias("sil")
     ).collect()
     spreads = [np.zeros(len(c.labels)) for c in clusters]
@@ -162,15 +179,15 @@ def score_labels(points: DataFrame, labels: Sequence[str], distance: str = SQUAR
     centre = np.array(points.agg(*[F.avg(F.get("x", F.lit(j))) for j in range(width)]).first(), dtype="float64")
     clusters = _moments(points, labels, centre)
     spreads, silhouettes = _spreads(points, labels, clusters, centre)
+    if distance == EUCLIDEAN:
+        silhouettes = _silhouettes_euclidean(points, labels, clusters)
     out = []
-    for name, c, spread, silhouette in zip(labels, clusters, spreads, silhouettes):
+    for c, spread, silhouette in zip(clusters, spreads, silhouettes):
         n, k = int(c.sizes.sum()), len(c.labels)
         if k < 2:
             out.append({"n": n, "k": k, "davies_bouldin": None, "calinski_harabasz": None, "silhouette": None, "kind": None})
             continue
         davies, calinski = _indices(c, spread)
-        if distance == EUCLIDEAN:
-            silhouette = _silhouette_euclidean(points.select("x", F.col(name).alias("c")), c)
         out.append({"n": n, "k": k, "davies_bouldin": davies, "calinski_harabasz": calinski, "silhouette": silhouette, "kind": distance})
     return out
 
@@ -202,11 +219,14 @@ def silhouette_squared(df: DataFrame, features: Sequence[str], label: str) -> fl
     return ClusteringEvaluator(featuresCol="__point", predictionCol="__label", metricName="silhouette").evaluate(coded)
 
 
-def _silhouette_euclidean(points: DataFrame, clusters: _Clusters, block_points: int = BLOCK_POINTS) -> float:
-    """Euclidean silhouette: every block of rows meets every other, and sums of distances per cluster are added up."""
-    labels, sizes = clusters.labels, clusters.sizes
-    blocks = max(1, -(-int(sizes.sum()) // block_points))
-    rows = numbered(points).withColumn("b", F.pmod(F.xxhash64("__id"), F.lit(blocks)).cast("int"))
+def _silhouettes_euclidean(points: DataFrame, labels: Sequence[str], clusters: Sequence[_Clusters], block_points: int = BLOCK_POINTS) -> list[float]:
+    """Euclidean silhouettes of all candidates: every block of rows meets every other once, and sums of distances per cluster of
+    each candidate are added up."""
+    ends = np.cumsum([len(c.labels) for c in clusters])
+    begins = ends - [len(c.labels) for c in clusters]
+    blocks = max(1, -(-int(clusters[0].sizes.sum()) // block_points))
+    coded = F.array(*[F.col(n).cast("bigint") for n in labels]).alias("c")
+    rows = numbered(points.select("x", coded)).withColumn("b", F.pmod(F.xxhash64("__id"), F.lit(blocks)).cast("int"))
     packed = materialised(rows.groupBy("b").agg(F.collect_list(F.struct("__id", "x", "c")).alias("rows")))
     left = packed.select("rows", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("with"))
     pairs = left.join(packed.select(F.col("b").alias("with"), F.col("rows").alias("others")), "with")
@@ -214,31 +234,31 @@ def _silhouette_euclidean(points: DataFrame, clusters: _Clusters, block_points:
     def sums(batches):
         for pdf in batches:
             for mine, others in zip(pdf["rows"], pdf["others"]):
-                x = np.stack([np.asarray(r["x"], dtype="float64") for r in mine])
-                y = np.stack([np.asarray(r["x"], dtype="float64") for r in others])
-                one_hot = np.zeros((len(y), len(labels)))
-                one_hot[np.arange(len(y)), np.searchsorted(labels, [r["c"] for r in others])] = 1.0
+                x, y = (np.stack([np.asarray(r["x"], dtype="float64") for r in part]) for part in (mine, others))
+                codes = np.stack([np.asarray(r["c"]) for r in others])
+                member = np.zeros((len(y), ends[-1]))
+                for i, c in enumerate(clusters):
+                    member[np.arange(len(y)), begins[i] + np.searchsorted(c.labels, codes[:, i])] = 1.0
                 total = np.concatenate([
-                    np.sqrt(((x[i : i + 64, None, :] - y[None, :, :]) ** 2).sum(axis=2)) @ one_hot for i in range(0, len(x), 64)
+                    np.sqrt(((x[i : i + 64, None, :] - y[None, :, :]) ** 2).sum(axis=2)) @ member for i in range(0, len(x), 64)
                 ])
-                yield pd.DataFrame({"id": [r["__id"] for r in mine], "c": [r["c"] for r in mine], "s": list(total)})
+                yield pd.DataFrame({"id": [r["__id"] for r in mine], "c": [list(r["c"]) for r in mine], "s": list(total)})
 
-    parts = pairs.mapInPandas(sums, "id bigint, c bigint, s array<double>")
-    per_row = parts.groupBy("id", "c").agg(F.array(*[F.sum(F.get("s", F.lit(j))) for j in range(len(labels))]).alias("s"))
+    parts = pairs.mapInPandas(sums, "id bigint, c array<bigint>, s array<double>")
+    per_row = parts.groupBy("id", "c").agg(F.array(*[F.sum(F.get("s", F.lit(j))) for j in range(int(ends[-1]))]).alias("s"))
 
     def scores(batches):
         for pdf in batches:
             if len(pdf):
-                total = np.stack(pdf["s"].to_numpy())
-                own, at = np.searchsorted(labels, pdf["c"].to_numpy()), np.arange(len(pdf))
-                a = total[at, own] / np.maximum(sizes[own] - 1, 1)
-                mean = total / sizes[None, :]
-                mean[at, own] = np.inf
-                b = mean.min(axis=1)
-                top = np.maximum(a, b)
-                yield pd.DataFrame({"s": np.where((sizes[own] > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1.0), 0.0)})
+                total, codes = np.stack(pdf["s"].to_numpy()), np.stack(pdf["c"].to_numpy())
+                out = {}
+                for i, c in enumerate(clusters):
+                    own = np.searchsorted(c.labels, codes[:, i])
+                    out[f"s{i}"] = _silhouettes(total[:, begins[i] : ends[i]] / c.sizes[None, :], own, c.sizes)
+                yield pd.DataFrame(out)
 
-    return per_row.mapInPandas(scores, "s double").agg(F.avg("s")).first()[0]
+    means = per_row.mapInPandas(scores, ", ".join(f"s{i} double" for i in range(len(labels))))
+    return list(means.agg(*[F.avg(f"s{i}") for i in range(len(labels))]).first())
 
 
 # ---- candidates ----------------------------------------------------------------------------
@@ -283,17 +303,6 @@ def merge_linkage(points: np.ndarray, weights: np.ndarray, linkage: str, ks: Seq
         left -= 1
 
 
-def _together(jobs: Sequence[Callable], spark) -> list:
-    """Results of independent jobs, a few at a time in driver threads."""
-    with ThreadPoolExecutor(max_workers=PARALLEL_FITS) as pool:
-        runs = [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]
-        return [r.result() for r in runs]
-
-
-def _kmeans(vectors: DataFrame, k: int, seed: int) -> KMeansModel:
-    return KMeans(featuresCol="__v", predictionCol=f"__k{k}", k=k, seed=seed).fit(vectors)
-
-
 @dataclass(frozen=True)
 class ClusterResult:
     leaderboard: DataFrame
@@ -316,6 +325,27 @@ def clustering_features(df: DataFrame, keep: Sequence[str] = ()) -> tuple[DataFr
     return prepared, names, fit_standardiser(prepared, names)
 
 
+def _fits(points: DataFrame, n: int, width: int, ks: Sequence[int], restarts: int, seed: int, micro: int) -> tuple[dict[int, lloyd.Fit], np.ndarray | None]:
+    """The best k-means fit for every k, and the centres of ``micro`` small clusters (None if 0); all advance in the same scans."""
+    if not ks and not micro:
+        return {}, None
+    most = max([*ks, micro])
+    if n <= most:  # each row can be a centre of its own
+        pool, weights = np.unique(np.array([r["x"] for r in points.collect()]), axis=0, return_counts=True)
+    else:
+        pool, weights = lloyd.start_pool(points, width, max([1, *ks, micro // lloyd.POOL_PER_CLUSTER]), seed)
+    runs = [(k, seed + r) for k in ks for r in range(restarts)]
+    starts = [lloyd.starts_from_pool(pool, weights.astype("float64"), k, s) for k, s in runs]
+    limits = [lloyd.MAX_ITERATIONS] * len(runs)
+    if micro:
+        runs.append((0, seed))
+        starts.append(lloyd.starts_from_pool(pool, weights.astype("float64"), max(2, min(micro, len(pool))), seed))
+        limits.append(MICRO_ITERATIONS)
+    fits = lloyd.fit_together(points, starts, limits)
+    best = {k: min((f for (own, _), f in zip(runs, fits) if own == k), key=lambda f: f.cost) for k in ks}
+    return best, fits[-1].centres if micro else None
+
+
 def clustering_tournament(
     df: DataFrame,
     max_k: int = 6,
@@ -333,29 +363,27 @@ def clustering_tournament(
     """
     prepared, names, standardiser = clustering_features(df, keep)
     spark = df.sparkSession
-    assembled = VectorAssembler(inputCols=names, outputCol="__v").transform(standardiser.transform(prepared))
-    vectors = persisted(assembled.select(*[ident(c) for c in (*keep, *names)], "__v"))
+    scaled = standardiser.transform(prepared)
+    x = F.array(*[ident(c).cast("double") for c in names]).alias("x")
+    rows = persisted(scaled.select(*[ident(c) for c in (*keep, *names)], x))
     try:
-        n = vectors.count()
+        n = rows.count()
+        points = rows.select("x")
         ks = list(range(2, min(max_k, n - 1) + 1))
         linked = list(range(2, min(4, n - 1) + 1)) if linkages else []
-        runs = [(k, seed + r) for k in ks for r in range(restarts)]
-        fits = _together([lambda k=k, s=s: _kmeans(vectors, k, s) for k, s in runs], spark)
-        candidates: list[tuple[str, str, int, str]] = []  # name, family, clusters, label column
-        labelled = vectors
-        for k in ks:
-            best = min((m for (own, _), m in zip(runs, fits) if own == k), key=lambda m: m.summary.trainingCost)
-            labelled = best.transform(labelled)
-            candidates.append((CENTROID_NAME.format(k=k), CENTROID_FAMILY, k, f"__k{k}"))
-        if linked:
-            micro = KMeans(featuresCol="__v", predictionCol="__m", k=max(2, min(micro_clusters, n)), seed=seed).fit(vectors)
-            sizes = {r["__m"]: r["n"] for r in micro.transform(vectors).groupBy("__m").agg(F.count(F.lit(1)).alias("n")).collect()}
+        fits, micro = _fits(points, n, len(names), ks, restarts, seed, micro_clusters if linked else 0)
+        candidates = [(CENTROID_NAME.format(k=k), CENTROID_FAMILY, k, f"__k{k}") for k in ks]
+        labels = {f"__k{k}": fits[k].centres for k in ks}
+        if micro is not None:
+            labels["__m"] = micro
+        labelled = lloyd.with_labels(rows, labels) if labels else rows
+        if micro is not None:
+            sizes = {r["__m"]: r["n"] for r in labelled.groupBy("__m").agg(F.count(F.lit(1)).alias("n")).collect()}
             used = sorted(sizes)  # centres without rows take no part
-            points, weights = np.array(micro.clusterCenters())[used], np.array([sizes[i] for i in used], dtype="float64")
-            labelled = micro.transform(labelled)
+            merged_points, weights = micro[used], np.array([sizes[i] for i in used], dtype="float64")
             for linkage in linkages:
-                reachable = [k for k in linked if k <= len(points)]
-                for k, owner in sorted(merge_linkage(points, weights, linkage, reachable).items() if reachable else ()):
+                reachable = [k for k in linked if k <= len(merged_points)]
+                for k, owner in sorted(merge_linkage(merged_points, weights, linkage, reachable).items() if reachable else ()):
                     of_centre = dict(zip(used, owner))
                     codes = F.array(*[F.lit(int(of_centre.get(i, 0))) for i in range(max(used) + 1)])
                     column = f"__{linkage}{k}"
@@ -363,14 +391,14 @@ def clustering_tournament(
                     candidates.append((LINKAGE_NAME.format(linkage=linkage.capitalize(), k=k), LINKAGE_FAMILY, k, column))
         columns = [c[3] for c in candidates]
         written = materialised(
-            labelled.select(*[ident(c) for c in (*keep, *names)], vector_to_array("__v").alias("x"), *[F.col(c) for c in columns])
+            labelled.select(*[ident(c) for c in (*keep, *names)], "x", *[F.col(c) for c in columns])
         )
         scores = score_labels(written.select("x", *columns), columns, distance)
         found = [(i, c, s) for i, (c, s) in enumerate(zip(candidates, scores)) if s["k"] > 1]
         if not found:
             raise ValueError("no candidate found more than one cluster")
         found.sort(key=lambda f: (-f[2]["silhouette"], f[0]))
-        rows = [
+        board = [
             (
                 rank, name, family, py_round_half_up(s["silhouette"], 4), py_round_half_up(s["davies_bouldin"], 4),
                 py_round_half_up(s["calinski_harabasz"], 2), k, s["kind"], CHAMPION if rank == 1 else OTHERS,
@@ -381,10 +409,10 @@ def clustering_tournament(
         original = [(ident(c) * F.lit(standardiser.deviations[c]) + F.lit(standardiser.means[c])).alias(c) for c in names]
         winner = written.select(*[ident(c) for c in keep], *original, F.col(best_column).alias("Cluster"))
         return ClusterResult(
-            spark.createDataFrame(rows, LEADERBOARD_SCHEMA), best_name, best_k, rows[0][3], rows[0][4], rows[0][5], winner, tuple(names),
+            spark.createDataFrame(board, LEADERBOARD_SCHEMA), best_name, best_k, board[0][3], board[0][4], board[0][5], winner, tuple(names),
         )
     finally:
-        vectors.unpersist()
+        rows.unpersist()
 
 
 def segment_scatter(labelled: DataFrame, features: Sequence[str]) -> DataFrame:

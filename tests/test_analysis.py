@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.functions import tails
-from tablewright.operators import assoc, cluster, knn, metrics, models, stats
+from tablewright.operators import assoc, cluster, knn, lloyd, metrics, models, stats
 
 
 def frame(spark, rows, schema, parts=2):
@@ -263,10 +263,78 @@ def test_indices_and_both_silhouettes(spark):
     a = np.array([d[i, own == own[i]].sum() / 19 for i in range(len(pts))])
     b = np.array([min(d[i, own == c].mean() for c in range(3) if c != own[i]) for i in range(len(pts))])
     assert exact["silhouette"] == pytest.approx(np.mean((b - a) / np.maximum(a, b)))
-    many = cluster._silhouette_euclidean(  # several blocks
-        df.select(F.array("a", "b").alias("x"), F.col("c").cast("bigint").alias("c")),
-        cluster._Clusters(np.arange(3), np.full(3, 20.0), np.zeros((3, 2)), np.zeros(3)), 7)
-    assert many == pytest.approx(exact["silhouette"])
+    two = df.select(F.array("a", "b").alias("x"), F.col("c").cast("bigint").alias("c"), (F.col("c") % 2).cast("bigint").alias("e"))
+    many = cluster._silhouettes_euclidean(  # several blocks, two candidates
+        two, ["c", "e"], [cluster._Clusters(np.arange(k), np.array(n), np.zeros((k, 2)), np.zeros(k)) for k, n in ((3, [20.0] * 3), (2, [40.0, 20.0]))], 7)
+    assert many[0] == pytest.approx(exact["silhouette"])
+    own = own % 2
+    a = np.array([d[i, own == own[i]].sum() / ((own == own[i]).sum() - 1) for i in range(len(pts))])
+    b = np.array([d[i, own != own[i]].mean() for i in range(len(pts))])
+    assert many[1] == pytest.approx(np.mean((b - a) / np.maximum(a, b)))
+
+
+def _plain_lloyd(x, centres, moves):
+    for _ in range(moves):
+        far = ((x[:, None] - centres[None]) ** 2).sum(axis=2)
+        at, cost = far.argmin(axis=1), far.min(axis=1).sum()
+        centres = np.array([x[at == k].mean(axis=0) if (at == k).any() else centres[k] for k in range(len(centres))])
+    return centres, cost
+
+
+def test_fits_advance_together(spark):
+    """Every candidate moves as it would alone; one whose centre gets no point keeps it."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(c, 1.0, (60, 3)) for c in (0, 3, 7)])
+    points = frame(spark, [(p.tolist(),) for p in x], "x array<double>", 5)
+    starts = [x[[0, 70, 150]], x[[3, 4]], np.array([[0.0, 0, 0], [900.0, 900, 900]])]
+    fits = lloyd.fit_together(points, starts, [4, 1, 3], tolerance=0.0)
+    for fit, start, moves in zip(fits, starts, (4, 1, 3)):
+        centres, cost = _plain_lloyd(x, start, min(moves, fit.iterations))
+        assert fit.centres == pytest.approx(centres) and fit.cost == pytest.approx(cost)
+    assert fits[0].iterations <= 4 and [f.iterations for f in fits[1:]] == [1, 2]  # the third has settled before its limit
+    labels = lloyd.with_labels(points, {"a": fits[0].centres, "b": fits[1].centres}).collect()
+    for r in labels:
+        for name, fit in (("a", fits[0]), ("b", fits[1])):
+            assert r[name] == ((np.array(r["x"]) - fit.centres) ** 2).sum(axis=1).argmin()
+
+
+def test_pool_of_starts(spark):
+    """Most rows are one point: it is one entry with all their weight, and the far groups are found."""
+    rng = np.random.default_rng(5)
+    far = np.concatenate([rng.normal(c, 0.1, (40, 2)) for c in (20, -30, 60)])
+    rows = [([1.0, 1.0],)] * 2_000 + [(p.tolist(),) for p in far]
+    points = frame(spark, rows, "x array<double>", 6)
+    pool, weights = lloyd.start_pool(points, 2, 4, seed=1)
+    assert weights.sum() == len(rows) and len(pool) < 200
+    assert weights[(pool == 1.0).all(axis=1)].tolist() == [2_000]
+    again, same = lloyd.start_pool(points, 2, 4, seed=1)
+    assert np.array_equal(pool, again) and np.array_equal(weights, same)
+    start = lloyd.starts_from_pool(pool, weights, 4, seed=3)
+    assert sorted(np.round(start[:, 0]).tolist()) == [-30, 1, 20, 60]
+    assert len(lloyd.starts_from_pool(pool[:1], weights[:1], 3, seed=3)) == 3
+
+
+def test_board_equals_plain_scores(spark):
+    """Every score of the board from the labels of a plain k-means run to its end, and the champion's labels."""
+    pts = _blobs()
+    df = frame(spark, [(i, float(p[0]), float(p[1])) for i, p in enumerate(pts)], "id int, a double, b double", 4)
+    result = cluster.clustering_tournament(df, max_k=3, keep=["id"], restarts=3, linkages=[], distance=cluster.EUCLIDEAN)
+    z = (pts - pts.mean(axis=0)) / pts.std(axis=0)
+    got = {r["id"]: r["Cluster"] for r in result.labelled.collect()}
+    groups = np.array([got[i] for i in range(len(pts))])
+    assert all(len(set(groups[k : k + 20])) == 1 for k in (0, 20, 40)) and len(set(groups)) == 3
+    d = np.sqrt(((z[:, None] - z[None]) ** 2).sum(axis=2))
+    a = np.array([d[i, groups == groups[i]].sum() / 19 for i in range(len(z))])
+    b = np.array([min(d[i, groups == c].mean() for c in range(3) if c != groups[i]) for i in range(len(z))])
+    means = np.array([z[groups == c].mean(axis=0) for c in range(3)])
+    within = np.array([np.sqrt(((z[groups == c] - means[c]) ** 2).sum(axis=1)).mean() for c in range(3)])
+    davies = np.mean([max((within[i] + within[j]) / np.sqrt(((means[i] - means[j]) ** 2).sum()) for j in range(3) if j != i) for i in range(3)])
+    between = 20 * (means**2).sum() / 2
+    inside = sum(((z[groups == c] - means[c]) ** 2).sum() for c in range(3)) / 57
+    first = result.leaderboard.where("rank = 1").first()
+    assert first["silhouette"] == pytest.approx(np.mean((b - a) / np.maximum(a, b)), abs=6e-5)
+    assert first["davies_bouldin"] == pytest.approx(davies, abs=6e-5)
+    assert first["calinski_harabasz"] == pytest.approx(between / inside, abs=6e-3)
 
 
 @pytest.mark.parametrize("n", [199, 200, 201, 202])
