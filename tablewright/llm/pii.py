@@ -4,16 +4,17 @@ The patterns give the base spans. The field labels blank-separated words as outs
 gradient ascent on a small labelled table and decoded by Viterbi for many segments at once in numpy. Words without a digit
 or ``@`` cannot be part of any kind, so they are held at "outside"; by the Markov property that cuts a text into independent
 segments of other words, and decoding them alone is exact. A decoded span is added if it holds what its kind
-needs (``_plausible``) and touches no base span.
+needs (``_plausible``) and overlaps no base span.
 
 Defined cases: a null text counts as empty; texts without findings have no spans. Offsets are code points of the whole text, end
-exclusive. An empty labelled table adds no spans. Repeated rows give equal rows; an empty table gives an empty result. Only the id
+exclusive. All searches and the decoding are linear in a text's length. An empty labelled table adds no spans. Repeated rows give equal rows; an empty table gives an empty result. Only the id
 and text columns are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -24,16 +25,20 @@ from pyspark.sql import functions as F
 from tablewright.llm import wordspans
 
 KINDS = ("email", "ip", "card", "phone")
+#: Every search is linear in the text: runs are possessive, a match starts at the beginning of its run, and an email is found
+#: from its sign (``_emails``).
 PATTERNS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
-    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "ip": re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
+    "card": re.compile(r"[0-9](?:[\x20-]?[0-9])++"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
+LOCAL_PART = "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123)])) + "._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 LEAST_DIGITS = {"email": 0, "ip": 4, "card": 16, "phone": 8}
 NEEDED = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-DECODE_WORDS = 1 << 15  # words of one padded Viterbi batch, if no single segment is longer
+DECODE_WORDS = 1 << 15  # words of one padded Viterbi batch
+LONG_SEGMENT = 1 << 12  # a longer segment is decoded by itself, its features block by block
 LABELLED_ROWS = 20_000  # the most rows of a labelled table that training accepts
 #: Own invention: sentences with marked spans. Shapes count, not words, so few sentences per layout are enough.
 LABELLED = """
@@ -126,7 +131,8 @@ def core(word: str) -> tuple[int, int]:
     a, b = 0, len(word)
     while a < b and not (word[a].isalnum() or word[a] in "+("):
         a += 1
-    while b > a and not (word[b - 1].isalnum() or (word[b - 1] == ")" and "(" in word[a:b])):
+    opened = word.find("(", a)
+    while b > a and not (word[b - 1].isalnum() or (word[b - 1] == ")" and 0 <= opened < b)):
         b -= 1
     if word[a : a + 1] == "(" and ")" not in word[a:b] and not word[a + 1 : a + 2].isdigit():
         a += 1
@@ -141,9 +147,10 @@ def shape(word: str) -> str:
     return _RUN.sub(lambda m: m[1] * 4, text)
 
 
-def features(words: Sequence[str]) -> list[list[str]]:
-    """The features of each word of a segment: its shape, coarse shape, digits, and the shapes beside it."""
-    shapes = ["-", *map(shape, words), "-"]
+def features(words: Sequence[str], before: str | None = None, after: str | None = None) -> list[list[str]]:
+    """The features of each word of a segment: its shape, coarse shape, digits, and the shapes beside it. ``before`` and ``after``
+    are the words beside a part of a segment."""
+    shapes = ["-" if before is None else shape(before), *map(shape, words), "-" if after is None else shape(after)]
     out = []
     for i, word in enumerate(words, 1):
         s, n = shapes[i], sum(c.isdigit() for c in word)
@@ -188,6 +195,29 @@ class Field:
         return [tags[k, :size] for k, size in enumerate(sizes)]
 
 
+    def decode_long(self, words: Sequence[str]) -> np.ndarray:
+        """``decode`` of one segment of any length: the forward pass streams over blocks, and a byte per word and tag is kept."""
+        n, size = len(words), len(TAGS)
+        back = np.zeros((n, size), dtype=np.int8)
+        best, across = None, np.arange(size)
+        for at in range(0, n, LONG_SEGMENT):
+            block = words[at : at + LONG_SEGMENT]
+            scores, _ = self.scores([features(block, words[at - 1] if at else None, words[at + len(block)] if at + len(block) < n else None)])
+            for t, score in enumerate(scores[0], at):
+                if best is None:
+                    best = self.transition[0] + score
+                    continue
+                step = best[:, None] + self.transition
+                back[t] = step.argmax(axis=0)
+                best = step[back[t], across] + score
+        tags = np.zeros(n, dtype=np.int8)
+        tag = int((best + self.transition[:, 0]).argmax())
+        for t in range(n - 1, -1, -1):
+            tags[t] = tag
+            tag = back[t, tag]
+        return tags
+
+
 def _allowed() -> np.ndarray:
     """Penalty of forbidden neighbours: an inside tag follows its own begin or inside."""
     out = np.zeros((len(TAGS), len(TAGS)))
@@ -311,12 +341,36 @@ def _plausible(kind: str, text: str) -> bool:
     return 7 <= n <= 15 and n == sum(c.isalnum() for c in text) and any(c in text for c in " -.()")
 
 
+def _emails(text: str) -> list[tuple[int, int]]:
+    """(start, end) of ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``, leftmost and not overlapping: from each sign the
+    local part is the whole run before it, which holds no sign, so every sign looks at a run of its own."""
+    out, done = [], 0
+    at = text.find("@")
+    while at >= 0:
+        window, start = 64, at
+        while start > done:
+            low = max(done, at - window)
+            start = low + len(text[low:at].rstrip(LOCAL_PART))
+            if start > low:
+                break
+            window *= 4
+        found = DOMAIN.match(text, at + 1) if start < at else None
+        if found:
+            out.append((start, found.end()))
+            done = found.end()
+        at = text.find("@", max(done, at + 1))
+    return out
+
+
 def base_spans(text: str, n_digits: int) -> list[tuple[int, int, int]]:
     """(kind number, start, end) of the fixed patterns."""
     out = []
     for k, kind in enumerate(KINDS):
         if n_digits >= LEAST_DIGITS[kind] and NEEDED[kind] in text:
-            out += [(k, m.start(), m.end()) for m in PATTERNS[kind].finditer(text) if _holds(kind, m[0])]
+            if kind == "email":
+                out += [(k, a, b) for a, b in _emails(text)]
+            else:
+                out += [(k, m.start(), m.end()) for m in PATTERNS[kind].finditer(text) if _holds(kind, m[0])]
     return out
 
 
@@ -346,16 +400,29 @@ def spans_of(column: pa.Array, model: Field) -> list[list[tuple[int, int, int, b
         words = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts, ends, strict=True)]
         heads = np.flatnonzero(~joined).tolist()
         bounds = list(zip(heads, [*heads[1:], len(words)], strict=True))
-        for size in sorted({(b - a).bit_length() for a, b in bounds}):  # segments of about one length together
-            group = [(a, b) for a, b in bounds if (b - a).bit_length() == size]
+        taken = {}
+
+        def add(a: int, b: int, tags: np.ndarray) -> None:
+            if tags.any():
+                r = int(row[a])
+                if r not in taken:
+                    taken[r] = _merged(spans[first + r])
+                places = chars[starts[a:b]] - chars[offsets[r]]
+                spans[first + r] += _decoded(taken[r], words[a:b], places, tags)
+
+        for a, b in bounds:
+            if b - a > LONG_SEGMENT:
+                add(a, b, model.decode_long(words[a:b]))
+        bounds = [(a, b) for a, b in bounds if b - a <= LONG_SEGMENT]
+        by_size: dict[int, list[tuple[int, int]]] = {}
+        for a, b in bounds:
+            by_size.setdefault((b - a).bit_length(), []).append((a, b))
+        for size, group in sorted(by_size.items()):  # segments of about one length together
             step = max(1, DECODE_WORDS >> size)
             for at in range(0, len(group), step):
                 part = group[at : at + step]
                 for (a, b), tags in zip(part, model.decode([features(words[a:b]) for a, b in part]), strict=True):
-                    if tags.any():
-                        r = int(row[a])
-                        places = chars[starts[a:b]] - chars[offsets[r]]
-                        _add(spans[first + r], words[a:b], places, tags)
+                    add(a, b, tags)
     return [sorted((k, int(a), int(b), base) for k, a, b, base in found) for found in spans]
 
 
@@ -396,22 +463,35 @@ def redact(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(run, f"doc_id {kind}, text string")
 
 
-def _add(spans: list[tuple], words: list[str], places: np.ndarray, tags: np.ndarray) -> None:
-    """Adds the decoded spans of one segment that are plausible and touch no other span."""
-    i = 0
-    while i < len(words):
-        if tags[i] == 0:
-            i += 1
-            continue
+def _merged(spans: list[tuple]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the text that the spans cover, in order and apart from each other."""
+    starts, ends = [], []
+    for _, a, b, _ in sorted(spans, key=lambda s: s[1:3]):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def _decoded(taken: tuple[list[int], list[int]], words: list[str], places: np.ndarray, tags: np.ndarray) -> list[tuple]:
+    """The decoded spans of one segment that are plausible and overlap no base span; they are of different words, so not each other."""
+    out, i = [], 0
+    starts, ends = taken
+    for i in np.flatnonzero(tags).tolist():
+        if i and tags[i - 1] and TAGS[tags[i]][0] == "I":
+            continue  # inside tags follow their own begin
         j = i + 1
         while j < len(words) and TAGS[tags[j]] == f"I-{TAGS[tags[i]][2:]}":
             j += 1
         start, end = int(places[i]) + core(words[i])[0], int(places[j - 1]) + core(words[j - 1])[1]
         parts = [w[core(w)[0] if n == 0 else 0 : core(w)[1] if n == j - i - 1 else len(w)] for n, w in enumerate(words[i:j])]
         kind = TAGS[tags[i]][2:]
-        if end > start and _plausible(kind, " ".join(parts)) and all(b <= start or end <= a for _, a, b, _ in spans):
-            spans.append((KINDS.index(kind), start, end, False))
-        i = j
+        before = bisect_left(starts, end) - 1  # the last piece that begins before the end
+        if end > start and _plausible(kind, " ".join(parts)) and (before < 0 or ends[before] <= start):
+            out.append((KINDS.index(kind), start, end, False))
+    return out
 
 
 def digest_columns(found: DataFrame) -> DataFrame:
