@@ -6,8 +6,9 @@ pieces that end at each place; of these the one that is compatible with the last
 stored; walking back from the end recovers the ids. Compatibility is settled once per pair by merging its letters and kept.
 The vocabulary comes from the sentencepiece library; merging, lookup and decoding don't call it.
 
-Texts are cut before a space that follows another sign, where no piece of the vocabulary lies across (checked when the model
-is loaded; otherwise a text is one chunk). Each different chunk is encoded once per task while it fits the cache.
+Texts are cut where no piece of the vocabulary lies across: before a space that follows another sign (checked when the model
+is loaded; otherwise a text is one chunk), and between ASCII signs that are neighbours in no piece. Each different chunk is
+encoded once per task while it fits the cache.
 
 The rules that a model is checked for: byte-pair kind (scores fall with rank), no normaliser beyond spaces, a space put in front, byte
 fallback. Others raise ValueError.
@@ -58,7 +59,14 @@ class PieceTable:
             raise ValueError("the model has no byte fallback or has unused pieces")
         self.byte_ids = [byte_ids[b] for b in range(256)]
         signs = set("".join(self.id_of))
-        self.cuts = not any(a != SPACE and b == SPACE for p in self.id_of for a, b in zip(p, p[1:]))
+        inside = {(a, b) for p in self.id_of for a, b in zip(p, p[1:])}
+        self.cuts = not any(a != SPACE and b == SPACE for a, b in inside)
+        self.apart = np.zeros((256, 256), dtype=bool)  # bytes of ASCII signs that stand side by side in no piece
+        self.apart[:128, :128] = True
+        for a, b in inside:
+            a, b = a.replace(SPACE, " "), b.replace(SPACE, " ")
+            if a < "\x80" and b < "\x80":
+                self.apart[ord(a), ord(b)] = False
         # signs that occur in pieces, but are none: tokens of their own that end as bytes; their ids follow the vocabulary
         self.loose = {c: n + k for k, c in enumerate(sorted(signs - set(self.id_of)))}
         self.tokens = self.piece + list(self.loose)
@@ -69,6 +77,7 @@ class PieceTable:
         self.signs = signs
         self.pairs: dict[int, bool] = {}
         self.known: dict[int, bytes] = {}
+        self.earlier: dict[int, bytes] = {}
         self.kind = np.dtype("uint16" if n <= 2**16 else "uint32")
         surface = [p.replace(SPACE, " ").encode() for p in self.piece]
         for i in range(n):
@@ -186,7 +195,7 @@ class PieceTable:
         return "".join(out)
 
     def ids_of(self, texts: pa.Array) -> list[list[bytes]]:
-        """The ids of many texts as arrays' bytes, chunk by chunk."""
+        """The ids of many texts as arrays' bytes, segment by segment."""
         out: list[list[bytes]] = [[] for _ in range(len(texts))]
         hasher = self._hasher()
         cut = None if self.cuts else lambda data, start, end, breaks, limit: []
@@ -201,8 +210,9 @@ class PieceTable:
             keys ^= np.where(first, np.uint64(0x5851F42D4C957F2D), np.uint64(0))
             kinds, where, which = np.unique(keys, return_index=True, return_inverse=True)
             found = self._known(kinds.tolist(), data.tobytes(), starts[where].tolist(), ends[where].tolist(), first[where].tolist())
-            for row, k in zip(rows[at].tolist(), which.tolist()):
-                out[row].append(found[k])
+            which, bounds = which.tolist(), np.searchsorted(at, np.arange(len(rows) + 1)).tolist()
+            for row, a, b in zip(rows.tolist(), bounds, bounds[1:]):
+                out[row].append(b"".join(map(found.__getitem__, which[a:b])))
         return out
 
     @staticmethod
@@ -210,12 +220,14 @@ class PieceTable:
         return wordspans.SpanHasher(seed=12)
 
     def _known(self, keys: list[int], data: bytes, starts: list[int], ends: list[int], first: list[bool]) -> list[bytes]:
-        if len(self.known) > CACHED_CHUNKS:
-            self.known.clear()
-        known, found, code = self.known, [], "H" if self.kind.itemsize == 2 else "I"
+        if len(self.known) > CACHED_CHUNKS:  # the chunks that were used since the last time are kept
+            self.known, self.earlier = {}, self.known
+        known, earlier, found, code = self.known, self.earlier, [], "H" if self.kind.itemsize == 2 else "I"
         for key, a, b, front in zip(keys, starts, ends, first):
             ids = known.get(key)
-            if ids is None:
+            if ids is None and key in earlier:
+                ids = known[key] = earlier[key]
+            elif ids is None:
                 text = data[a:b].decode().replace(" ", SPACE)
                 ids = known[key] = array(code, self.chunk(SPACE + text if front else text)).tobytes()
             found.append(ids)
@@ -225,7 +237,7 @@ class PieceTable:
         """Starts of the chunks and the segment of each; empty texts have none."""
         begin = np.zeros(len(data) + 1, dtype=bool)
         if self.cuts and len(data):
-            begin[1:-1] = (data[1:] == 0x20) & ~_is_blank(data)[:-1]
+            begin[1:-1] = self.apart[data[:-1], data[1:]] | ((data[1:] == 0x20) & ~_is_blank(data)[:-1])
         begin[offsets[:-1]] = True
         starts = np.flatnonzero(begin[: len(data)])
         return starts, np.searchsorted(offsets, starts, side="right") - 1
