@@ -14,13 +14,15 @@
 A pair at the threshold meets in no band with a chance of (1 - 0.8^6)^48, below one in a million.
 
 Defined cases: null and empty texts, and texts without words, have an empty set and no links; a text of fewer words than a
-shingle is one shingle. Rows that share a doc_id are one node of the graph. A null doc_id represents nothing and is not
+shingle is one shingle. Rows that share a doc_id and a set are one node; with different sets each has the component of its own
+set, and ``keep_one`` keeps those whose text nothing else stands for. A null doc_id represents nothing and is not
 kept. An empty table gives an empty result. Only the id and text columns are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +38,9 @@ HASHES, BITS, BANDS, ROWS = 1024, 4, 48, 6
 MARGIN = 4.5
 BROADCAST_IDS = 1_000_000
 LONGEST_REST = 64
-BATCH_ROWS = 1_000  # texts per Arrow batch that goes back to Spark
+BATCH_ROWS, BATCH_VALUES = 500, 1 << 18  # texts and hashes of an Arrow batch that goes back to Spark
 NO_VALUES = np.empty(0, dtype=np.int64)
-SIGNATURE = ("doc_id long, n_shingles long, set_hi long, set_lo long, planes array<long>, bands array<long>")
+SIGNATURE = ("doc_id long, text_hash long, n_shingles long, set_hi long, set_lo long, planes array<long>, bands array<long>")
 SETS = "doc_id long, shingles array<long>"
 
 
@@ -53,25 +55,43 @@ class Shingler:
         self.weights = np.random.default_rng(80).integers(1, 2**63, width, dtype=np.uint64) | np.uint64(1)
 
     def sets(self, column: pa.Array) -> Iterator[np.ndarray]:
-        """The sorted distinct shingle hashes of each text, in order."""
-        for first, end, data, offsets in wordspans.slices(column):
+        """The sorted distinct shingle hashes of each text, in order. A long text is read in segments; of these only the hashes
+        of its words are kept until its end."""
+        open_row, parts = -1, []
+        for rows, data, offsets in wordspans.segments(column, self.breaks):
             data = self.lower[data]
-            starts, ends, row = wordspans.word_bounds(data, offsets, self.breaks)
+            starts, ends, at = wordspans.word_bounds(data, offsets, self.breaks)
             words = self.hasher(data, starts, ends)
-            bounds = np.searchsorted(row, np.arange(end - first + 1))
-            whole = np.zeros(max(len(words) - self.width + 1, 0), dtype=np.uint64)
-            for j, weight in enumerate(self.weights):
-                whole += words[j : j + len(whole)] * weight
-            whole = wordspans.mix(whole)
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                n = b - a
-                if n >= self.width:
-                    yield np.unique(whole[a : b - self.width + 1])
-                elif n:
-                    total = (words[a:b] * self.weights[:n]).sum(dtype=np.uint64) + np.uint64(n)
-                    yield wordspans.mix(np.array([total], dtype=np.uint64))
-                else:
-                    yield np.empty(0, dtype=np.uint64)
+            whole = self._shingles(words)
+            bounds = np.searchsorted(at, np.arange(len(rows) + 1))
+            for row, a, b in zip(rows.tolist(), bounds[:-1], bounds[1:], strict=True):
+                if row != open_row:
+                    if open_row >= 0:
+                        yield self._set(parts)
+                    open_row, parts = row, []
+                parts.append((words[a:b], whole[a : max(a, b - self.width + 1)]))
+        if open_row >= 0:
+            yield self._set(parts)
+
+    def _shingles(self, words: np.ndarray) -> np.ndarray:
+        whole = np.zeros(max(len(words) - self.width + 1, 0), dtype=np.uint64)
+        for j, weight in enumerate(self.weights):
+            whole += words[j : j + len(whole)] * weight
+        return wordspans.mix(whole)
+
+    def _set(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        if len(parts) == 1:
+            words, whole = parts[0]
+        else:
+            words = np.concatenate([w for w, _ in parts])
+            whole = self._shingles(words)
+        n = len(words)
+        if n >= self.width:
+            return np.unique(whole)
+        if n:
+            total = (words * self.weights[:n]).sum(dtype=np.uint64) + np.uint64(n)
+            return wordspans.mix(np.array([total], dtype=np.uint64))
+        return np.empty(0, dtype=np.uint64)
 
 
 class MinHasher:
@@ -129,43 +149,55 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
                     planes.append(hasher.planes(minima) if len(s) else NO_VALUES)
                     bands.append(hasher.bands(minima) if len(s) else NO_VALUES)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()),
+                    [part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()),
                      _lists(planes), _lists(bands)],
-                    names=["doc_id", "n_shingles", "set_hi", "set_lo", "planes", "bands"],
+                    names=["doc_id", "text_hash", "n_shingles", "set_hi", "set_lo", "planes", "bands"],
                 )
 
     return _id_and_text(docs, id_col, text_col).mapInArrow(run, SIGNATURE)
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(doc_id, shingles): the full set of each text."""
+def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(doc_id, shingles): the full set of each row of (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(at, BATCH_ROWS)
-                sets = [s.view(np.int64) for s in shingler.sets(part.column(1))]
-                yield pa.RecordBatch.from_arrays([part.column(0), _lists(sets)], names=["doc_id", "shingles"])
+                first, sets, size = 0, [], 0
+                for s in shingler.sets(part.column(1)):
+                    sets.append(s.view(np.int64))
+                    size += len(s)
+                    if size >= BATCH_VALUES:  # few long texts are a batch of their own
+                        yield _set_batch(part.column(0).slice(first, len(sets)), sets)
+                        first, sets, size = first + len(sets), [], 0
+                if sets:
+                    yield _set_batch(part.column(0).slice(first, len(sets)), sets)
+
+    return texts.select("doc_id", "text").mapInArrow(run, SETS)
 
-    return _id_and_text(docs, id_col, text_col).mapInArrow(run, SETS)
+
+def _set_batch(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids, _lists(sets)], names=["doc_id", "shingles"])
 
 
 def _id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
 
 
 def estimate(a: str, b: str) -> F.Column:
-    """Similarity from two packed signatures: the share of equal b-bit values, corrected for chance collisions."""
+    """Similarity from two packed signatures: the share of equal b-bit values, corrected for chance collisions.
+
+    A loop over the packed words, not its 64 unrolled terms: compiling those took gigabytes beside the heap."""
     words = HASHES // 64
-    unequal = None
-    for w in range(words):
-        different = None
-        for plane in range(BITS):
-            x = F.get(a, F.lit(plane * words + w)).bitwiseXOR(F.get(b, F.lit(plane * words + w)))
-            different = x if different is None else different.bitwiseOR(x)
-        count = F.bit_count(different)
-        unequal = count if unequal is None else unequal + count
+
+    def unequal_in(w: F.Column) -> F.Column:
+        planes = [F.get(a, w + plane * words).bitwiseXOR(F.get(b, w + plane * words)) for plane in range(BITS)]
+        return F.bit_count(reduce(lambda x, y: x.bitwiseOR(y), planes))
+
+    unequal = F.aggregate(F.sequence(F.lit(0), F.lit(words - 1)), F.lit(0), lambda total, w: total + unequal_in(w))
     chance = 1.0 / 2**BITS
     return ((HASHES - unequal) / HASHES - chance) / (1 - chance)
 
@@ -189,6 +221,11 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
                     threshold: int = THRESHOLD, scratch: Scratch | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id reachable over links), kept."""
+    return _found(docs, id_col, text_col, width, threshold, scratch).drop("text_hash")
+
+
+def _found(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: int, scratch: Scratch | None) -> DataFrame:
+    """``near_duplicates`` with a hash of the text, which tells rows apart that share a doc_id."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "minhash")
     rows = scratch.write(signatures(docs, id_col, text_col, width), "signatures")
@@ -209,8 +246,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = scratch.write(cells.select("doc_id", "cell").join(stars.hint("merge"), "cell"), "met")
     ids = met.select("doc_id").distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    wanted = docs.join(ids.withColumnRenamed("doc_id", "__id"), F.col(id_col) == F.col("__id"), "left_semi")
-    sets = scratch.write(shingle_sets(wanted, id_col, text_col, width), "sets")
+    wanted = _id_and_text(docs, id_col, text_col).select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    sets = scratch.write(shingle_sets(wanted, width), "sets")
     planes = reps.select("doc_id", "planes", "n_shingles", "bands")
 
     centre = F.explode(F.array_distinct(F.array("heavy", "other")))
@@ -232,9 +269,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     of_class = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     of_class = of_class.select(*equal, F.coalesce("component", "rep").alias("component"))
-    out = rows.select("doc_id", *equal).join(of_class.hint("merge"), equal, "left")
+    out = rows.select("doc_id", "text_hash", *equal).join(of_class.hint("merge"), equal, "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"),
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
@@ -277,8 +314,14 @@ def _between_components(met: DataFrame, planes: DataFrame, components: DataFrame
     return minor.join(every, near).select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose document stands for its group, with all their columns."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    gone = found.filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: int = THRESHOLD,
+             scratch: Scratch | None = None) -> DataFrame:
+    """The rows of ``docs`` whose document stands for its group, with all their columns, which may have any name. Of rows that
+    share an id, only those go whose own text is represented by another document."""
+    found = _found(docs, id_col, text_col, width, threshold, scratch)
+    gone = found.filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text_hash").distinct()
+    names = docs.columns
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    key, text = (F.col(f"c{names.index(docs.select(c).columns[0])}") for c in (id_col, text_col))
+    same = (key.cast("long") == F.col("id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("text_hash"))
+    return rows.join(gone, same, "left_anti").toDF(*names)

@@ -5,10 +5,12 @@ import re
 import time
 
 import numpy as np
+import plain
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from tablewright.llm import pii
+from tablewright.llm import minhash, pii, wordspans
 
 PLAIN = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
@@ -55,3 +57,25 @@ def test_long_segments_are_decoded_exactly(model, monkeypatch):
     monkeypatch.setattr(pii, "LONG_SEGMENT", 4)
     assert pii.spans_of(texts, model) == want
     assert np.array_equal(model.decode_long(words), whole)
+
+
+def test_long_text_in_segments(monkeypatch):
+    """Shingles across segments; the set of a long text doesn't depend on where it is cut."""
+    texts = pa.array([None, "", "a", "a b c", "x y z " * 400 + "end", "w" * 900 + " v", " ".join(map(str, range(3_000)))])
+    for width in (2, 5):
+        want = [s.tolist() for s in minhash.Shingler(width).sets(texts)]
+        with monkeypatch.context() as m:
+            m.setattr(wordspans.segments, "__defaults__", (100, None))
+            assert [s.tolist() for s in minhash.Shingler(width).sets(texts)] == want
+        assert list(map(len, want)) == [len(plain.shingles(t.as_py(), width)) for t in texts]
+
+
+def test_keep_one_by_id_and_text(spark):
+    """A row goes only if its own text is represented; other columns may have any name."""
+    a, b = " ".join(map(str, range(40))), " ".join(map(str, range(100, 140)))
+    rows = [(3, b, "x"), (5, a, "x"), (5, b, "y"), (8, a, "z"), (None, a, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id string").withColumnRenamed("__id", "id")
+    docs = docs.withColumn("text_hash", F.lit(1)).withColumn("__gone", F.lit(1)).withColumn("c1", F.lit(2))
+    kept = minhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"], r["id"]) for r in kept.filter("doc_id IS NOT NULL").collect()) == [(3, "x"), (5, "x")]
