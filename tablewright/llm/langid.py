@@ -22,9 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.session import local_table
+
 SAMPLE_DOCS = 400
 DICTIONARY_BYTES = 64 * 1024
-LANGUAGES = 500  # more learned languages than this are refused, since each costs a pass of compression
+ALL_DICTIONARIES = 64 * 1024 * 1024  # bytes of all dictionaries together; beyond 1,000 languages each gets an equal share
+LEAST_BYTES = 8  # the least content a compressor takes; a shorter one is repeated up to it
 BLOCK = 2_000
 LEVEL = 5
 NARROW = 0.01
@@ -53,21 +56,20 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sampl
     the number of its different texts, however many copies they have, and is doubled for a language with too few texts below it.
     At most ``dictionary_bytes`` of a language's text are kept, cut into equal parts.
     """
-    labelled = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
+    labelled = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
     labelled = labelled.withColumn("hash", F.xxhash64("text"))
-    sizes = labelled.select("lang", "hash").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES + 1).collect()
-    if len(sizes) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    sizes = labelled.select("lang", "hash").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # one per language
     if not sizes:
         return {}
+    dictionary_bytes = max(LEAST_BYTES, min(dictionary_bytes, ALL_DICTIONARIES // len(sizes)))
     place = F.pmod(F.col("hash"), F.lit(1_000_000)) / 1_000_000.0
     part = max(256, dictionary_bytes // sample_docs * 2)
     middle = F.greatest(F.lit(1), (F.char_length("text") / 2 - part / 2).cast("int"))
     bounds = {r["lang"]: (sample_docs + 6 * math.sqrt(sample_docs)) / r["n"] for r in sizes}  # rarely too few, never many more
     texts: dict[str, list] = {}
     while bounds:
-        bound = F.coalesce(*[F.when(F.col("lang") == k, F.lit(v)) for k, v in bounds.items()])
-        chosen = labelled.filter(place < bound).groupBy("lang", "hash").agg(
+        bound = local_table(docs.sparkSession, sorted(bounds.items()), "lang string, bound double")
+        chosen = labelled.join(bound, "lang").filter(place < F.col("bound")).groupBy("lang", "hash").agg(
             F.min(F.struct(place.alias("place"), F.substring("text", middle, F.lit(part)).alias("text"))).alias("x"))
         found: dict[str, list] = {k: [] for k in bounds}
         for r in chosen.select("lang", "hash", "x.place", "x.text").collect():
@@ -118,12 +120,13 @@ def _without_copies(texts: dict[str, list[bytes]]) -> dict[str, list[bytes]]:
 
 def dictionaries_of(texts: dict[str, list[bytes]], dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """Dictionaries from slices by language, without copies and without wrongly labelled slices: those that the dictionaries
-    of the other half of the slices clearly give to another language. A copy under a wrong label would outweigh everything else."""
-    texts = _without_copies(texts)
+    of the other half of the slices clearly give to another language. A copy under a wrong label would outweigh everything else.
+    A language that nothing would be left of keeps all its slices, so every language with a letter in its sample is learned."""
+    given, texts = texts, _without_copies(texts)
 
     def joined(parts):
-        out = {k: b" ".join(v)[:dictionary_bytes] for k, v in parts.items()}
-        return {k: v for k, v in out.items() if len(v) >= 8}
+        out = {k: b" ".join(filter(None, v))[:dictionary_bytes] for k, v in parts.items()}
+        return {k: v if len(v) >= LEAST_BYTES else ((v + b" ") * LEAST_BYTES)[:LEAST_BYTES] for k, v in out.items() if v}
 
     halves = [{k: v[i::2] for k, v in texts.items()} for i in (0, 1)]
     clean: dict[str, list[bytes]] = {k: [] for k in texts}
@@ -135,7 +138,7 @@ def dictionaries_of(texts: dict[str, list[bytes]], dictionary_bytes: int = DICTI
                 best, _, narrow = judge.predict_folded(text) if judge and text else (k, 0.0, True)
                 if best == k or narrow or k not in known:
                     clean[k].append(text)
-    return joined(clean)
+    return joined(given) | joined(clean)
 
 
 class Compressors:

@@ -54,3 +54,47 @@ def test_long_dictionaries_keep_their_answers_beside_short_ones():
     assert right["aa"] >= 90 and right["bb"] >= 90, right
     # a short one is still found where nothing else fits
     assert tools.predict(text("dd", 0))[0] == "dd"
+
+
+def test_languages_of_a_few_bytes_are_learned():
+    for slices in ([b"x"], [b"yz"], [b"abcdefg"], [b"", b"q"]):
+        learned = langid.dictionaries_of({"aa": [langid.folded(text("aa", i)) for i in range(50)], "tiny": slices})
+        assert sorted(learned) == ["aa", "tiny"] and len(learned["tiny"]) >= langid.LEAST_BYTES
+        assert langid.Compressors(learned).predict("Hello")[0] in learned
+    assert sorted(langid.dictionaries_of({"aa": [b"x"], "bb": [b"yz"]})) == ["aa", "bb"]
+    assert langid.dictionaries_of({"aa": [b""]}) == {}
+
+
+def test_a_language_judged_foreign_is_learned():
+    """All its slices look like another language, or are copies of its texts; it still can be predicted."""
+    aa = [langid.folded(text("aa", i)) for i in range(100)]
+    learned = langid.dictionaries_of({"aa": aa, "other": [langid.folded(text("aa", i)) for i in range(200, 204)]})
+    assert sorted(learned) == ["aa", "other"]
+    assert sorted(langid.dictionaries_of({"aa": aa, "copy": aa[:1]})) == ["aa", "copy"]
+
+
+def test_many_languages(spark):
+    rows = [(f"word{k} " * 3, f"l{k:04d}") for k in range(1_100)]
+    learned = langid.learn(spark.createDataFrame(rows, "text string, lang string"))
+    assert len(learned) == 1_100
+
+
+def test_predictions_equal_plain_compression(spark):
+    """With dictionaries of one length: the language whose dictionary leaves the fewest bytes, the first by name on ties."""
+    import zstandard
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    learned = langid.learn(docs)
+    least = min(map(len, learned.values()))
+    learned = {k: v[:least] for k, v in learned.items()}
+
+    def size(plain, dictionary):
+        content = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        tool = zstandard.ZstdCompressor(dict_data=content, level=langid.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
+        return sum(len(tool.compress(plain[i : i + langid.BLOCK])) for i in range(0, len(plain), langid.BLOCK))
+
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, learned).collect()}
+    for r in docs.limit(60).collect():
+        plain = langid.folded(r["text"])
+        want = min(sorted(learned), key=lambda k: size(plain, learned[k]))
+        assert got[r["doc_id"]] == (want if langid.has_letter(r["text"]) else langid.UNKNOWN)
