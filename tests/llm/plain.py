@@ -101,35 +101,43 @@ def mix(rows, seed=17):
     return taken, target, of, size
 
 
-def recurring(rows, min_docs=3, min_words=5, depth=3, constant=0.7):
-    """{(doc_id, line number)} of lines whose template recurs, from (doc_id, text)."""
+def recurring(rows, min_docs=3, min_words=5, depth=3, constant=0.7, long_docs=None, long_words=50):
+    """{(doc_id, line number)} of lines whose template recurs, from (doc_id, text): every level of constant words, long lines."""
     lines = []
     for doc, text in rows:
         for n, raw in enumerate([] if text is None else text.split("\n")):
-            words = tuple("<*>" if re.search("[0-9]", w) and not w.startswith("<*>") else w for w in raw.split())
-            lines.append((doc, n, words))
-    docs_of, leaves = defaultdict(set), defaultdict(set)
-    for doc, _, words in lines:
+            words = tuple("<*>" if re.search("[0-9]", w) and not w.startswith("<*>") else w for w in re.findall(r"[^\x20\x09-\x0D]+", raw))
+            lines.append((doc, text, n, words))
+    docs_of, texts_of, leaves = defaultdict(set), defaultdict(set), defaultdict(set)
+    for doc, text, _, words in lines:
         if len(words) >= min_words:
             docs_of[words].add(doc)
+            texts_of[words].add(text)
             leaves[(len(words), words[:depth])].add(words)
     bad = {w for w, d in docs_of.items() if len(d) >= min_docs}
+    if long_docs is not None:
+        bad |= {w for w, d in docs_of.items()
+                if sum(x != "<*>" for x in w) >= long_words and min(len(d), len(texts_of[w])) >= long_docs}
     for kinds in leaves.values():
-        if len(kinds) < 2:
+        if len(kinds) < 2 or sum(len(docs_of[w]) for w in kinds) < min_docs:
             continue
-        at = defaultdict(int)
+        at = Counter()
         for words in kinds:
             for k, w in enumerate(words):
-                at[k, w] += len(docs_of[words])
+                if w != "<*>":
+                    at[k, w] += len(docs_of[words])
         general = defaultdict(set)
         for words in kinds:
-            t = tuple(w if at[k, w] >= min_docs else "<*>" for k, w in enumerate(words))
-            if sum(w != "<*>" for w in t) >= constant * len(words):
-                general[t].add(words)
+            counts = [at[k, w] if at[k, w] >= min_docs else 0 for k, w in enumerate(words)]
+            weakest = sorted(counts, reverse=True)[math.ceil(constant * len(words)) - 1]
+            least = min_docs
+            while least <= weakest:
+                general[tuple(w if n >= least else "<*>" for w, n in zip(words, counts))].add(words)
+                least *= 2
         for group in general.values():
-            if len(set().union(*(docs_of[w] for w in group))) >= min_docs:
+            if len(group) > 1 and len(set().union(*(docs_of[w] for w in group))) >= min_docs:
                 bad |= group
-    return {(doc, n) for doc, n, words in lines if words in bad}
+    return {(doc, n) for doc, _, n, words in lines if words in bad}
 
 
 def resampled(docs, targets, percent=25, least=20, seed=7, buckets=10_000):

@@ -71,7 +71,7 @@ def test_estimate_is_near_the_truth(spark):
 
 def test_templates_equal_plain_version(documents, texts):
     got = {(r["doc_id"], n) for r in templates.drop_recurring_lines(documents).collect() for n in r["dropped"]}
-    want = plain.recurring(texts)
+    want = plain.recurring(texts, long_docs=templates.LONG_DOCS)
     assert got == want and want
 
 
