@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tablewright.catalog.tables import rounded, table
 from tablewright.functions.columns import round_half_up
-from tablewright.operators import cluster, lloyd, metrics, models, report, split
+from tablewright.operators import cluster, linkage, lloyd, metrics, models, report, split
 from tablewright.plans.advisory import run_advisory
 
 
@@ -132,6 +132,13 @@ def cluster_labels(spark, d):
     return cluster.clustering_tournament(_points(spark, d), keep=["vec_id"]).labelled.select("vec_id", "Cluster")
 
 
+def linkage_merges(spark, d):
+    """Every merge of the rows by average linkage, in order of height."""
+    points = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
+    merges = linkage.agglomerate(points, linkage.AVERAGE).table(spark)
+    return merges.withColumn("height", round_half_up(F.col("height"), 6))
+
+
 def segment_scatter(spark, d):
     """Every row's place in the chart and its segment."""
     result = cluster.clustering_tournament(_points(spark, d), keep=["vec_id"])
@@ -217,6 +224,7 @@ QUERIES = {
         leaderboard_clusters_lineitem,
         cluster_labels,
         kmeans_one_move,
+        linkage_merges,
         segment_scatter,
         run_context,
         report_sections,

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import ident, py_round_half_up, require_columns
+from tablewright.operators import linkage as linkage_of_rows
 from tablewright.operators import lloyd
 from tablewright.operators.features import Standardiser, fit_features, fit_standardiser
 from tablewright.session import materialised, numbered, persisted
@@ -26,6 +27,7 @@ MICRO_CLUSTERS = 200
 BLOCK_POINTS = 2_000
 MICRO_ITERATIONS = 20
 LINKAGES = ("ward", "complete", "average")
+CENTRES, ROWS = "centres", "rows"
 # The printed names of the ranking.
 CENTROID_FAMILY, LINKAGE_FAMILY = "Centroid-Based", "Connectivity-Based"
 CENTROID_NAME, LINKAGE_NAME = "K-Means (k={k})", "Hierarchical [{linkage}] (k={k})"
@@ -355,23 +357,29 @@ def clustering_tournament(
     linkages: Sequence[str] = LINKAGES,
     micro_clusters: int = MICRO_CLUSTERS,
     distance: str = SQUARED,
+    linkage_on: str = CENTRES,
 ) -> ClusterResult:
     """Ranks the candidates by silhouette and labels the table with the winner.
 
     Linkage candidates merge the weighted centres of a k-means run of ``micro_clusters``, at every table size; with fewer
-    rows than that, each row can be a centre of its own.
+    rows than that, each row can be a centre of its own. ``linkage_on="rows"`` merges the rows themselves instead, all pairs of
+    them, and is for tables of up to ``linkage.MAX_ROWS`` rows. It never changes by itself.
     """
+    if linkage_on not in (CENTRES, ROWS):
+        raise ValueError(f"unknown {linkage_on!r}")
     prepared, names, standardiser = clustering_features(df, keep)
     spark = df.sparkSession
     scaled = standardiser.transform(prepared)
     x = F.array(*[ident(c).cast("double") for c in names]).alias("x")
-    rows = persisted(scaled.select(*[ident(c) for c in (*keep, *names)], x))
+    rows = scaled.select(*[ident(c) for c in (*keep, *names)], x)
+    on_rows = linkage_on == ROWS and bool(linkages)
+    rows = persisted(numbered(rows) if on_rows else rows)
     try:
         n = rows.count()
         points = rows.select("x")
         ks = list(range(2, min(max_k, n - 1) + 1))
         linked = list(range(2, min(4, n - 1) + 1)) if linkages else []
-        fits, micro = _fits(points, n, len(names), ks, restarts, seed, micro_clusters if linked else 0)
+        fits, micro = _fits(points, n, len(names), ks, restarts, seed, micro_clusters if linked and not on_rows else 0)
         candidates = [(CENTROID_NAME.format(k=k), CENTROID_FAMILY, k, f"__k{k}") for k in ks]
         labels = {f"__k{k}": fits[k].centres for k in ks}
         if micro is not None:
@@ -389,6 +397,12 @@ def clustering_tournament(
                     column = f"__{linkage}{k}"
                     labelled = labelled.withColumn(column, F.element_at(codes, F.col("__m") + 1))
                     candidates.append((LINKAGE_NAME.format(linkage=linkage.capitalize(), k=k), LINKAGE_FAMILY, k, column))
+        if on_rows and linked:
+            merged = linkage_of_rows.label_rows(rows.select(F.col("__id").alias("id"), "x"), linkages, linked)
+            labelled = labelled.join(merged.withColumnsRenamed({c: f"__{c}" for c in merged.columns}), "__id")
+            candidates += [
+                (LINKAGE_NAME.format(linkage=name.capitalize(), k=k), LINKAGE_FAMILY, k, f"__{name}{k}") for name in linkages for k in linked
+            ]
         columns = [c[3] for c in candidates]
         written = materialised(
             labelled.select(*[ident(c) for c in (*keep, *names)], "x", *[F.col(c) for c in columns])

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.functions import tails
-from tablewright.operators import assoc, cluster, knn, lloyd, metrics, models, stats
+from tablewright.operators import assoc, cluster, knn, linkage, lloyd, metrics, models, stats
 
 
 def frame(spark, rows, schema, parts=2):
@@ -470,3 +470,47 @@ def test_wide_and_narrow_encodings_agree(spark):
     assert count(narrow) == count(wide)
     places = {r["c"]: tuple(r["v"]) for r in wide}
     assert len({places[c] for c in "bcd"}) == 3 and set(places["a"]) == set(places[None]) == set(places["zz"]) == {0.0}
+
+
+# ---- linkage of rows ---------------------------------------------------------------------------
+
+
+def _same_parts(a, b):
+    return len(set(zip(a, b))) == len(set(a)) == len(set(b))
+
+
+@pytest.mark.parametrize("name, n", [("ward", 150), ("complete", 150), ("average", 150), ("average", 2_000)])
+def test_reciprocal_merges_are_those_of_one_at_a_time(spark, name, n):
+    rng = np.random.default_rng(n)
+    pts = rng.normal(0, 1, (n, 3)) + rng.choice([0, 2, 5], (n, 1))
+    points = frame(spark, [(i, p.tolist()) for i, p in enumerate(pts)], "id long, x array<double>", 4)
+    tree = linkage.agglomerate(points, name)
+    assert len(tree.merges) == n - 1
+    ks = [2, 3, 4, 17, n // 2, n - 5]
+    want = cluster.merge_linkage(pts, np.ones(n), name, ks)
+    for k in ks:
+        got = tree.labels(k)
+        assert _same_parts([got[i] for i in range(n)], want[k].tolist())
+
+
+def test_linkage_of_weighted_points_copies_and_few_rows(spark):
+    pts, weights = np.array([[0.0], [1.0], [5.0], [5.5]]), [3.0, 1.0, 2.0, 2.0]
+    many = np.repeat(pts, [3, 1, 2, 2], axis=0)
+    for name in cluster.LINKAGES:
+        heavy = linkage.agglomerate(frame(spark, [(i, p.tolist(), w) for i, (p, w) in enumerate(zip(pts, weights))], "id long, x array<double>, w double"), name)
+        copies = linkage.agglomerate(frame(spark, [(i, p.tolist()) for i, p in enumerate(many)], "id long, x array<double>"), name)
+        assert [h for *_, h in copies.merges[:4]] == [0.0] * 4
+        assert [h for *_, h in copies.merges[4:]] == pytest.approx([h for *_, h in heavy.merges])
+    one = linkage.agglomerate(frame(spark, [(7, [1.0])], "id long, x array<double>"), "ward")
+    assert one.merges == [] and one.labels(1) == {7: 0}
+    assert linkage.agglomerate(frame(spark, [], "id long, x array<double>"), "ward").labels(2) == {}
+    with pytest.raises(ValueError):
+        linkage.agglomerate(frame(spark, [], "id long, x array<double>"), "single")
+
+
+def test_tournament_with_linkage_of_rows(spark):
+    pts = _blobs()
+    df = frame(spark, [(i, float(p[0]), float(p[1])) for i, p in enumerate(pts)], "id int, a double, b double", 4)
+    result = cluster.clustering_tournament(df, max_k=3, keep=["id"], restarts=1, linkage_on=cluster.ROWS)
+    board = result.leaderboard.collect()
+    assert len(board) == 11 and {r["silhouette"] for r in board if r["clusters"] == 3} == {board[0]["silhouette"]}
