@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tablewright.catalog.tables import rounded, table
 from tablewright.functions.columns import round_half_up
-from tablewright.operators import cluster, linkage, lloyd, metrics, models, report, split
+from tablewright.operators import boosting, cluster, linkage, lloyd, metrics, models, report, split
 from tablewright.plans.advisory import run_advisory
 
 
@@ -36,7 +36,7 @@ def _lineitem(spark, d):
 
 
 CLASSIFIERS = ["Random Forest", "Gradient-Boosted Trees", "Logistic Regression", models.SOFT_VOTING]
-THREE_CLASSES = ["Random Forest", "Logistic Regression", "Multilayer Perceptron"]
+THREE_CLASSES = ["Random Forest", "Gradient-Boosted Trees", "Logistic Regression", "Multilayer Perceptron"]
 KERNEL_MACHINE = "Support Vector Machine (random Fourier features)"
 
 
@@ -62,6 +62,23 @@ def leaderboard_neighbours(spark, d):
     return models.classification_tournament(e, "label", "vec_id", ["K-Nearest Neighbors"]).leaderboard
 
 
+def boosting_first_trees(spark, d):
+    """The first split by second-order gain of prices by month, day and weekday, for the price itself and for three price bands:
+    the feature, the last value that goes left, the gain and both leaves (one step of size 1)."""
+    o = table(spark, d, "orders")
+    x = F.array(*[f("o_orderdate").cast("double") for f in (F.month, F.dayofmonth, F.dayofweek)])
+    band = F.when(F.col("o_totalprice") > 300000, 2).when(F.col("o_totalprice") > 100000, 1).otherwise(0)
+    rows = o.select(x.alias("x"), (F.col("o_totalprice") / 1000).alias("price"), band.alias("band"))
+    out = []
+    for loss, y in ((boosting.SQUARES, "price"), (boosting.SOFTMAX, "band")):
+        model = boosting.fit(rows.select("x", F.col(y).alias("y")), 3, loss, 3, rounds=1, depth=1, rate=1.0)
+        for k, tree in enumerate(model.rounds[0]):
+            f = int(tree.feature[0])
+            out.append((loss, k, ("month", "day", "weekday")[f], float(model.cuts[f][tree.cut[0]]), float(tree.gain[0]), float(tree.value[1]), float(tree.value[2])))
+    found = spark.createDataFrame(out, "loss string, output int, feature string, cut double, gain double, left_leaf double, right_leaf double")
+    return found.select("loss", "output", "feature", "cut", *[round_half_up(F.col(c), 5).alias(c) for c in ("gain", "left_leaf", "right_leaf")])
+
+
 def leaderboard_stacking(spark, d):
     e = table(spark, d, "embeddings").select(
         "vec_id", (F.col("label") < 5).cast("int").alias("half"), *[F.element_at("embedding", i + 1).alias(f"d{i}") for i in range(64)]
@@ -211,6 +228,7 @@ QUERIES = {
         predictions_three_classes,
         leaderboard_kernel_machine,
         leaderboard_neighbours,
+        boosting_first_trees,
         leaderboard_stacking,
         leaderboard_regressors,
         leaderboard_wide_text,
@@ -321,6 +339,24 @@ _TOP = _OLS.replace("ALPHA", "0").split("    res AS")[0].rstrip().rstrip(",") +
 """.replace("LASSO", f"{models.Settings().lasso_alpha}::DOUBLE")
 
 ORACLES = {
+    "boosting_first_trees": f"""
+      WITH o AS (SELECT month(o_orderdate)::DOUBLE AS month, day(o_orderdate)::DOUBLE AS day, dayofweek(o_orderdate)::DOUBLE + 1 AS weekday,
+                        o_totalprice / 1000 AS price,
+                        CASE WHEN o_totalprice > 300000 THEN 2 WHEN o_totalprice > 100000 THEN 1 ELSE 0 END AS band FROM orders),
+      m AS (SELECT avg(price) AS mean FROM o),
+      g AS (SELECT 'squares' AS loss, 0 AS output, month, day, weekday, mean - price AS g, 1.0::DOUBLE AS h FROM o, m
+            UNION ALL SELECT 'softmax', k, month, day, weekday, 1 / 3::DOUBLE - CASE WHEN band = k THEN 1 ELSE 0 END, 2 / 9::DOUBLE
+            FROM o, (VALUES (0), (1), (2)) AS c(k)),
+      v AS (SELECT loss, output, f.place, f.name, f.x, sum(g) AS g, sum(h) AS h FROM (
+              SELECT loss, output, g, h, unnest([{{'place': 0, 'name': 'month', 'x': month}}, {{'place': 1, 'name': 'day', 'x': day}},
+                                                 {{'place': 2, 'name': 'weekday', 'x': weekday}}]) AS f FROM g) GROUP BY ALL),
+      s AS (SELECT *, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER (PARTITION BY loss, output, name) AS gt,
+                   sum(h) OVER (PARTITION BY loss, output, name) AS ht FROM v WINDOW w AS (PARTITION BY loss, output, name ORDER BY x)),
+      t AS (SELECT *, 0.5::DOUBLE * (gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1)) AS gain FROM s
+            WHERE hl >= 1 AND ht - hl >= 1)
+      SELECT loss, output::INTEGER AS output, name AS feature, x AS cut, {rounded("gain", 5)} AS gain,
+             {rounded("-gl / (hl + 1)", 5)} AS left_leaf, {rounded("-(gt - gl) / (ht - hl + 1)", 5)} AS right_leaf FROM t
+      QUALIFY row_number() OVER (PARTITION BY loss, output ORDER BY gain DESC, place, x) = 1""",
     "leaderboard_top4": _TOP,
     "kmeans_one_move": f"""
       WITH s AS (SELECT * FROM (VALUES {", ".join(f"({k}, {a}::DOUBLE, {b}::DOUBLE)" for k, (a, b) in enumerate(KMEANS_STARTS))}) AS v(centre, a, b)),

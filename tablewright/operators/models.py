@@ -16,7 +16,6 @@ import numpy as np
 import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (
-    GBTClassifier,
     LinearSVC,
     LogisticRegression,
     MultilayerPerceptronClassifier,
@@ -24,11 +23,12 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import ident, py_round_half_up, require_columns
+from tablewright.operators import boosting
 from tablewright.operators.features import MAX_INDICATORS, fit_features, fit_standardiser
 from tablewright.operators.knn import nearest_neighbours
 from tablewright.operators.metrics import class_metrics, regression_metrics
@@ -48,6 +48,7 @@ class Settings:
     classifier_boost_depth: int = 5
     regressor_boost_depth: int = 4
     boost_rate: float = 0.1
+    boost_ridge: float = 1.0
     logistic_iterations: int = 500
     svm_features: int = 64
     svm_iterations: int = 50
@@ -174,36 +175,20 @@ def fit_forest_classifier(train: DataFrame, p: Prepared, s: Settings) -> Fitted:
     return _classifier(model, model.featureImportances.toArray())
 
 
+def _boosted(train: DataFrame, p: Prepared, s: Settings, loss: str, depth: int) -> boosting.Model:
+    rows = train.select(vector_to_array(VEC).alias("x"), F.col(LABEL).alias("y"))
+    return boosting.fit(rows, p.width, loss, len(p.classes), s.boost_rounds, depth, s.boost_rate, s.boost_ridge)
+
+
 def fit_boosted_classifier(train: DataFrame, p: Prepared, s: Settings) -> Fitted:
-    """Gradient-boosted trees; more than two classes are fitted one against the rest and normalised."""
-
-    def one(df: DataFrame, label: str):
-        return GBTClassifier(
-            featuresCol=VEC, labelCol=label, maxDepth=s.classifier_boost_depth, maxIter=s.boost_rounds, seed=s.seed
-        ).fit(df)
-
-    if len(p.classes) == 2:
-        model = one(train, LABEL)
-        return _classifier(model, model.featureImportances.toArray())
-    models = [
-        one(train.withColumn("__one", (F.col(LABEL) == float(c)).cast("double")), "__one") for c in range(len(p.classes))
-    ]
+    """Gradient-boosted trees of second order; all classes are one model."""
+    model = _boosted(train, p, s, boosting.LOGISTIC if len(p.classes) == 2 else boosting.SOFTMAX, s.classifier_boost_depth)
 
     def score(df: DataFrame) -> DataFrame:
-        out = df
-        for c, m in enumerate(models):
-            out = m.transform(out).withColumn(f"__p{c}", F.element_at(vector_to_array("probability"), 2))
-            out = out.drop("probability", "rawPrediction", "prediction")
-        total = F.lit(0.0)
-        for c in range(len(models)):
-            total = total + F.col(f"__p{c}")
-        out = out.select(
-            *[ident(c) for c in df.columns],
-            F.array(*[F.col(f"__p{c}") / F.greatest(total, F.lit(1e-300)) for c in range(len(models))]).alias("prob"),
-        )
+        out = df.select(*[ident(c) for c in df.columns], boosting.prediction(model, vector_to_array(VEC)).alias("prob"))
         return out.withColumn("prediction", _argmax(F.col("prob")))
 
-    return Fitted(score, tuple(np.mean([m.featureImportances.toArray() for m in models], axis=0)))
+    return Fitted(score, tuple(model.importances()))
 
 
 def fit_logistic(train: DataFrame, p: Prepared, s: Settings, vec: str = VEC) -> Fitted:
@@ -342,10 +327,13 @@ def fit_forest_regressor(train: DataFrame, p: Prepared, s: Settings) -> Fitted:
 
 
 def fit_boosted_regressor(train: DataFrame, p: Prepared, s: Settings) -> Fitted:
-    model = GBTRegressor(
-        featuresCol=VEC, labelCol=LABEL, maxIter=s.boost_rounds, maxDepth=s.regressor_boost_depth, stepSize=s.boost_rate, seed=s.seed
-    ).fit(train)
-    return _regressor(model, model.featureImportances.toArray())
+    model = _boosted(train, p, s, boosting.SQUARES, s.regressor_boost_depth)
+
+    def score(df: DataFrame) -> DataFrame:
+        found = F.get(boosting.prediction(model, vector_to_array(VEC)), F.lit(0))
+        return df.select(*[ident(c) for c in df.columns], found.alias("prediction"))
+
+    return Fitted(score, tuple(model.importances()))
 
 
 def _ridge(train: DataFrame, p: Prepared, alpha: float, vec: str = VEC):

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.functions import tails
-from tablewright.operators import assoc, cluster, knn, linkage, lloyd, metrics, models, stats
+from tablewright.operators import assoc, boosting, cluster, knn, linkage, lloyd, metrics, models, stats
 
 
 def frame(spark, rows, schema, parts=2):
@@ -514,3 +514,73 @@ def test_tournament_with_linkage_of_rows(spark):
     result = cluster.clustering_tournament(df, max_k=3, keep=["id"], restarts=1, linkage_on=cluster.ROWS)
     board = result.leaderboard.collect()
     assert len(board) == 11 and {r["silhouette"] for r in board if r["clusters"] == 3} == {board[0]["silhouette"]}
+
+
+# ---- boosting ------------------------------------------------------------------------------------
+
+
+def _plain_boosting(x, y, loss, classes, rounds, depth, rate, ridge):
+    """Every cut between different values of every feature tried, row lists per node."""
+    k = classes if loss == boosting.SOFTMAX else 1
+    start = y.mean() if loss == boosting.SQUARES else 0.0
+    raw = np.full((len(y), k), start)
+
+    def grow(rows, g, h, level, out, c):
+        best = (0.0, None)
+        score = lambda r: g[r].sum() ** 2 / (h[r].sum() + ridge)
+        for j in range(x.shape[1]):
+            for cut in np.unique(x[:, j])[:-1]:
+                left, right = rows[x[rows, j] <= cut], rows[x[rows, j] > cut]
+                if len(left) and len(right) and min(h[left].sum(), h[right].sum()) >= 1:
+                    gain = 0.5 * (score(left) + score(right) - score(rows))
+                    if gain > best[0] * (1 + 1e-9) + 1e-9:
+                        best = (gain, (left, right))
+        if level == depth or best[1] is None:
+            out[rows, c] += -rate * g[rows].sum() / (h[rows].sum() + ridge)
+            return
+        for part in best[1]:
+            grow(part, g, h, level + 1, out, c)
+
+    for _ in range(rounds):
+        g, h = boosting.gradients(loss, y, raw)
+        step = np.zeros_like(raw)
+        for c in range(k):
+            grow(np.arange(len(y)), g[:, c], h[:, c], 0, step, c)
+        raw += step
+    return raw
+
+
+@pytest.mark.parametrize("loss, classes", [(boosting.SQUARES, 2), (boosting.LOGISTIC, 2), (boosting.SOFTMAX, 3)])
+def test_boosting_equals_plain_version(spark, monkeypatch, loss, classes):
+    monkeypatch.setattr(boosting, "RENEW_ROUNDS", 2)  # the raw scores are renewed on the way
+    rng = np.random.default_rng(2)
+    x = rng.integers(-3, 4, (240, 3)).astype(float)  # few frequent values, so that every cut is a candidate
+    noise = rng.normal(0, 0.3, 240)
+    y = x[:, 0] * 2 + x[:, 1] ** 2 + noise if loss == boosting.SQUARES else np.clip(np.round(x[:, 0] + (x[:, 1] > 0) + noise), 0, classes - 1)
+    rows = frame(spark, [(p.tolist(), float(v)) for p, v in zip(x, y)], "x array<double>, y double", 5)
+    model = boosting.fit(rows, 3, loss, classes, rounds=5, depth=3, rate=0.3, ridge=1.0)
+    got = model.start + model.raw(model.binned(x))
+    assert got == pytest.approx(_plain_boosting(x, y, loss, classes, 5, 3, 0.3, 1.0), abs=1e-9)
+    p = model.predicted(x)
+    assert loss == boosting.SQUARES or p.sum(axis=1) == pytest.approx(1)
+    assert np.argmax(model.importances()) in (0, 1) and model.importances()[2] < model.importances()[:2].max()
+
+
+def test_boosting_of_constant_and_empty_tables(spark):
+    rows = frame(spark, [([1.0, 2.0], 3.0)] * 9, "x array<double>, y double")
+    model = boosting.fit(rows, 2, boosting.SQUARES, rounds=2, depth=2)
+    assert model.predicted(np.array([[1.0, 2.0], [9.0, 9.0]])).ravel().tolist() == [3.0, 3.0] and model.importances().sum() == 0
+    none = boosting.fit(rows.limit(0), 2, boosting.SOFTMAX, 3, rounds=1, depth=2)
+    assert none.predicted(np.zeros((1, 2))) == pytest.approx(np.full((1, 3), 1 / 3))
+
+
+def test_boosted_candidates_rank_three_classes(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (400, 2))
+    c = np.where(x[:, 0] ** 2 + x[:, 1] ** 2 < 0.6, "in", np.where(x[:, 0] > 0, "right", "left"))
+    df = frame(spark, [(i, float(a), float(b), str(k)) for i, ((a, b), k) in enumerate(zip(x, c))], "id int, a double, b double, c string", 4)
+    result = models.classification_tournament(
+        df, "c", "id", ["Gradient-Boosted Trees", "Logistic Regression"], models.Settings(boost_rounds=12, logistic_iterations=30))
+    board = result.leaderboard.orderBy("rank").collect()
+    assert board[0]["algorithm"] == "Gradient-Boosted Trees" and board[0]["test_f1"] > 0.8 > board[1]["test_f1"]
+    assert result.importances.count() == 2
