@@ -37,7 +37,7 @@ def _lineitem(spark, d):
 
 CLASSIFIERS = ["Random Forest", "Gradient-Boosted Trees", "Logistic Regression", models.SOFT_VOTING]
 THREE_CLASSES = ["Random Forest", "Gradient-Boosted Trees", "Logistic Regression", "Multilayer Perceptron"]
-KERNEL_MACHINE = "Support Vector Machine (random Fourier features)"
+KERNEL_MACHINE = "Support Vector Machine (RBF, landmarks)"
 
 
 def leaderboard_classifiers(spark, d):

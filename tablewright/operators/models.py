@@ -7,18 +7,15 @@ recorded, not hidden.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (
     LinearSVC,
     LogisticRegression,
-    MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
@@ -28,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import ident, py_round_half_up, require_columns
-from tablewright.operators import boosting
+from tablewright.operators import boosting, kernel, network
 from tablewright.operators.features import MAX_INDICATORS, fit_features, fit_standardiser
 from tablewright.operators.knn import nearest_neighbours
 from tablewright.operators.metrics import class_metrics, regression_metrics
@@ -50,7 +47,7 @@ class Settings:
     boost_rate: float = 0.1
     boost_ridge: float = 1.0
     logistic_iterations: int = 500
-    svm_features: int = 64
+    landmarks: int = 200
     svm_iterations: int = 50
     neighbours: int = 5
     hidden: tuple[int, ...] = (32, 16)
@@ -199,33 +196,18 @@ def fit_logistic(train: DataFrame, p: Prepared, s: Settings, vec: str = VEC) ->
     return _classifier(model, np.abs(model.coefficientMatrix.toArray()).mean(axis=0))
 
 
-def _layer(weights: np.ndarray, shifts: np.ndarray, activation: Callable, scale: float = 1.0) -> Column:
-    """scale * activation(W x + b) per row, as one matrix product per Arrow batch."""
-
-    @F.pandas_udf("array<double>")
-    def layer(x: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype="object")
-        return pd.Series(list(scale * activation(np.stack(x.to_numpy()) @ weights.T + shifts)))
-
-    return layer(vector_to_array(F.col(VEC)))
-
-
-def _fourier(width: int, size: int, seed: int) -> Column:
-    """Random cosine features whose inner product approximates the RBF kernel with gamma = 1 / width."""
-    rng = np.random.default_rng(seed)
-    weights = rng.normal(0.0, math.sqrt(2.0 / width), size=(size, width))
-    phases = rng.uniform(0.0, 2 * math.pi, size=size)
-    return array_to_vector(_layer(weights, phases, np.cos, math.sqrt(2.0 / size)))
+def kernel_map(train: DataFrame, p: Prepared, s: Settings) -> kernel.KernelMap:
+    return kernel.fit(train.select(vector_to_array(VEC).alias("x"), KEY), F.col(KEY), 1.0 / p.width, s.landmarks, s.seed)
 
 
 def fit_svm(train: DataFrame, p: Prepared, s: Settings) -> Fitted:
-    """Linear SVM on random Fourier features: an approximation of the RBF kernel machine.
+    """Kernel machine with a radial kernel (gamma = 1 / width): a linear one on landmark features.
 
     ``prob`` holds logistic margins per class, which is what the stacking ensemble takes from it.
     """
-    width = p.width
-    mapped = train.withColumn("__z", _fourier(width, s.svm_features, s.seed)).persist()
+    landmarks = kernel_map(train, p, s)
+    features = array_to_vector(landmarks.column(vector_to_array(F.col(VEC))))
+    mapped = train.withColumn("__z", features).persist()
     try:
         codes = [1] if len(p.classes) == 2 else list(range(len(p.classes)))
         models = [
@@ -238,7 +220,7 @@ def fit_svm(train: DataFrame, p: Prepared, s: Settings) -> Fitted:
         mapped.unpersist()
 
     def score(df: DataFrame) -> DataFrame:
-        out = df.withColumn("__z", _fourier(width, s.svm_features, s.seed))
+        out = df.withColumn("__z", features)
         for c, m in zip(codes, models):
             out = m.transform(out).withColumn(f"__m{c}", F.element_at(vector_to_array("rawPrediction"), 2))
             out = out.drop("rawPrediction", "prediction")
@@ -264,11 +246,20 @@ def fit_neighbours(train: DataFrame, p: Prepared, s: Settings) -> Fitted:
     return Fitted(score)
 
 
+def _network(train: DataFrame, p: Prepared, s: Settings, loss: str) -> network.Network:
+    rows = train.select(vector_to_array(VEC).alias("x"), F.col(LABEL).alias("y"), KEY)
+    return network.fit(rows, p.width, loss, len(p.classes), F.col(KEY), s.hidden, s.network_iterations, s.seed)
+
+
 def fit_network(train: DataFrame, p: Prepared, s: Settings) -> Fitted:
-    model = MultilayerPerceptronClassifier(
-        featuresCol=VEC, labelCol=LABEL, layers=[p.width, *s.hidden, len(p.classes)], maxIter=s.network_iterations, seed=s.seed
-    ).fit(train)
-    return _classifier(model)
+    """A network that stops early on a held-out share of the train part."""
+    model = _network(train, p, s, network.SOFTMAX)
+
+    def score(df: DataFrame) -> DataFrame:
+        out = df.select(*[ident(c) for c in df.columns], network.prediction(model, vector_to_array(VEC)).alias("prob"))
+        return out.withColumn("prediction", _argmax(F.col("prob")))
+
+    return Fitted(score)
 
 
 def soft_vote(members: Sequence[Fitted]) -> Fitted:
@@ -362,16 +353,12 @@ def fit_ols(train: DataFrame, p: Prepared, s: Settings) -> Fitted:
     return _regressor(model, np.abs(model.coefficients.toArray()))
 
 
-def fit_random_layer(train: DataFrame, p: Prepared, s: Settings) -> Fitted:
-    """A seeded random tanh layer with a ridge output, in place of a trained network regressor."""
-    rng = np.random.default_rng(s.seed)
-    weights = rng.normal(0.0, 1.0 / math.sqrt(p.width), size=(s.hidden[0], p.width))
-    shifts = rng.normal(0.0, 1.0, size=s.hidden[0])
-    hidden = array_to_vector(F.concat(_layer(weights, shifts, np.tanh), vector_to_array(F.col(VEC))))
-    model = _ridge(train.withColumn("__h", hidden), p, s.ridge_alpha, vec="__h")
+def fit_network_regressor(train: DataFrame, p: Prepared, s: Settings) -> Fitted:
+    model = _network(train, p, s, network.SQUARES)
 
     def score(df: DataFrame) -> DataFrame:
-        return model.transform(df.withColumn("__h", hidden)).select(*[ident(c) for c in df.columns], F.col("prediction"))
+        found = F.get(network.prediction(model, vector_to_array(VEC)), F.lit(0))
+        return df.select(*[ident(c) for c in df.columns], found.alias("prediction"))
 
     return Fitted(score)
 
@@ -381,21 +368,21 @@ CLASSIFIERS: dict[str, Callable] = {
     "Random Forest": fit_forest_classifier,
     "Gradient-Boosted Trees": fit_boosted_classifier,
     "Logistic Regression": fit_logistic,
-    "Support Vector Machine (random Fourier features)": fit_svm,
+    "Support Vector Machine (RBF, landmarks)": fit_svm,
     "K-Nearest Neighbors": fit_neighbours,
     "Multilayer Perceptron": fit_network,
 }
 SOFT_VOTING = "Ensemble - Soft Voting"
 STACKING = "Ensemble - Stacking"
 VOTERS = ("Random Forest", "Gradient-Boosted Trees", "Logistic Regression")
-STACKED = ("Random Forest", "Support Vector Machine (random Fourier features)", "K-Nearest Neighbors")
+STACKED = ("Random Forest", "Support Vector Machine (RBF, landmarks)", "K-Nearest Neighbors")
 REGRESSORS: dict[str, Callable] = {
     "Random Forest Regressor": fit_forest_regressor,
     "Gradient Boosting Regressor": fit_boosted_regressor,
     "Ridge Regression (L2)": fit_ridge,
     "Lasso Regression (L1)": fit_lasso,
     "Linear Regression (OLS)": fit_ols,
-    "Random Hidden Layer + Ridge": fit_random_layer,
+    "Multilayer Perceptron Regressor": fit_network_regressor,
 }
 
 CLS_SCHEMA = "rank int, algorithm string, val_f1 double, test_f1 double, test_accuracy string, verdict string"

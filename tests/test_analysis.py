@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.functions import tails
-from tablewright.operators import assoc, boosting, cluster, knn, linkage, lloyd, metrics, models, stats
+from tablewright.operators import assoc, boosting, cluster, kernel, knn, linkage, lloyd, metrics, models, network, stats
 
 
 def frame(spark, rows, schema, parts=2):
@@ -408,7 +408,7 @@ def test_regression_tournament_with_all_models(spark):
     result = models.regression_tournament(df, "y", "id", settings=QUICK)
     board = {r["algorithm"]: r for r in result.leaderboard.collect()}
     assert len(board) == 6 and result.failures.count() == 0
-    assert board["Linear Regression (OLS)"]["test_r2"] > 0.99 and board["Random Hidden Layer + Ridge"]["test_r2"] > 0.95
+    assert board["Linear Regression (OLS)"]["test_r2"] > 0.99 and board["Multilayer Perceptron Regressor"]["test_r2"] > 0.95
 
 
 def test_ridge_and_lasso_against_closed_forms(spark):
@@ -584,3 +584,58 @@ def test_boosted_candidates_rank_three_classes(spark):
     board = result.leaderboard.orderBy("rank").collect()
     assert board[0]["algorithm"] == "Gradient-Boosted Trees" and board[0]["test_f1"] > 0.8 > board[1]["test_f1"]
     assert result.importances.count() == 2
+
+
+# ---- networks and kernels --------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("loss", [network.SOFTMAX, network.SQUARES])
+def test_gradient_equals_finite_differences(spark, loss):
+    """Of the sums over all rows, as Spark adds them up; rows held out take no part."""
+    rng = np.random.default_rng(1)
+    x, held = rng.normal(0, 1, (60, 3)), rng.random(60) < 0.3
+    y = rng.integers(0, 3, 60).astype(float) if loss == network.SOFTMAX else rng.normal(0, 1, 60)
+    sizes = (3, 5, 4, 3 if loss == network.SOFTMAX else 1)
+    at = network.start(sizes, 2) + rng.normal(0, 0.1, len(network.start(sizes, 2)))
+    rows = frame(spark, [(p.tolist(), float(v), bool(h)) for p, v, h in zip(x, y, held)], "x array<double>, y double, held boolean", 4)
+    value, gradient, apart = network._evaluate(rows, at, sizes, loss)
+
+    def plain(parameters, part):
+        return network.loss_and_gradient(parameters, sizes, loss, x[part], y[part])[0].sum()
+
+    n = (~held).sum()
+    penalised = lambda p: (plain(p, ~held) + 0.5 * network.PENALTY * p @ p) / n
+    assert value == pytest.approx(penalised(at)) and apart == pytest.approx(plain(at, held) / held.sum())
+    for k in range(0, len(at), 3):
+        step = np.zeros(len(at))
+        step[k] = 1e-6
+        assert gradient[k] == pytest.approx((penalised(at + step) - penalised(at - step)) / 2e-6, abs=1e-6)
+
+
+def test_network_learns_and_stops_early(spark):
+    rng = np.random.default_rng(4)
+    x = rng.uniform(-2, 2, (600, 2))
+    y = np.sin(2 * x[:, 0]) * 40 + 100 + rng.normal(0, 2, 600)
+    rows = frame(spark, [(i, p.tolist(), float(v)) for i, (p, v) in enumerate(zip(x, y))], "id long, x array<double>, y double", 4)
+    model = network.fit(rows, 2, network.SQUARES, 1, F.col("id"), (16, 8), 120)
+    assert 1 - ((model.outputs(x)[:, 0] - y) ** 2).mean() / y.var() > 0.9
+    noise = frame(spark, [(i, p.tolist(), float(v)) for i, (p, v) in enumerate(zip(x, rng.normal(0, 1, 600)))], "id long, x array<double>, y double", 4)
+    lost = network.fit(noise, 2, network.SQUARES, 1, F.col("id"), (16, 8), 120)
+    assert len(lost.losses) < 60  # there is nothing to learn, so the held-out rows stop it
+
+
+def test_kernel_of_landmarks(spark):
+    """Exact with all rows as landmarks, close with some of them, and the tournament's machine beats a line on a circle."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (300, 3))
+    rows = frame(spark, [(i, p.tolist()) for i, p in enumerate(x)], "id long, x array<double>", 4)
+    errors = [kernel.fit(rows, F.col("id"), 1 / 3, m, 1).error(x) for m in (20, 80, 300)]
+    assert errors[0] > errors[1] > errors[2] and errors[1] < 0.05 and errors[2] < 1e-6
+    k = kernel.kernel(x[:5], x[:7], 0.4)
+    assert k[2, 6] == pytest.approx(math.exp(-0.4 * ((x[2] - x[6]) ** 2).sum()))
+    points = rng.normal(0, 1, (400, 2))
+    c = ["in" if p @ p < 1.2 else "out" for p in points]
+    df = frame(spark, [(i, float(a), float(b), k) for i, ((a, b), k) in enumerate(zip(points, c))], "id int, a double, b double, c string", 4)
+    name = "Support Vector Machine (RBF, landmarks)"
+    board = {r["algorithm"]: r for r in models.classification_tournament(df, "c", "id", [name, "Logistic Regression"]).leaderboard.collect()}
+    assert board[name]["test_f1"] > 0.9 > board["Logistic Regression"]["test_f1"] + 0.1
