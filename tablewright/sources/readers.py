@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.columns import NULL_TOKENS, columns_where, ident, is_text, round_half_up
+from tablewright.sources import splitcsv
 from tablewright.sources.jsonlines import flatten, parse_json_lines
 
 _NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
@@ -70,9 +71,12 @@ def infer_column_types(df: DataFrame) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None, **options) -> DataFrame:
     """CSV with a header. Without a schema the types follow from the values, at the cost of one more pass.
 
-    Quoted values may hold line breaks, so a file is read by one task. For files known to have none, ``multiLine=False``
-    lets Spark split them.
+    Quoted values may hold line breaks, and files are read in ranges all the same (``splitcsv``). With other options than
+    ``sep`` Spark's reader is used, by one task per file unless ``multiLine=False`` says that no value holds a line break.
     """
+    if set(options) <= {"sep"}:
+        rows = null_tokens_to_null(splitcsv.read(spark, path, schema, **options))
+        return rows if schema is not None else infer_column_types(rows)
     reader = spark.read.option("header", True).option("multiLine", options.pop("multiLine", True)).option("escape", '"').options(**options)
     if schema is not None:
         return null_tokens_to_null(reader.schema(schema).csv(path))

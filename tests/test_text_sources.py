@@ -1,6 +1,7 @@
 """Text chunking, extraction, readers, report tables and the end-to-end plan."""
 
 import json
+import random
 import struct
 import zlib
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tablewright.operators import models, report, text
 from tablewright.plans.advisory import run_advisory
-from tablewright.sources import jsonlines, readers
+from tablewright.sources import jsonlines, readers, splitcsv
 
 
 def chunks(spark, body, **kw):
@@ -127,6 +128,54 @@ def test_csv_with_a_schema(spark, tmp_path):
     assert [tuple(r) for r in rows] == [(1, None), (2, "b")]
 
 
+@pytest.fixture
+def small_ranges(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "197")
+    spark.conf.set("spark.sql.files.openCostInBytes", "16")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def _quoted(value):
+    if value is None:
+        return ""
+    return '"' + value.replace('"', '""') + '"' if any(c in value for c in '",\n') or value == "" else value
+
+
+def test_csv_in_ranges(spark, tmp_path, small_ranges):
+    """Quotes, doubled quotes, separators and line breaks across range borders; a value longer than several ranges; two files."""
+    rng = random.Random(3)
+    parts = ["a", "bc", ",", '"', "\n", " ", '""', "x" * 30, "é", "\n\n", '",', '\n"', "1"]
+    want = {}
+    for name in ("one", "two"):
+        rows = [(str(i), "".join(rng.choices(parts, k=rng.randint(0, 25))) or None, rng.choice(["k", None, "z,z"])) for i in range(120)]
+        rows.append(("120", "long, " + "line\n" * 150 + '"', "end"))
+        rows += [(str(121 + i), "after", None) for i in range(5)]
+        (tmp_path / f"{name}.csv").write_text("id,text,tag\n" + "".join(",".join(map(_quoted, r)) + "\n" for r in rows), encoding="utf-8")
+        want[name] = rows
+    one = splitcsv.read(spark, str(tmp_path / "one.csv"))
+    assert sorted(map(tuple, one.collect())) == sorted(want["one"])
+    assert splitcsv._lines(spark, str(tmp_path / "one.csv")).rdd.getNumPartitions() > 20
+    both = splitcsv.read(spark, [str(tmp_path / f"{n}.csv") for n in want])
+    key = lambda r: (int(r[0]), repr(r))
+    assert sorted(map(tuple, both.collect()), key=key) == sorted(want["one"] + want["two"], key=key)
+    plain = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(str(tmp_path / "two.csv"))
+    got = splitcsv.read(spark, str(tmp_path / "two.csv"))
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, plain.collect()), key=key)
+
+
+def test_csv_quotes_inside_plain_values_and_carriage_returns(spark, tmp_path, small_ranges):
+    text = 'a,b\r\n5" pipe,x\r\n' + '"q\r\nr",y\r\n' + 'it"s,"z""z"\r\n' * 30 + "\n,\nlast,end"
+    (tmp_path / "c.csv").write_bytes(text.encode())
+    rows = [tuple(r) for r in splitcsv.read(spark, str(tmp_path / "c.csv")).collect()]
+    assert sorted(rows, key=repr) == sorted([('5" pipe', "x"), ("q\r\nr", "y"), *[('it"s', 'z"z')] * 30, (None, None), ("last", "end")], key=repr)
+    (tmp_path / "e.csv").write_text("a,b\n", encoding="utf-8")
+    assert splitcsv.read(spark, str(tmp_path / "e.csv")).collect() == []
+    (tmp_path / "s.csv").write_text("a;b\n1;\"2\n;3\"\n", encoding="utf-8")
+    assert [tuple(r) for r in readers.read_csv(spark, str(tmp_path / "s.csv"), sep=";").collect()] == [(1, "2\n;3")]
+
+
 def test_json_document_is_flattened(spark, tmp_path):
     (tmp_path / "d.JSON").write_text(json.dumps([{"a": {"b": 1, "c": {"d": "x"}}, "l": [1, 2]}, {"a": {"b": 2}}], indent=1), encoding="utf-8")
     df = readers.read_any(spark, str(tmp_path / "d.JSON"))
