@@ -302,6 +302,17 @@ def test_dense_row_index(spark):
 # ---- synthesis -------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("kinds", [2, 63, 64, 65, 200])
+def test_categories_are_redrawn_in_one_way(spark, kinds):
+    """A drawn value is that of a row, whose place depends on the seed and the column alone, however many values there are."""
+    rows = [(i, f"v{i % kinds:03d}") for i in range(200)]
+    df = spark.createDataFrame(rows, "k long, name string").coalesce(1)
+    new = synth.synthesise(df, 1_000, 900, seed=5)[0].where("is_synthetic")
+    same = synth.synthesise(df.withColumn("name", F.col("k").cast("string")), 1_000, 900, seed=5)[0].where("is_synthetic")
+    drawn = [r["name"] for r in new.collect()]
+    assert [f"v{int(r['name']) % kinds:03d}" for r in same.collect()] == drawn and len(set(drawn)) > min(kinds, 200) * 0.9
+
+
 def _tiny(spark):
     rows = [(i, float(i) if i % 4 else None, f"n{i}", "ab"[i % 2]) for i in range(20)]
     return frame(spark, rows, "k int, x double, name string, g string")
@@ -331,7 +342,6 @@ def test_joint_growth_keeps_rows_together(spark):
 
 def test_large_pool_is_joined_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(synth, "SMALL_TABLE", 5)
-    monkeypatch.setattr(synth, "FEW_VALUES", 0)
     out, _ = synth.synthesise(_tiny(spark).withColumn("g", F.when(F.col("k") > 5, F.col("g"))))
     new = out.where("is_synthetic")
     assert new.count() == 80 and new.where("g is null").count() == 0
