@@ -5,7 +5,8 @@ Three passes over whole texts, each one numpy pass per Arrow batch:
 
 1. ``head``: the most frequent words and pairs of all documents, with the CRC register after a word and the bucket of a
    pair. Every task counts its own and passes on those with a share of at least ``LOCAL_SHARE``; a word of the global head has
-   that share in some task. The head is at most ``HEAD_WORDS`` and ``HEAD_PAIRS`` entries and is broadcast.
+   that share in some task. The head, all entries above a frequency from which on they are at most ``HEAD_WORDS`` and
+   ``HEAD_PAIRS``, is broadcast.
 2. ``totals``: features per bucket, of the documents and of the target. Words and pairs of the head are looked up, the
    others (the tail) get their CRC directly; a pair goes on from the register of its first word. The head changes the time
    only, never a bucket.
@@ -148,11 +149,19 @@ def head(docs: DataFrame, text_col: str, buckets: int) -> tuple[wordspans.Lookup
                      pa.array(n[keep]), pa.array(value[keep])], names=["kind", "key", "n", "value"])
 
     found = _text(docs, text_col).mapInArrow(run, "kind int, key long, n long, value long")
-    found = found.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.first("value").alias("value")).persist()
+    found = found.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.first("value").alias("value"))
+    found = found.withColumn("level", F.floor(8 * F.log2("n")).cast("int")).persist()
     try:
+        sizes = found.groupBy("kind", "level").agg(F.count(F.lit(1)).alias("entries")).collect()  # some hundred levels
         tables = []
         for kind, most in ((0, HEAD_WORDS), (1, HEAD_PAIRS)):
-            top = found.filter(F.col("kind") == kind).orderBy(F.desc("n"), "key").limit(most).select("key", "value").toPandas()
+            least, held = 1 << 30, 0  # the lowest level from which on all entries fit the bound
+            for r in sorted((r for r in sizes if r["kind"] == kind), key=lambda r: -r["level"]):
+                held += r["entries"]
+                if held > most:
+                    break
+                least = r["level"]
+            top = found.filter((F.col("kind") == kind) & (F.col("level") >= least)).select("key", "value").toPandas()
             tables.append(wordspans.Lookup.of(top["key"].to_numpy(np.int64).view(np.uint64), top["value"].to_numpy(np.int64)))
     finally:
         found.unpersist()
