@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tablewright.catalog.tables import CUSTOMER_WITH_NULLS, customer_with_nulls, rounded, table
-from tablewright.operators import profile
+from tablewright.operators import profile, profile_state
+from tablewright.session import scratch_path
 
 
 def profile_orders(spark, d):
@@ -25,6 +28,26 @@ def profile_single_pass(spark, d):
     return profile.profile_approx(customer_with_nulls(spark, d)).drop("unique_values", "sample_values")
 
 
+def _order_batches(spark, d):
+    """Orders in three batches by year; the first has no priority yet."""
+    o, year = table(spark, d, "orders"), F.year("o_orderdate")
+    path = scratch_path(spark, "profile-states")
+    profile_state.add_batch(o.where(year < 1994).drop("o_orderpriority"), path, "to-1993")
+    profile_state.add_batch(o.where(year.between(1994, 1996)), path, "to-1996")
+    profile_state.add_batch(o.where((year > 1996) | year.isNull()), path, "to-now")
+    return profile_state.merged(profile_state.read_batches(spark, path))
+
+
+def profile_batches(spark, d):
+    """The exact parts of the profile that is merged from the states of three batches."""
+    return _order_batches(spark, d).drop("unique_estimate", "quantiles")
+
+
+def profile_batches_estimates(spark, d):
+    """The sketched parts: distinct values and quartiles. No SQL, as SQL has no such sketches."""
+    return _order_batches(spark, d).select("column", "unique_estimate", "quantiles")
+
+
 def shape_customer_nulls(spark, d):
     return profile.shape(customer_with_nulls(spark, d))
 
@@ -41,6 +64,8 @@ QUERIES = {
         profile_lineitem,
         profile_documents,
         profile_single_pass,
+        profile_batches,
+        profile_batches_estimates,
         shape_customer_nulls,
         preview_orders,
     )
@@ -87,6 +112,9 @@ ORACLES = {
     "profile_lineitem": profile_sql("SELECT * FROM lineitem", _LINEITEM),
     "profile_documents": profile_sql("SELECT * FROM documents", _DOCUMENTS),
     "profile_single_pass": profile_sql(CUSTOMER_WITH_NULLS, _CUSTOMER, sketch=True),
+    "profile_batches": profile_sql(
+        "SELECT * REPLACE (CASE WHEN year(o_orderdate) < 1994 THEN NULL ELSE o_orderpriority END AS o_orderpriority) FROM orders",
+        _ORDERS, sketch=True),
     "shape_customer_nulls": f"""
       SELECT count(*) AS num_rows, 5 AS num_columns,
              (5 * count(*) - count(c_custkey) - count(c_name) - count(c_nationkey) - count(c_acctbal)

@@ -163,6 +163,12 @@ def segment_scatter(spark, d):
     return scatter.select(round_half_up(F.col("d0"), 4).alias("d0"), round_half_up(F.col("d1"), 4).alias("d1"), "segment")
 
 
+def segment_sample(spark, d):
+    """The points to draw: a hundred orders of each priority, the same in every run."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+    return cluster.segment_sample(o, "o_orderpriority", "o_orderkey", rows=100)
+
+
 KMEANS_STARTS = ((10.0, 20000.0), (25.0, 50000.0), (40.0, 90000.0))
 
 
@@ -244,6 +250,7 @@ QUERIES = {
         kmeans_one_move,
         linkage_merges,
         segment_scatter,
+        segment_sample,
         run_context,
         report_sections,
         report_export,
@@ -358,6 +365,9 @@ ORACLES = {
              {rounded("-gl / (hl + 1)", 5)} AS left_leaf, {rounded("-(gt - gl) / (ht - hl + 1)", 5)} AS right_leaf FROM t
       QUALIFY row_number() OVER (PARTITION BY loss, output ORDER BY gain DESC, place, x) = 1""",
     "leaderboard_top4": _TOP,
+    "segment_sample": """
+      SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders
+      QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5(':' || o_orderkey)) <= 100""",
     "kmeans_one_move": f"""
       WITH s AS (SELECT * FROM (VALUES {", ".join(f"({k}, {a}::DOUBLE, {b}::DOUBLE)" for k, (a, b) in enumerate(KMEANS_STARTS))}) AS v(centre, a, b)),
       far AS (SELECT l_quantity AS q, l_extendedprice AS p, l.rowid AS r, centre,

@@ -14,7 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import ident, py_round_half_up, require_columns
@@ -437,3 +437,24 @@ def segment_scatter(labelled: DataFrame, features: Sequence[str]) -> DataFrame:
     return labelled.select(
         *[ident(c) for c in axes], F.concat(F.lit("Segment "), F.col("Cluster").cast("string")).alias("segment")
     )
+
+
+def segment_sample(labelled: DataFrame, segment: str, key: str | Sequence[str], rows: int = 500) -> DataFrame:
+    """At most ``rows`` rows of each segment for a chart: those with the smallest hashes of their key.
+
+    The choice depends on the keys alone, not on partitions or order, and a segment that grows keeps a part of its earlier
+    sample. Every task passes on at most ``rows`` rows of a segment, so a segment that holds a third of the table moves no
+    more than the others. Rows that share a key are told apart by their other columns, rows equal in all of them are
+    interchangeable; a null segment is a segment, a null part of a key differs from an empty text.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    require_columns(labelled, segment, *keys)
+    parts = [F.coalesce(F.concat(F.lit(":"), ident(k).cast("string")), F.lit("")) for k in keys]
+    chosen = F.md5(F.concat_ws("|", *parts).cast("binary"))
+    whole = F.xxhash64(*[ident(c) for c in labelled.columns])
+    order = Window.partitionBy(ident(segment)).orderBy(chosen, whole)
+    place = "__place"
+    while place in labelled.columns:
+        place += "_"
+    ranked = labelled.withColumn(place, F.row_number().over(order))
+    return ranked.where(ident(place) <= rows).drop(place)

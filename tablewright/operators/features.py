@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.columns import distinct_sketch, ident, is_calendar, is_number, is_text, require_columns
-from tablewright.functions.counts import is_present, value_columns, value_counts
+from tablewright.functions.counts import is_present, key_counts, value_columns, value_counts
 from tablewright.functions.ranks import exact_medians
 from tablewright.operators.split import dense_row_index
 from tablewright.session import LOCAL_ROWS
@@ -189,7 +189,7 @@ def _recount(df: DataFrame, distinct: dict[str, int], n: int, max_indicators: in
     near = [c for c, u in distinct.items() if any(abs(u - x) <= RECOUNT_BAND * x + 1 for x in limits)]
     if not near:
         return {}
-    counts = value_counts(df, near)
+    counts = key_counts(df, near)
     rows = counts.where(is_present(counts)).groupBy("pos").agg(F.count(F.lit(1)).alias("u")).collect()
     exact = {near[r["pos"]]: r["u"] for r in rows}
     return {c: exact.get(c, 0) for c in near}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,7 +16,7 @@ from tablewright.functions.columns import (
     normalise,
     round_half_up,
 )
-from tablewright.functions.counts import is_present, value_columns, value_counts
+from tablewright.functions.counts import is_present, key_counts, smallest, value_columns
 
 PROFILE_SCHEMA = (
     "position int, column string, dtype string, num_rows bigint, null_count bigint, null_pct double, "
@@ -34,14 +34,15 @@ def _names(df: DataFrame) -> DataFrame:
 def profile(df: DataFrame, samples: int = 3) -> DataFrame:
     """One row per column, exact.
 
-    The samples are the smallest distinct values as text: a distributed table has no first rows.
-    One scan and one shuffle of distinct (column, value) pairs feed the counts and the samples alike.
+    The samples are the smallest distinct values as text: a distributed table has no first rows. One shuffle
+    of distinct (column, key) pairs feeds the counts, with texts as their length and hashes; the samples are minima, so no
+    text is sorted and at most one per task, column and sample is moved.
     """
     names = _names(df)
     if not df.columns:
         return df.sparkSession.createDataFrame([], PROFILE_SCHEMA)
     df = normalise(df)
-    counts = value_counts(df, df.columns)
+    counts = key_counts(df, df.columns)
     vs = value_columns(counts)
     present = is_present(counts)
     types = [counts.schema[v].dataType for v in vs]
@@ -54,16 +55,9 @@ def profile(df: DataFrame, samples: int = 3) -> DataFrame:
         F.min(number).alias("min"),
         F.max(number).alias("max"),
     )
-    # Nulls sort last and are skipped by the collect; a filter here would be pushed below the
-    # exchange and cost a second scan. The rank limit keeps `samples` rows per task and column.
-    order = Window.partitionBy("pos").orderBy(present.desc(), *vs)
-    text = F.coalesce(*[F.col(v).cast("string") for v in vs])
-    firsts = (
-        counts.withColumn("r", F.row_number().over(order))
-        .where(F.col("r") <= samples)
-        .groupBy("pos")
-        .agg(F.array_sort(F.collect_list(F.when(present, F.struct("r", text.alias("text"), "n")))).alias("first"))
-        .select("pos", F.transform("first", lambda x: x["text"]).alias("sample_values"))
+    positions = range(len(df.columns))
+    firsts = smallest(df, df.columns, samples).select(
+        F.inline(F.array(*[F.struct(F.lit(i).alias("pos"), F.col(f"s{i}").alias("sample_values")) for i in positions]))
     )
     return (
         # Both sides have one row per column.

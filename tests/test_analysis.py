@@ -639,3 +639,15 @@ def test_kernel_of_landmarks(spark):
     name = "Support Vector Machine (RBF, landmarks)"
     board = {r["algorithm"]: r for r in models.classification_tournament(df, "c", "id", [name, "Logistic Regression"]).leaderboard.collect()}
     assert board[name]["test_f1"] > 0.9 > board["Logistic Regression"]["test_f1"] + 0.1
+
+
+def test_segment_sample_is_the_same_for_any_partitioning(spark):
+    rows = [(i, None if i % 5 == 0 else f"s{i % 3 if i > 90 else 0}", i % 7) for i in range(400)] + [(7, "s0", 1)] * 3
+    df = frame(spark, rows, "id int, segment string, x int")
+    got = [sorted(map(tuple, cluster.segment_sample(df.repartition(n), "segment", "id", rows=20).collect()), key=str) for n in (1, 3, 9)]
+    assert got[0] == got[1] == got[2]
+    sizes = {s: sum(r[1] == s for r in rows) for s in (None, "s0", "s1", "s2")}
+    for s, n in sizes.items():
+        assert sum(r[1] == s for r in got[0]) == min(n, 20)
+    plan = cluster.segment_sample(df, "segment", "id", rows=20)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan

@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import normalise, py_round_half_up, round_half_up
-from tablewright.functions.counts import modes
+from tablewright.functions.counts import is_present, key_counts, modes, smallest
 from tablewright.functions.ranks import exact_medians
-from tablewright.operators import clean, features, parity, profile, rules, split, synth
+from tablewright.operators import clean, features, parity, profile, profile_state, rules, split, synth
 
 
 def frame(spark, rows, schema, parts=1):
@@ -47,6 +47,67 @@ def test_map_columns_are_rejected(spark):
         normalise(spark.sql("select map('a', 1) as m"))
 
 
+def test_smallest_values_and_key_counts_by_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([None, "", "b" * 9, f"t{rng.randrange(40)}"]), rng.choice([None, -1.5, 2.0, float(rng.randrange(9))]), None)
+            for _ in range(500)]
+    df = frame(spark, rows, "t string, x double, none int", parts=7)
+    got = smallest(df, df.columns, 3).first()
+    for i in range(2):
+        values = sorted({r[i] for r in rows if r[i] is not None})
+        assert list(got[i]) == [str(v) for v in values[:3]]
+    assert list(got[2]) == []
+    counts = key_counts(df, df.columns)
+    for i in range(3):
+        mine = counts.where(F.col("pos") == i)
+        assert mine.where(is_present(counts)).count() == len({r[i] for r in rows if r[i] is not None})
+        assert mine.agg(F.sum("n")).first()[0] == 500
+
+
+def test_profile_moves_no_text_through_the_exchange(spark):
+    df = frame(spark, [("x" * 5000, 1), ("y" * 5000, 2), (None, 3)], "t string, k int", parts=3)
+    rows = {r["column"]: r for r in profile.profile(df).collect()}
+    assert rows["t"]["unique_values"] == 2 and rows["t"]["null_count"] == 1
+    assert [v[0] for v in rows["t"]["sample_values"]] == ["x", "y"]
+    counts = key_counts(df, df.columns)
+    assert not any("string" in kind for _, kind in counts.dtypes)
+
+
+def test_states_of_batches_merge_to_the_profile_of_the_whole(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, rng.gauss(50, 20) if i % 11 else None, f"name {rng.randrange(3000)}", i % 3 == 0) for i in range(20000)]
+    df = frame(spark, rows, "k long, x double, t string, b boolean", parts=5)
+    path = str(tmp_path / "states")
+    for batch in range(4):
+        profile_state.add_batch(df.where(F.col("k") % 4 == batch), path, f"b{batch}")
+    profile_state.add_batch(df.where("k % 4 = 2"), path, "b2")  # repeated after a failure
+    got = {r["column"]: r for r in profile_state.merged(profile_state.read_batches(spark, path)).collect()}
+    want = {r["column"]: r for r in profile.profile(df).collect()}
+    for name, w in want.items():
+        g = got[name]
+        for field in ("position", "dtype", "num_rows", "null_count", "null_pct", "min", "max"):
+            assert g[field] == w[field], (name, field)
+        assert abs(g["unique_estimate"] - w["unique_values"]) <= max(1, 0.07 * w["unique_values"])
+    for name, place in (("k", 0), ("x", 1)):
+        values = sorted(r[place] for r in rows if r[place] is not None)
+        for share, value in zip(profile_state.QUANTILES, got[name]["quantiles"]):
+            assert abs(sum(v <= value for v in values) / len(values) - share) < 0.03
+    assert got["t"]["quantiles"] is None
+    two = profile_state.merged(profile_state.read_batches(spark, path, ["b0", "b1"])).first()
+    assert two["num_rows"] == 10000
+
+
+def test_states_of_empty_batches_and_of_changing_columns(spark, tmp_path):
+    path = str(tmp_path / "states")
+    profile_state.add_batch(frame(spark, [], "x int, y string"), path, "a")
+    profile_state.add_batch(frame(spark, [(1.5, None), (float("nan"), None)], "x double, z int"), path, "b")
+    got = {r["column"]: r for r in profile_state.merged(profile_state.read_batches(spark, path)).collect()}
+    assert got["x"]["dtype"] == "double" and got["x"]["null_count"] == 1 and got["x"]["max"] == 1.5
+    assert got["y"]["null_count"] == got["y"]["num_rows"] == 2 and got["z"]["quantiles"] is None
+    with pytest.raises(ValueError):
+        profile_state.add_batch(frame(spark, [(1,)], "x int"), path, "a/b")
+
+
 # ---- order statistics ------------------------------------------------------------------------
 
 
