@@ -21,7 +21,8 @@ from tablewright.llm.store import Scratch
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WIDTH = 13
-BROADCAST_ROWS = 250_000
+BROADCAST_ROWS, BROADCAST_BYTES = 250_000, 64 << 20
+ROW_BYTES = 64  # of a broadcast row beside its arrays and texts
 
 
 def words_of(text) -> F.Column:
@@ -64,9 +65,19 @@ def _seeds(windows: DataFrame, sizes: list[int]) -> DataFrame:
     return out
 
 
-def _bounded(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast when the size, which was counted, allows it; otherwise Spark joins it as a table."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _fits(df: DataFrame, payload) -> bool:
+    """Whether a table may be broadcast: its rows, and the bytes of their arrays and texts (``payload``), are added up."""
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(payload), F.lit(0))).first()
+    return rows <= BROADCAST_ROWS and size + rows * ROW_BYTES <= BROADCAST_BYTES
+
+
+def _bounded(df: DataFrame, payload) -> DataFrame:
+    """Broadcast when the size, which was added up, allows it; otherwise Spark joins it as a table."""
+    return F.broadcast(df) if _fits(df, payload) else df
+
+
+def _bytes(*columns) -> F.Column:
+    return sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in columns), F.lit(0)).cast("long")
 
 
 def _scan(texts: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
@@ -82,7 +93,7 @@ def _scan(texts: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
     rows = rows.select("doc_id", "text_hash", "n_words", "b.seed", "b.at")
     if sizes:
         seeds = _seeds(windows, sizes)
-        rows = rows.join(_bounded(seeds, seeds.count()), "seed", "left").filter("seed_of IS NOT NULL OR at < 0")
+        rows = rows.join(_bounded(seeds, F.lit(16)), "seed", "left").filter("seed_of IS NOT NULL OR at < 0")
     else:
         rows = rows.withColumn("seed_of", F.lit(None).cast("int"))
     return rows.groupBy("doc_id", "text_hash", "n_words").agg(
@@ -96,7 +107,7 @@ def _occurrences(texts: DataFrame, scanned: DataFrame, windows: DataFrame) -> Da
     found = scanned.filter(F.size("found") > 0).select(
         F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), "found"
     )
-    found = _bounded(found, found.count())
+    found = _bounded(found, _bytes("__doc") + 32 * F.size("found"))
     rows = texts.join(found, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("text_hash") == F.col("__hash")))
     rows = rows.withColumn("w", words_of(F.col("text")))
     n = F.size("w")
@@ -114,7 +125,7 @@ def _occurrences(texts: DataFrame, scanned: DataFrame, windows: DataFrame) -> Da
         x["size"].alias("size"), x["start"].alias("start"), F.array_join(F.slice("w", x["start"] + 1, x["size"]), " ").alias("window")))
     rows = rows.select("doc_id", "text_hash", F.explode(windows_at).alias("o")).select("doc_id", "text_hash", "o.*")
     listed = windows.select("size", "window").distinct()
-    return rows.join(_bounded(listed, listed.count()), ["size", "window"])
+    return rows.join(_bounded(listed, _bytes("window")), ["size", "window"])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -129,7 +140,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     scanned = scratch.write(_scan(texts.withColumn("w", words_of(F.col("text"))), windows, sizes), "scanned")
     real = _occurrences(texts, scanned, windows)
     of_window = windows.groupBy("window").agg(F.collect_set("item").alias("items_of"))
-    real = real.join(_bounded(of_window, windows.count()), "window").groupBy(
+    if _fits(windows, _bytes("window", "item") + 16):  # at least as large as its groups
+        of_window = F.broadcast(of_window)
+    real = real.join(of_window, "window").groupBy(
         F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash")
     ).agg(
         F.array_sort(F.collect_set(F.struct("start", "size"))).alias("hits"),
@@ -137,7 +150,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     )
     real = scratch.write(real, "hits")
     key = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("text_hash") == F.col("__hash"))
-    rows = scanned.join(_bounded(real, real.count()), key, "left")
+    items_bytes = F.aggregate("items", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x) + 16)
+    rows = scanned.join(_bounded(real, _bytes("__doc") + 24 * F.size("hits") + items_bytes), key, "left")
     hits = F.coalesce("hits", F.array().cast("array<struct<start:int,size:int>>"))
     items = F.coalesce("items", F.array().cast("array<string>"))
     covered = F.array_distinct(F.flatten(F.transform(hits, lambda h: F.sequence(h["start"], h["start"] + h["size"] - 1))))
