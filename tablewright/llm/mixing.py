@@ -7,7 +7,8 @@ time, are the mix; it ends where the total budget is spent.
 Sums over a source are taken in two levels: within buckets of about ``BUCKET_ROWS`` documents of a source, then over the
 buckets, so a source that holds a third of all rows is many tasks. The end of the mix is found in a
 histogram over ranges of finish times: ranges before the one in which the budget ends are taken whole, and only
-that range is sorted row by row.
+that range is sorted row by row. A range that holds many turns, as when every host is a source and most sources finish at the same
+times, is cut again by finish time and then by source, until few turns are left to sort.
 
 Defined cases: a null or empty text has size 0 and is never taken; a null source is a source of its own, sorted last. A
 null doc_id is shuffled like an empty text. Rows that repeat are documents of their own. A source of size 0 gets target 0. An empty
@@ -26,7 +27,9 @@ WEIGHTS = (3, 1, 2)
 SHARE = (3, 2)  # the budget as a fraction of all words
 PASSES = 2  # no document is taken more often
 BUCKET_ROWS = 4_096
+HEAVY_BUCKETS, CELLS = 4, 1_024  # a range of more than so many buckets is cut into cells
 SEED = 17
+PLACE = ("__finish", "__sid", "__pass", "__key", "__id", "__size")  # the order of the mix
 
 
 def size_of(text) -> F.Column:
@@ -128,30 +131,53 @@ class Mix:
         turns = self._turns(self.timed(self.sizes))
         ranges = max(1, self.rows // BUCKET_ROWS)
         turns = turns.withColumn("__range", F.floor(F.col("__finish") * ranges).cast("long"))
-        per_range = turns.groupBy("__range").agg(F.sum("__size").alias("__words"))
+        per_range = turns.groupBy("__range").agg(F.sum("__size").alias("__words"), F.count(F.lit(1)).alias("__turns"))
         up_to = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)  # one row per range
         ends = per_range.withColumn("__to", F.sum("__words").over(up_to))
         over = ends.filter(F.col("__to") > self.budget).orderBy("__range").limit(1).collect()
-        place = ["__finish", "__sid", "__pass", "__key", "__id", "__size"]
         if not over:
-            return turns.agg(F.max(F.struct(*place))).first()[0]
+            return turns.agg(F.max(F.struct(*PLACE))).first()[0]
         start = over[0]["__to"] - over[0]["__words"]
-        order = Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, 0)  # rows of one range
-        inside = turns.filter(F.col("__range") == over[0]["__range"]).withColumn("__to", F.sum("__size").over(order) + start)
-        found = inside.filter(F.col("__to") <= self.budget).agg(F.max(F.struct(*place))).first()[0]
+        inside = turns.filter(F.col("__range") == over[0]["__range"])
+        if over[0]["__turns"] > HEAVY_BUCKETS * BUCKET_ROWS:
+            inside, start = self._narrowed(self.scratch.write(inside.select(*PLACE), "heavy-range"), start)
+        order = Window.orderBy(*PLACE).rowsBetween(Window.unboundedPreceding, 0)  # rows of one range
+        summed = inside.withColumn("__to", F.sum("__size").over(order) + start)
+        place = F.struct(*PLACE)
+        found, first = summed.agg(F.max(F.when(F.col("__to") <= self.budget, place)), F.min(place)).first()
         if found is None:
-            found = turns.filter(F.col("__range") < over[0]["__range"]).agg(F.max(F.struct(*place))).first()[0]
+            found = turns.filter(place < self._literal(first)).agg(F.max(place)).first()[0]
         return found
 
+    def _narrowed(self, turns: DataFrame, start: int):
+        """The turns of one cell in which the budget ends, and the words before it: cells of finish times within cells, then
+        of source numbers, as long as there are many turns of different values."""
+        for step in (F.col("__finish"), F.col("__sid").cast("double")):
+            while True:
+                n, low, high = turns.agg(F.count(F.lit(1)), F.min(step), F.max(step)).first()
+                if n <= BUCKET_ROWS:
+                    return turns, start
+                if low == high:
+                    break
+                cell = F.least(F.floor((step - low) / (high - low) * CELLS), F.lit(CELLS - 1)).cast("long")
+                words = turns.groupBy(cell.alias("__cell")).agg(F.sum("__size").alias("__words"))
+                up_to = Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, 0)  # one row per cell
+                ends = words.withColumn("__to", F.sum("__words").over(up_to) + start)
+                over = ends.filter(F.col("__to") > self.budget).orderBy("__cell").first()
+                turns, start = turns.filter(cell == over["__cell"]), over["__to"] - over["__words"]
+        return turns, start
+
+    def _literal(self, row) -> F.Column:
+        """A place in the order, read by the driver, as a column."""
+        kinds = {"__sid": "long", "__pass": "int", "__size": "long", "__id": self.sizes.schema["__id"].dataType}
+        return F.struct(*[F.lit(row[c]).cast(kinds[c]) if c in kinds else F.lit(row[c]) for c in PLACE])
+
     def _taken(self, turn) -> F.Column:
         if self.last is None:
             return F.lit(False)
-        last = self.last.asDict()
-        place = F.struct(self._finish(turn).alias("f"), F.col("__sid"), turn.cast("int").alias("p"), F.col("__key"),
-                         F.col("__id"), F.col("__size"))
-        end = F.struct(F.lit(last["__finish"]), F.lit(last["__sid"]).cast("long"), F.lit(last["__pass"]).cast("int"),
-                       F.lit(last["__key"]), F.lit(last["__id"]).cast(self.sizes.schema["__id"].dataType),
-                       F.lit(last["__size"]).cast("long"))
+        here = {"__finish": self._finish(turn), "__pass": turn.cast("int")}
+        place = F.struct(*[here.get(c, F.col(c)).alias(c) for c in PLACE])
+        end = self._literal(self.last)
         return F.coalesce((F.col("__size") > 0) & (F.col("__target") > 0) & (place <= end), F.lit(False))
 
     def times_taken(self) -> F.Column:
