@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tablewright.catalog.tables import table
 from tablewright.functions.columns import round_half_up
 from tablewright.operators import text
+from tablewright.plans import unstructured
 from tablewright.session import spread
 
 LEXICON = text.Lexicon(
@@ -79,6 +80,12 @@ def extract_rejects(spark, d):
     return text.split_rejects(fields, "text", ["der", "the"])[1].drop("text")
 
 
+def text_table(spark, d):
+    """The records of every chunk of every document, with their topics."""
+    out = unstructured.text_table(_documents(spark, d), "doc_id", "text", LEXICON, separator="\n")[0]
+    return out.withColumn("sentiment_score", round_half_up(F.col("sentiment_score"), 6))
+
+
 def union_ragged(spark, d):
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("amount"))
     parts = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("amount"), F.col("p_brand").alias("brand"))
@@ -97,6 +104,7 @@ QUERIES = {
         extract_topic_documents,
         extract_directive,
         extract_rejects,
+        text_table,
         union_ragged,
     )
 }
@@ -111,6 +119,17 @@ _PARTS = f"""
 _TOKENS = r"[t FOR t IN regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+') IF length(t) > 0]"
 
 
+# Paragraphs, and windows of the texts that have none.
+_EVERYTHING = _PARTS + f""",
+      cut AS (SELECT doc_id, i, substring(text, (i * 350 + 1)::INTEGER, 350) AS chunk
+              FROM documents d, LATERAL (SELECT unnest(range((length(text) + 349) // 350)) AS i)
+              WHERE d.doc_id NOT IN (SELECT key FROM ranked)),
+      wins AS (SELECT doc_id AS key, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, chunk
+               FROM cut WHERE length({_TRIM.format("chunk")}) > 15),
+      everything AS (SELECT key, pos, 'paragraph' AS kind, chunk FROM ranked UNION ALL SELECT key, pos, 'window', chunk FROM wins)
+"""
+
+
 def _hits(words) -> str:
     inside = ", ".join(f"'{w}'" for w in words)
     return f"len([t FOR t IN w IF t IN ({inside})])"
@@ -135,13 +154,7 @@ ORACLES = {
               FROM docs JOIN short USING (doc_id), LATERAL (SELECT unnest(range((length(text) + 349) // 350)) AS i))
       SELECT doc_id AS key, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS pos, chunk
       FROM cut WHERE length({_TRIM.format("chunk")}) > 15""",
-    "chunks_capped": _PARTS + f""",
-      cut AS (SELECT doc_id, i, substring(text, (i * 350 + 1)::INTEGER, 350) AS chunk
-              FROM documents d, LATERAL (SELECT unnest(range((length(text) + 349) // 350)) AS i)
-              WHERE d.doc_id NOT IN (SELECT key FROM ranked)),
-      wins AS (SELECT doc_id AS key, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, chunk
-               FROM cut WHERE length({_TRIM.format("chunk")}) > 15),
-      everything AS (SELECT key, pos, 'paragraph' AS kind, chunk FROM ranked UNION ALL SELECT key, pos, 'window', chunk FROM wins)
+    "chunks_capped": _EVERYTHING + """
       SELECT key, kind, count(*) AS n, sum(length(chunk))::BIGINT AS chars FROM everything WHERE pos < 30 GROUP BY 1, 2""",
     "batch_records": f"""
       SELECT conv_id, turn FROM conversations WHERE turn % 3 <> 0 AND length({_TRIM.format("text")}) > 0""",
@@ -156,6 +169,21 @@ ORACLES = {
              CASE WHEN p + m = 0 THEN 0.0::DOUBLE
                   ELSE floor((p - m)::DOUBLE / (p + m)::DOUBLE * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE END AS sentiment_score,
              least(5, u + 1)::INTEGER AS urgency, (a > 0)::INTEGER AS action_required FROM h""",
+    "text_table": _EVERYTHING + f""",
+      w AS (SELECT key, pos, {_TOKENS.replace("lower(text)", "lower(chunk)")} AS w FROM everything),
+      words AS (SELECT key, pos, unnest(w) AS t FROM w),
+      counted AS (SELECT key, pos, t, count(*) AS n FROM words WHERE length(t) >= 3 AND t NOT IN ({_STOP}) GROUP BY ALL),
+      best AS (SELECT key, pos, t FROM counted QUALIFY row_number() OVER (PARTITION BY key, pos ORDER BY n DESC, t) = 1),
+      h AS (SELECT key, pos, {_hits(_C["english"])} AS e, {_hits(_C["german"])} AS g, {_hits(_C["french"])} AS f,
+                   {_hits(LEXICON.positive)} AS p, {_hits(LEXICON.negative)} AS m, {_hits(LEXICON.urgent)} AS u,
+                   {_hits(LEXICON.action)} AS a FROM w)
+      SELECT key, pos::INTEGER AS pos,
+             CASE WHEN greatest(e, g, f) = 0 THEN 'General' WHEN e >= g AND e >= f THEN 'english' WHEN g >= f THEN 'german'
+                  ELSE 'french' END AS category,
+             CASE WHEN p + m = 0 THEN 0.0::DOUBLE
+                  ELSE floor((p - m)::DOUBLE / (p + m)::DOUBLE * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE END AS sentiment_score,
+             least(5, u + 1)::INTEGER AS urgency, (a > 0)::INTEGER AS action_required, t AS main_topic
+      FROM h LEFT JOIN best USING (key, pos)""",
     "extract_topic": _TOPIC.format(k="conv_id, turn", t="conversations", stop=_STOP),
     "extract_topic_documents": _TOPIC.format(k="doc_id", t="documents", stop=_STOP),
     "extract_directive": r"""

@@ -8,7 +8,8 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.operators import models, report, text
+from tablewright.operators import models, report, rules, text
+from tablewright.plans import unstructured
 from tablewright.plans.advisory import run_advisory
 from tablewright.sources import jsonlines, readers, splitcsv
 
@@ -335,3 +336,21 @@ def test_csv_with_line_breaks_comes_back(spark, tmp_path):
     path = str(tmp_path / "t.csv")
     readers.write_csv(spark.createDataFrame(rows, "id bigint, t string"), path)
     assert sorted(map(tuple, readers.read_any(spark, path).collect())) == rows
+
+
+def test_texts_become_a_table_and_its_advisory(spark):
+    line = "please fix order {} today the delivery was {} and the refund of {} is late"
+    rows = [(i, "\n\n".join(line.format(10 * i + j, ("great", "bad", "slow")[(i + j) % 3], i) for j in range(3))) for i in range(40)]
+    rows += [(40, None), (41, "short"), (None, "no number stands in this long paragraph")]
+    df = spark.createDataFrame(rows, "id int, body string").repartition(4)
+    out = unstructured.run_text_advisory(
+        df, "id", "body", directive={"number": (r"order ([0-9]+)", "int")}, task=rules.REGRESSION, target="sentiment_score",
+        candidates=["Linear Regression (OLS)"], min_rows=10,
+    )
+    records = {(r["key"], r["pos"]): r for r in out.records.collect()}
+    assert set(records) == {(i, j) for i in range(40) for j in range(3)}
+    assert all(r["number"] == 10 * i + j and r["category"] == "Delivery" for (i, j), r in records.items())
+    assert [(r["key"], r["reason"]) for r in out.rejects.collect()] == [(None, "no field found")]
+    assert out.advisory.champion == "Linear Regression (OLS)" and out.advisory.report.count() > 0
+    with pytest.raises(ValueError):
+        unstructured.text_table(df, "id", "body", directive={"category": ("(x)", "string")})
