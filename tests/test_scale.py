@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright import session
-from tablewright.operators import boosting, network
+from tablewright.operators import boosting, cluster, linkage, network
 
 
 def test_large_tables_get_partitions_by_rows(spark, monkeypatch):
@@ -40,3 +40,36 @@ def test_network_scans_blocks(spark):
     assert table.count() <= rows.rdd.getNumPartitions()
     assert table.agg(F.sum("m"), F.sum(F.length("y")), F.sum(F.length("x"))).first() == (150, 200 * 8, 200 * 24)
     assert network._evaluate_blocks(network._blocks(rows.where("not held"), 3), network.start((3, 4, 1), 1), (3, 4, 1), network.SQUARES)[2] > 0
+
+
+@pytest.mark.parametrize("name", ["ward", "complete", "average"])
+def test_merges_without_a_table_of_pairs(spark, monkeypatch, name):
+    rng = np.random.default_rng(8)
+    pts = np.concatenate([rng.normal(0, 1, (90, 3)) + rng.choice([0, 4], (90, 1)), np.repeat([[9.0, 9.0, 9.0]], 10, axis=0)])
+    points = spark.createDataFrame([(i * 3, p.tolist(), 1.0 + i % 2) for i, p in enumerate(pts)], "id long, x array<double>, w double")
+    want = linkage.agglomerate(points, name)
+    for size, value in (("MAX_ROWS", 50), ("TABLE_CLUSTERS", 12), ("TILE_ROWS", 30), ("CHUNK_ROWS", 8)):
+        monkeypatch.setattr(linkage, size, value, raising=False)
+    got = linkage.agglomerate(points, name)
+    assert [h for *_, h in got.merges] == pytest.approx([h for *_, h in want.merges], abs=1e-9)
+    assert [m[:2] for m in got.merges[9:]] == [m[:2] for m in want.merges[9:]]  # the first nine are of equal points
+    assert got.labels(4) == want.labels(4)
+
+
+def test_euclidean_silhouette_moves_each_pair_of_blocks_once(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    pts = np.concatenate([rng.normal(1000, 1, (97, 3)), np.full((20, 3), 1001.0)])
+    own = np.arange(len(pts)) % 3
+    df = spark.createDataFrame([(*map(float, p), int(k)) for p, k in zip(pts, own)], "a double, b double, c double, k int")
+    d = np.sqrt(((pts[:, None] - pts[None]) ** 2).sum(axis=2))
+    sizes = np.bincount(own)
+    a = np.array([d[i, own == own[i]].sum() / (sizes[own[i]] - 1) for i in range(len(pts))])
+    b = np.array([min(d[i, own == c].mean() for c in range(3) if c != own[i]) for i in range(len(pts))])
+    for name, value in (("LEAST_POINTS", 20), ("TILE", (16, 24))):
+        monkeypatch.setattr(cluster, name, value, raising=False)
+    sent = []
+    join = type(df).join
+    monkeypatch.setattr(type(df), "join", lambda self, other, on=None, how=None: sent.append(on) or join(self, other, on, how))
+    found = cluster.score_clusters(df, ["a", "b", "c"], "k", cluster.EUCLIDEAN)["silhouette"]
+    assert found == pytest.approx(np.mean((b - a) / np.maximum(a, b)), abs=1e-9)
+    assert [on for on in sent if isinstance(on, list)] == [["b", "with"]]  # blocks a and b meet in one task, not in two
