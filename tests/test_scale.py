@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright import session
-from tablewright.operators import boosting, cluster, linkage, network
+from tablewright.operators import boosting, cluster, linkage, models, network
 
 
 def test_large_tables_get_partitions_by_rows(spark, monkeypatch):
@@ -73,3 +73,23 @@ def test_euclidean_silhouette_moves_each_pair_of_blocks_once(spark, monkeypatch)
     found = cluster.score_clusters(df, ["a", "b", "c"], "k", cluster.EUCLIDEAN)["silhouette"]
     assert found == pytest.approx(np.mean((b - a) / np.maximum(a, b)), abs=1e-9)
     assert [on for on in sent if isinstance(on, list)] == [["b", "with"]]  # blocks a and b meet in one task, not in two
+
+
+def test_ridge_on_a_wide_column_is_exact(spark):
+    rng = np.random.default_rng(10)
+    code = np.concatenate([np.arange(5_500), rng.integers(0, 5_500, 4_000)])
+    z = rng.normal(size=len(code))
+    y = 100 + 2 * z + code % 7 + rng.normal(size=len(code))
+    rows = [(i, f"c{int(c):05d}", float(a), float(b)) for i, (c, a, b) in enumerate(zip(code, z, y))]
+    p = models.prepare(spark.createDataFrame(rows, "id long, c string, z double, y double"), "y", False, "id")
+    train, fitted = p.part("train"), models.fit_ridge(p.part("train"), p, models.Settings())
+    assert len(fitted.importances) == 2 < p.width
+    got = {r[models.KEY]: (r["prediction"], r[models.LABEL], r[models.VEC]) for r in fitted.score(train).collect()}
+    x = np.zeros((len(got), p.width + 1))
+    for line, (_, _, vec) in enumerate(got.values()):
+        x[line, 0] = 1
+        x[line, 1 + vec.indices] = vec.values
+    label = np.array([v[1] for v in got.values()])
+    xs, ys = x[:, 1:] - x[:, 1:].mean(axis=0), label - label.mean()
+    left = ys - xs @ (xs.T @ np.linalg.solve(xs @ xs.T + np.eye(len(xs)), ys))
+    assert label - np.array([v[0] for v in got.values()]) == pytest.approx(left, abs=1e-6)
