@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark import inheritable_thread_target
@@ -289,15 +290,22 @@ def _stack_inputs(members: Sequence[Fitted], df: DataFrame) -> DataFrame:
 
 
 def fit_stacking(train: DataFrame, p: Prepared, s: Settings, fits: Sequence[Callable], members: Sequence[Fitted]) -> Fitted:
-    """Logistic regression over out-of-fold base probabilities; folds follow a hash of the key."""
+    """Logistic regression over out-of-fold base probabilities; folds follow a hash of the key.
+
+    The folds' fits, mostly small jobs one after another, run side by side. The probabilities are written once: the steps of the
+    regression then read a short table instead of carrying every fold's models and searches along.
+    """
+    spark = train.sparkSession
     folded = train.withColumn("__fold", F.pmod(F.xxhash64(F.col(KEY), F.lit(s.seed)), F.lit(s.folds)))
-    parts = None
-    for f in range(s.folds):
+
+    def part(f: int) -> DataFrame:
         rest = folded.where(F.col("__fold") != f)
-        base = [fit(rest, p, s) for fit in fits]
-        part = _stack_inputs(base, folded.where(F.col("__fold") == f))
-        parts = part if parts is None else parts.unionByName(part)
-    meta_rows = parts.select(LABEL, "__meta").persist()
+        return _stack_inputs([fit(rest, p, s) for fit in fits], folded.where(F.col("__fold") == f)).select(LABEL, "__meta")
+
+    with ThreadPoolExecutor(max_workers=s.parallelism) as pool:
+        runs = [pool.submit(inheritable_thread_target(spark)(part), f) for f in range(s.folds)]
+        parts = [r.result() for r in runs]
+    meta_rows = persisted(materialised(reduce(DataFrame.unionByName, parts)))
     try:
         meta = fit_logistic(meta_rows, p, s, vec="__meta")
     finally:

@@ -1,5 +1,7 @@
 """Steps whose cost per task or scan must not grow faster than the table."""
 
+import threading
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -93,3 +95,30 @@ def test_ridge_on_a_wide_column_is_exact(spark):
     xs, ys = x[:, 1:] - x[:, 1:].mean(axis=0), label - label.mean()
     left = ys - xs @ (xs.T @ np.linalg.solve(xs @ xs.T + np.eye(len(xs)), ys))
     assert label - np.array([v[0] for v in got.values()]) == pytest.approx(left, abs=1e-6)
+
+
+def test_stacking_fits_folds_side_by_side_and_writes_their_probabilities(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, float(i % 2), i / 10) for i in range(60)], f"{models.KEY} long, {models.LABEL} double, x double")
+    p = models.Prepared(rows, (), ("a", "b"), 60, 0.0, 1)
+    met, seen, sizes = threading.Barrier(2), [], []
+
+    def member(train, p, s):
+        sizes.append(train.count())
+        if len(sizes) <= 2:
+            met.wait(60)  # the first two folds wait for each other
+        share = F.lit(sizes[-1] / 100.0)
+        return models.Fitted(lambda df: df.withColumn("prob", F.array(1 - share, share)).withColumn("prediction", F.lit(0.0)))
+
+    logistic = models.fit_logistic
+
+    def fit_logistic(train, p, s, vec=models.VEC):
+        seen.append((train.count(), train._jdf.queryExecution().analyzed().toString()))
+        return logistic(train, p, s, vec)
+
+    monkeypatch.setattr(models, "fit_logistic", fit_logistic)
+    s = models.Settings(folds=4, parallelism=2)
+    whole = models.Fitted(lambda df: df.withColumns({"prob": F.array(F.lit(0.5), F.lit(0.5)), "prediction": F.lit(0.0)}))
+    fitted = models.fit_stacking(rows, p, s, [member], [whole])
+    assert sum(60 - n for n in sizes) == 60 and len(sizes) == 4
+    assert seen[0][0] == 60 and "Union" not in seen[0][1] and "parquet" in seen[0][1]  # a written table, no folds' plans
+    assert fitted.score(rows).where("size(prob) = 2").count() == 60
