@@ -5,12 +5,15 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.columns import ident, require_columns
+from tablewright.session import LOCAL_ROWS, local_or_written
 
 # Paragraph separator and lengths, window size and span, chunk and batch caps.
 PARAGRAPH_SEPARATOR, PARAGRAPH_LENGTH = "\n\n", 20
@@ -117,7 +120,10 @@ def extract_records(df: DataFrame, text: str, lexicon: Lexicon = Lexicon(), keep
     """category, sentiment_score in [-1, 1], urgency 1-5 and action_required 0/1 per record."""
     require_columns(df, text, *keep)
     names = list(lexicon.categories)
-    rows = df.select(*[ident(k) for k in keep], tokens(F.coalesce(ident(text), F.lit(""))).alias("__w"))
+    known = sorted({w for words in (*lexicon.categories.values(), lexicon.positive, lexicon.negative, lexicon.urgent, lexicon.action) for w in words})
+    # One pass over all words leaves the few that some list holds.
+    listed = F.filter(tokens(F.coalesce(ident(text), F.lit(""))), lambda t: t.isin(known))
+    rows = df.select(*[ident(k) for k in keep], listed.alias("__w"))
     rows = rows.select(
         *[ident(k) for k in keep],
         F.array(*[_hits(F.col("__w"), lexicon.categories[n]) for n in names]).alias("__c"),
@@ -138,21 +144,76 @@ def extract_records(df: DataFrame, text: str, lexicon: Lexicon = Lexicon(), keep
     )
 
 
+def most_frequent(words: Column) -> Column:
+    """The word an array holds most often, the smallest on ties; null without any. Equal words are runs of the sorted array."""
+    none = F.lit(None).cast("string")
+    start = F.struct(none.alias("w"), F.lit(0).alias("n"), none.alias("best"), F.lit(0).alias("most"))
+
+    def step(s: Column, w: Column) -> Column:
+        n = F.when(s["w"] == w, s["n"] + 1).otherwise(F.lit(1))
+        return F.struct(w.alias("w"), n.alias("n"), F.when(n > s["most"], w).otherwise(s["best"]).alias("best"), F.greatest(n, s["most"]).alias("most"))
+
+    return F.aggregate(F.array_sort(words), start, step, lambda s: s["best"])
+
+
+def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Hashes ``__h`` of the keys that several rows have, null being a key as any other. A key that only shares the hash of one counts as
+    repeated too, which costs time but changes no result."""
+    ks = [ident(k) for k in keys]
+    counts = df.groupBy(*ks).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    found = local_or_written(counts.select(F.xxhash64(*ks).alias("__h")).distinct(), LOCAL_ROWS)
+    return found if found.take(1) else found.limit(0)  # no rows by its plan, so that the joins with it go
+
+
+def _by_repetition(df: DataFrame, keys: Sequence[str], repeated: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose keys no other row has, and those with repeated keys."""
+    hashed = df.withColumn("__hash", F.xxhash64(*[ident(k) for k in keys]))
+    same = F.col("__hash") == F.col("__h")
+    return hashed.join(repeated, same, "left_anti").drop("__hash"), hashed.join(repeated, same, "left_semi").drop("__hash")
+
+
+def _usable(text: Column, stop_words: Sequence[str], min_length: int) -> Column:
+    return F.filter(tokens(text), lambda w: (F.length(w) >= min_length) & ~w.isin(list(stop_words)))
+
+
+def _shared_topic(df: DataFrame, keys: Sequence[str], words: Column) -> DataFrame:
+    """The topics of records of several rows. Words are counted before the shuffle, so a record that holds a third of all words costs one
+    row per distinct word."""
+    ks = [ident(k) for k in keys]
+    counts = df.select(*ks, F.explode_outer(words).alias("w")).groupBy(*ks, "w").agg(F.count(F.lit(1)).alias("n"))
+    best = F.min(F.when(F.col("w").isNotNull(), F.struct((-F.col("n")).alias("neg"), F.col("w").alias("w"))))
+    return counts.groupBy(*ks).agg(best.alias("b")).select(*ks, F.col("b.w").alias("main_topic"))
+
+
 def main_topic(
     df: DataFrame, keys: Sequence[str], text: str, stop_words: Sequence[str] = STOP_WORDS, min_length: int = 3
 ) -> DataFrame:
     """Most frequent word per record that is no stop word, the smallest on ties; null without any.
 
-    Words are counted per record before the shuffle, so a record that holds a third of all words
-    costs one row per distinct word.
+    Rows that share their keys are one record. A record of one row, as nearly all are, is settled inside the row, so its words
+    never move.
     """
     require_columns(df, text, *keys)
-    ks = [ident(k).alias(k) for k in keys]
-    words = df.select(*ks, F.explode_outer(tokens(ident(text))).alias("w"))
-    counts = words.groupBy(*[ident(k) for k in keys], "w").agg(F.count(F.lit(1)).alias("n"))
-    usable = F.col("w").isNotNull() & (F.length("w") >= min_length) & ~F.col("w").isin(list(stop_words))
-    best = F.min(F.when(usable, F.struct((-F.col("n")).alias("neg"), F.col("w").alias("w"))))
-    return counts.groupBy(*[ident(k) for k in keys]).agg(best.alias("b")).select(*[ident(k) for k in keys], F.col("b.w").alias("main_topic"))
+    words = _usable(ident(text), stop_words, min_length)
+    alone, shared = _by_repetition(df, keys, repeated_keys(df, keys))
+    own = alone.select(*[ident(k) for k in keys], most_frequent(words).alias("main_topic"))
+    return own.unionByName(_shared_topic(shared, keys, words))
+
+
+def with_main_topic(
+    df: DataFrame, keys: Sequence[str], text: str, repeated: DataFrame, by: Sequence[str],
+    stop_words: Sequence[str] = STOP_WORDS, min_length: int = 3,
+) -> DataFrame:
+    """The table with the main topic of every row's record. ``repeated`` are the ``repeated_keys`` of the columns ``by``, some of the
+    keys, without which no two rows share all keys: only rows that have them are joined with their record's topic."""
+    require_columns(df, text, *keys, *by)
+    words = _usable(ident(text), stop_words, min_length)
+    alone, shared = _by_repetition(df, by, repeated)
+    names = {k: f"__k{i}" for i, k in enumerate(keys)}
+    topics = _shared_topic(shared, keys, words).withColumnsRenamed(names)
+    same = reduce(and_, [ident(k).eqNullSafe(F.col(n)) for k, n in names.items()])
+    joined = shared.join(topics, same, "left").drop(*names.values())
+    return alone.withColumn("main_topic", most_frequent(words)).unionByName(joined)
 
 
 def extract_fields(

@@ -6,7 +6,6 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tablewright.operators import text as texts
 from tablewright.plans.advisory import Advisory, run_advisory
@@ -45,9 +44,9 @@ def text_table(
         found = texts.extract_fields(records, "chunk", directive, keep=records.columns)
         records, rejected = texts.split_rejects(found, "chunk", list(directive))
         rejects = rejected.select("key", "pos", "chunk", "reason")
-    topics = texts.main_topic(records, ["key", "pos"], "chunk").select(F.col("key").alias("k"), F.col("pos").alias("p"), "main_topic")
-    same = F.col("key").eqNullSafe(F.col("k")) & (F.col("pos") == F.col("p"))
-    return records.join(topics, same, "left").drop("k", "p", "chunk"), rejects
+    # Chunks share key and place only if texts share the key.
+    topics = texts.with_main_topic(records, ["key", "pos"], "chunk", texts.repeated_keys(df, [key]), ["key"])
+    return topics.drop("chunk"), rejects
 
 
 def run_text_advisory(

@@ -1,13 +1,17 @@
 """Steps whose cost per task or scan must not grow faster than the table."""
 
+import random
+import re
 import threading
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tablewright import session
-from tablewright.operators import boosting, cluster, linkage, models, network
+from tablewright.operators import boosting, cluster, linkage, models, network, text
+from tablewright.plans import unstructured
 
 
 def test_large_tables_get_partitions_by_rows(spark, monkeypatch):
@@ -122,3 +126,45 @@ def test_stacking_fits_folds_side_by_side_and_writes_their_probabilities(spark,
     assert sum(60 - n for n in sizes) == 60 and len(sizes) == 4
     assert seen[0][0] == 60 and "Union" not in seen[0][1] and "parquet" in seen[0][1]  # a written table, no folds' plans
     assert fitted.score(rows).where("size(prob) = 2").count() == 60
+
+
+def _topics(records):
+    """Plain version: per record (key, texts) the most frequent usable word, the smallest on ties."""
+    out = {}
+    for key, texts in records.items():
+        n = Counter(w for t in texts if t is not None for w in re.split(r"[\W_]+", t.lower()) if len(w) >= 3 and w not in text.STOP_WORDS)
+        out[key] = min(n, key=lambda w: (-n[w], w)) if n else None
+    return out
+
+
+def test_topics_of_single_rows_move_no_words(spark, monkeypatch):
+    rng = random.Random(11)
+    words = ["the", "ab", "Straße", "straße", "zoo", "zoo9", "Über", "dog", "dogs", "cat"]
+    rows = [(rng.choice([None, 1, 2, *range(10, 60)]), rng.choice([0, 0, 1]), None if i % 17 == 0 else " ".join(rng.choices(words, k=rng.randint(0, 12)))) for i in range(90)]
+    df = spark.createDataFrame(rows, "k long, p int, t string")
+    records = defaultdict(list)
+    for k, p, t in rows:
+        records[k, p].append(t)
+    assert 1 < max(map(len, records.values())) and 1 in map(len, records.values())
+    got = text.main_topic(df, ["k", "p"], "t").collect()
+    assert {(r["k"], r["p"]): r["main_topic"] for r in got} == _topics(records) and len(got) == len(records)
+    monkeypatch.setattr(text, "LOCAL_ROWS", 1, raising=False)  # repeated keys as a written table
+    assert sorted(map(str, text.main_topic(df, ["k", "p"], "t").collect())) == sorted(map(str, got))
+    single = df.dropDuplicates(["k", "p"]).localCheckpoint()
+    plan = text.main_topic(single, ["k", "p"], "t")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+
+
+def test_text_table_joins_topics_for_repeated_keys_alone(spark):
+    lines = ["one dog and one dog more than the other dog", "a cat sat on the mat with a cat, said the cat", "short", "nothing here but zebras and zebras again"]
+    rows = [(1, "\n".join(lines)), (2, lines[1]), (None, lines[0]), (None, "\n".join([lines[3], lines[1]])), (3, None), (4, lines[0] + "\n" + lines[3])]
+    df = spark.createDataFrame(rows, "id long, body string")
+    got = Counter((r["key"], r["pos"], r["main_topic"]) for r in unstructured.text_table(df, "id", "body", separator="\n")[0].collect())
+    chunks = [(k, p, c) for k, t in rows if t for p, c in enumerate(c for c in t.split("\n") if len(c) > 20)]
+    records = defaultdict(list)
+    for k, p, c in chunks:
+        records[k, p].append(c)
+    topics = _topics(records)
+    assert got == Counter((k, p, topics[k, p]) for k, p, _ in chunks)
+    single = unstructured.text_table(df.where("id is not null"), "id", "body", separator="\n")[0]
+    assert "Join" not in single._jdf.queryExecution().executedPlan().toString()
