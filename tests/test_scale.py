@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright import session
-from tablewright.operators import boosting, cluster, linkage, models, network, text
+from tablewright.operators import boosting, cluster, linkage, lloyd, models, network, text
 from tablewright.plans import unstructured
 
 
@@ -168,3 +168,22 @@ def test_text_table_joins_topics_for_repeated_keys_alone(spark):
     assert got == Counter((k, p, topics[k, p]) for k, p, _ in chunks)
     single = unstructured.text_table(df.where("id is not null"), "id", "body", separator="\n")[0]
     assert "Join" not in single._jdf.queryExecution().executedPlan().toString()
+
+
+def test_kmeans_scans_blocks_and_adds_up_by_nearest_centre(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    pts = np.concatenate([rng.normal(size=(300, 3)), rng.integers(-2, 3, (200, 3)).astype(float)])  # the whole numbers give ties
+    points = spark.createDataFrame([(p.tolist(),) for p in pts], "x array<double>").repartition(4)
+    blocks = lloyd.packed(points)
+    assert blocks.count() <= 4 and blocks.agg(F.sum(F.length("x"))).first()[0] == pts.size * 8
+    starts = [pts[:2], pts[300:302], np.array([[0.5, 0, 0], [-0.5, 0, 0], [0.5, 0, 0]]), pts[10:15], pts[310:350]]
+    monkeypatch.setattr(lloyd, "DISTANCES_AT_ONCE", 5_000)
+    for table in (points, blocks):
+        for centres, (sums, sizes, cost) in zip(starts, lloyd._step(table, starts), strict=True):
+            far = ((pts[:, None] - centres[None]) ** 2).sum(axis=2)
+            assert cost == pytest.approx(far.min(axis=1).sum())
+            if not np.isclose(np.sort(far, axis=1)[:, 0], np.sort(far, axis=1)[:, 1], atol=1e-9).any() or len(centres) == 3:
+                own = np.round(far, 9).argmin(axis=1)  # the first on ties
+                assert sizes.tolist() == np.bincount(own, minlength=len(centres)).tolist()
+                assert sums == pytest.approx(np.stack([pts[own == k].sum(axis=0) for k in range(len(centres))]), abs=1e-9)
+            assert sizes.sum() == len(pts) and sums.sum(axis=0) == pytest.approx(pts.sum(axis=0))
