@@ -187,3 +187,8 @@ def test_kmeans_scans_blocks_and_adds_up_by_nearest_centre(spark, monkeypatch):
                 assert sizes.tolist() == np.bincount(own, minlength=len(centres)).tolist()
                 assert sums == pytest.approx(np.stack([pts[own == k].sum(axis=0) for k in range(len(centres))]), abs=1e-9)
             assert sizes.sum() == len(pts) and sums.sum(axis=0) == pytest.approx(pts.sum(axis=0))
+    odd = spark.createDataFrame([(p.tolist(),) for p in [*pts[:9], np.array([np.nan, 0, 0])]], "x array<double>").coalesce(1)
+    sums, sizes, _ = lloyd._step(odd, [pts[:3]])[0]
+    far = ((pts[:9, None] - pts[None, :3]) ** 2).sum(axis=2).argmin(axis=1)
+    assert sizes.tolist() == (np.bincount(far, minlength=3) + [1, 0, 0]).tolist()  # the first centre has it, the others stay clean
+    assert sums[1:] == pytest.approx(np.stack([pts[:9][far == k].sum(axis=0) for k in (1, 2)])) and np.isnan(sums[0, 0])
