@@ -62,6 +62,23 @@ def test_merges_without_a_table_of_pairs(spark, monkeypatch, name):
     assert got.labels(4) == want.labels(4)
 
 
+def test_only_changed_clusters_look_for_their_nearest(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    points = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(rng.normal(0, 1, (120, 8)))], "id long, x array<double>")
+    searched, search = [], linkage._nearest
+    monkeypatch.setattr(linkage, "TABLE_CLUSTERS", 20)
+    monkeypatch.setattr(linkage, "_nearest", lambda rows, n, changed, name: searched.append(changed) or search(rows, n, changed, name))
+    tree = linkage.agglomerate(points, "average")
+    assert len(tree.merges) == 119 and searched[0] == 120
+    assert max(searched[1:]) < 120
+
+
+def test_copies_under_one_id_are_one_cluster(spark):
+    rows = [(i, [float(x)]) for i, x in ((1, 0.0), (1, 0.0), (2, 1.0), (3, 5.0), (3, 5.0))]
+    tree = linkage.agglomerate(spark.createDataFrame(rows, "id long, x array<double>"), "average")
+    assert tree.merges == [(1, 2, 1.0), (1, 3, 4.5)]
+
+
 def test_euclidean_silhouette_moves_each_pair_of_blocks_once(spark, monkeypatch):
     rng = np.random.default_rng(9)
     pts = np.concatenate([rng.normal(1000, 1, (97, 3)), np.full((20, 3), 1001.0)])
