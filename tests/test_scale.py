@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright import session
+from tablewright.catalog import tournament_queries
 from tablewright.operators import boosting, cluster, linkage, lloyd, models, network, text
 from tablewright.plans import unstructured
 
@@ -79,6 +80,14 @@ def test_copies_under_one_id_are_one_cluster(spark):
     assert tree.merges == [(1, 2, 1.0), (1, 3, 4.5)]
 
 
+def test_board_on_true_distances_merges_the_rows(spark, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(tournament_queries.cluster, "clustering_tournament", lambda df, **how: asked.update(how) or cluster.ClusterResult(df, "", 2, 0, 0, 0, df, ()))
+    monkeypatch.setattr(tournament_queries, "_points", lambda spark, d: spark.range(3))
+    tournament_queries.leaderboard_clusters(spark, "")
+    assert asked["linkage_on"] == cluster.ROWS
+
+
 def test_euclidean_silhouette_moves_each_pair_of_blocks_once(spark, monkeypatch):
     rng = np.random.default_rng(9)
     pts = np.concatenate([rng.normal(1000, 1, (97, 3)), np.full((20, 3), 1001.0)])
