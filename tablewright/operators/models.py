@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import numpy as np
@@ -19,7 +19,6 @@ from pyspark.ml.classification import (
     LogisticRegression,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.columns import ident, py_round_half_up, require_columns
 from tablewright.operators import boosting, kernel, network
-from tablewright.operators.features import MAX_INDICATORS, fit_features, fit_standardiser
+from tablewright.operators.features import MAX_INDICATORS, assembled, fit_features, fit_standardiser
 from tablewright.operators.knn import nearest_neighbours
 from tablewright.operators.metrics import class_metrics, regression_metrics
 from tablewright.operators.split import dense_row_index, split_70_15_15
@@ -107,7 +106,7 @@ def _prepare(rows: DataFrame, target: str, classify: bool, key: str, seed: int,
     scope = placed.where(F.col(SPLIT) == "train") if fit_scope == "train" else placed
     held = [key, target, SPLIT]
     model = fit_features(scope, exclude=held)
-    standardiser = fit_standardiser(model.transform(scope), model.columns)
+    standardiser = fit_standardiser(replace(model, wide=()).transform(scope), model.columns)  # wide columns have no scale, their codes need no join
     encoded = standardiser.transform(model.transform(placed, keep=held))
     classes: tuple[str, ...] = ()
     if classify:
@@ -120,11 +119,8 @@ def _prepare(rows: DataFrame, target: str, classify: bool, key: str, seed: int,
         classes = tuple(str(v) for v in found)
     else:
         label = ident(target).cast("double")
-    inputs = [*model.columns, *model.vectors]
     data = persisted(
-        VectorAssembler(inputCols=inputs, outputCol=VEC)
-        .transform(encoded)
-        .select(ident(key).alias(KEY), label.alias(LABEL), F.col(VEC), F.col(SPLIT))
+        assembled(encoded, model, VEC).select(ident(key).alias(KEY), label.alias(LABEL), F.col(VEC), F.col(SPLIT))
     )
     train = (
         data.where(F.col(SPLIT) == "train")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tablewright import session
 from tablewright.catalog import tournament_queries
-from tablewright.operators import boosting, cluster, linkage, lloyd, models, network, text
+from tablewright.operators import boosting, cluster, features, linkage, lloyd, models, network, text
 from tablewright.plans import unstructured
 
 
@@ -107,6 +107,24 @@ def test_euclidean_silhouette_moves_each_pair_of_blocks_once(spark, monkeypatch)
     assert [on for on in sent if isinstance(on, list)] == [["b", "with"]]  # blocks a and b meet in one task, not in two
 
 
+def test_large_vectors_have_no_names_in_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = [(i, f"c{i % 1500}", float(a) if i % 3 else 0.0, float(i % 7)) for i, a in enumerate(rng.normal(size=4_500))]
+    df = spark.createDataFrame(rows, "id long, c string, z double, y double")
+    boards, vectors = [], []
+    for limit in (features.NAMED_PLACES, 100):
+        monkeypatch.setattr(features, "NAMED_PLACES", limit)
+        p = models.prepare(df, "y", False, "id")
+        found = {r["__key"]: r["__features"] for r in p.data.collect()}
+        vectors.append({k: (v.size, v.numNonzeros(), float(v.values.sum())) for k, v in found.items()})
+        attributes = p.data.schema["__features"].metadata["ml_attr"]
+        assert attributes["num_attrs"] == p.width and ("attrs" in attributes) == (limit > 100)
+        boards.append(models.regression_tournament(df, "y", "id", ["Ridge Regression (L2)", "Linear Regression (OLS)"]).leaderboard.drop("rank").collect())
+    assert vectors[0].keys() == vectors[1].keys()
+    assert all(vectors[0][k] == pytest.approx(vectors[1][k], abs=1e-12) for k in vectors[0])
+    assert boards[0] == boards[1]
+
+
 def test_ridge_on_a_wide_column_is_exact(spark):
     rng = np.random.default_rng(10)
     code = np.concatenate([np.arange(5_500), rng.integers(0, 5_500, 4_000)])
