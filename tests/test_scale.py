@@ -38,6 +38,27 @@ def test_boosting_moves_blocks_and_renews_scores_every_round(spark):
     assert np.sort(found, axis=0) == pytest.approx(np.sort(model.raw(model.binned(x)), axis=0))
 
 
+@pytest.mark.parametrize("loss", [boosting.SQUARES, boosting.SOFTMAX])
+def test_small_tables_are_fitted_by_one_task_to_the_same_model(spark, monkeypatch, loss):
+    rng = np.random.default_rng(13)
+    x, y = rng.normal(size=(400, 3)), rng.integers(0, 3, 400).astype(float)
+    rows = spark.createDataFrame([(i, a.tolist(), float(b)) for i, (a, b) in enumerate(zip(x, y))], "id long, x array<double>, y double").repartition(3)
+    jobs, scan, evaluate = [], boosting._histogram, network._evaluate_blocks
+    monkeypatch.setattr(boosting, "_histogram", lambda *a: jobs.append("level") or scan(*a))
+    monkeypatch.setattr(network, "_evaluate_blocks", lambda *a: jobs.append("step") or evaluate(*a))
+    fits = []
+    for values in (10_000, 0):
+        monkeypatch.setattr(boosting, "TASK_VALUES", values, raising=False)
+        monkeypatch.setattr(network, "TASK_VALUES", values, raising=False)
+        jobs.clear()
+        fits.append((boosting.fit(rows, 3, loss, 3, rounds=3, depth=2), network.fit(rows, 3, loss, 3, F.col("id"), (4,), 5)))
+        assert bool(jobs) == (values == 0)
+    (trees, net), (trees2, net2) = fits
+    assert trees.predicted(x) == pytest.approx(trees2.predicted(x), abs=1e-9) and len(trees.rounds) == 3
+    assert all((a.feature == b.feature).all() for p, q in zip(trees.rounds, trees2.rounds) for a, b in zip(p, q, strict=True))
+    assert net.losses == pytest.approx(net2.losses, abs=1e-6)
+
+
 def test_network_scans_blocks(spark):
     rng = np.random.default_rng(6)
     rows = spark.createDataFrame(
