@@ -15,7 +15,6 @@ from functools import reduce
 import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (
-    LinearSVC,
     LogisticRegression,
     RandomForestClassifier,
 )
@@ -203,25 +202,13 @@ def fit_svm(train: DataFrame, p: Prepared, s: Settings) -> Fitted:
     ``prob`` holds logistic margins per class, which is what the stacking ensemble takes from it.
     """
     landmarks = kernel_map(train, p, s)
-    features = array_to_vector(landmarks.column(vector_to_array(F.col(VEC))))
-    mapped = train.withColumn("__z", features).persist()
-    try:
-        codes = [1] if len(p.classes) == 2 else list(range(len(p.classes)))
-        models = [
-            LinearSVC(featuresCol="__z", labelCol="__one", maxIter=s.svm_iterations, regParam=1.0 / max(p.n_train, 1)).fit(
-                mapped.withColumn("__one", (F.col(LABEL) == float(c)).cast("double"))
-            )
-            for c in codes
-        ]
-    finally:
-        mapped.unpersist()
+    codes = [1] if len(p.classes) == 2 else list(range(len(p.classes)))
+    rows = train.select(vector_to_array(VEC).alias("x"), F.col(LABEL).alias("y"))
+    found = kernel.machines(rows, landmarks, codes, s.svm_iterations, 1.0 / max(p.n_train, 1))
 
     def score(df: DataFrame) -> DataFrame:
-        out = df.withColumn("__z", features)
-        for c, m in zip(codes, models):
-            out = m.transform(out).withColumn(f"__m{c}", F.element_at(vector_to_array("rawPrediction"), 2))
-            out = out.drop("rawPrediction", "prediction")
-        soft = [1 / (1 + F.exp(-F.col(f"__m{c}"))) for c in codes]
+        out = df.withColumn("__m", landmarks.margins(vector_to_array(F.col(VEC)), found))
+        soft = [1 / (1 + F.exp(-F.get("__m", F.lit(i)))) for i in range(len(codes))]
         prob = F.array(1 - soft[0], soft[0]) if len(codes) == 1 else F.array(*soft)
         out = out.select(*[ident(c) for c in df.columns], prob.alias("prob"))
         return out.withColumn("prediction", _argmax(F.col("prob")))

@@ -161,7 +161,7 @@ def _evaluate_blocks(table: DataFrame, parameters: np.ndarray, sizes: Sequence[i
     return _totals(sums, parameters)
 
 
-def _direction(gradient: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+def quasi_newton(gradient: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """The quasi-Newton direction from the last steps and changes of the gradient."""
     q, shares = gradient.copy(), []
     for s, y in reversed(pairs):
@@ -223,7 +223,7 @@ def _train(evaluate: Callable[[np.ndarray], tuple[float, np.ndarray, float]], si
     best, best_loss, waited, losses = now, apart, 0, [apart]
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(steps):
-        way = _direction(gradient, pairs)
+        way = quasi_newton(gradient, pairs)
         slope = float(way @ gradient)
         if slope >= 0:
             pairs, way, slope = [], -gradient, -float(gradient @ gradient)

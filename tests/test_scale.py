@@ -7,11 +7,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import LinearSVC
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tablewright import session
 from tablewright.catalog import tournament_queries
-from tablewright.operators import boosting, cluster, features, linkage, lloyd, models, network, text
+from tablewright.operators import boosting, cluster, features, kernel, linkage, lloyd, models, network, text
 from tablewright.plans import unstructured
 
 
@@ -59,6 +61,26 @@ def test_small_tables_are_fitted_by_one_task_to_the_same_model(spark, monkeypatc
     assert net.losses == pytest.approx(net2.losses, abs=1e-6)
 
 
+def test_kernel_machine_keeps_rows_not_features(spark, monkeypatch):
+    """Hinge loss and penalty are at most those of Spark's machine on the stored features, and what is kept is the rows' own columns."""
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(500, 2))
+    y = ((x**2).sum(axis=1) + rng.normal(0, 0.3, 500) < 1.2).astype(float)
+    rows = spark.createDataFrame([(i, a.tolist(), float(b)) for i, (a, b) in enumerate(zip(x, y))], "id long, x array<double>, y double").repartition(3)
+    near = kernel.fit(rows, F.col("id"), 0.5, 40, 1)
+    kept, persist = [], type(rows).persist
+    monkeypatch.setattr(type(rows), "persist", lambda self, *a: kept.append(self.columns) or persist(self, *a))
+    weights, shift = kernel.machines(rows, near, [1], 50, 1 / 500)[0]
+    assert kept == [["x", "y"]]
+    z, side = near.features(x), 2 * y - 1
+    loss = lambda w, b: np.maximum(1 - side * (z @ w + b), 0).mean() + 0.5 / 500 * ((w * z.std(axis=0, ddof=1)) ** 2).sum()
+    stored = spark.createDataFrame([(a.tolist(), float(b)) for a, b in zip(z, y)], "z array<double>, y double").select(array_to_vector("z").alias("v"), "y")
+    plain = LinearSVC(featuresCol="v", labelCol="y", maxIter=50, regParam=1 / 500).fit(stored)
+    assert loss(weights, shift) <= 1.02 * loss(plain.coefficients.toArray(), plain.intercept)
+    margins = [r[0] for r in rows.orderBy("id").select(near.margins(F.col("x"), [(weights, shift)])).collect()]
+    assert np.array(margins)[:, 0] == pytest.approx(z @ weights + shift, abs=1e-8)
+
+
 def test_network_scans_blocks(spark):
     rng = np.random.default_rng(6)
     rows = spark.createDataFrame(
